@@ -1,12 +1,62 @@
-"""The corpus pipeline: language, near copies, repeated passages, mixing, tokens."""
+"""The corpus pipeline: language, near copies, repeated passages, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeseek.llm.jaccard_join import jaccard_classes
+from lakeseek.llm.language import learn_filters, predict_language
+from lakeseek.llm.mixing import curriculum
+from lakeseek.llm.pieces import encode_pieces
+from lakeseek.llm.queries import piece_model
+from lakeseek.llm.spans import dedup_spans
+
+#: A text stays if its language holds at least this share of its n-grams, false positives taken off.
+LEAST_SHARE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters (null and empty ones too) and those that no learned language covers. Learns from all of the documents."""
+    scored = predict_language(docs, learn_filters(docs))
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class of near copies (five-word shingles, similarity 0.8 or more).
+
+    Documents without an id stay; of rows that share an id all stay or all go.
+    """
+    gone = jaccard_classes(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages from texts; a document of which nothing is left goes."""
+    kept = dedup_spans(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them, a row per copy, in training order."""
+    return curriculum(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids and each piece's span of source bytes; the decoded text is checked against the source."""
+    encoded = encode_pieces(docs, piece_model())
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mixing", mixing), ("tokens", tokens)]
+#: The first stage's filters and the last stage's pieces can't be said in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
