@@ -7,8 +7,11 @@ library once and remembered, and every piece is projected back to the span of so
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 from lakeseek.llm.common import worker_state
 
 SPACE = "▁"
+_SEGMENT = re.compile(" *[^ ]+| +")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^A-Za-zÀ-ÖØ-öø-ɏ]+")
 _INTS = T.ArrayType(T.IntegerType())
 
 
@@ -54,10 +59,19 @@ class CharsMap:
         return found
 
 
+def _segments(text: str) -> list[str]:
+    """Runs of spaces with what follows, each less one space: the mark that the encoder adds in front makes that up."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [s[1:] for s in _SEGMENT.findall(" " + text)]
+    return text.split(" ")
+
+
 class Encoder:
     """encode() gives ids and source spans, decode() a text; both as the library does."""
 
-    def __init__(self, model: bytes, most: int = 250_000):
+    def __init__(self, model: bytes, most: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -69,36 +83,57 @@ class Encoder:
         suffix = proto.trainer_spec.treat_whitespace_as_suffix
         normal = [p.piece for p in proto.pieces if p.type in (1, 4, 5)]
         self.end = next((i for i, p in enumerate(proto.pieces) if p.piece == (proto.trainer_spec.eos_piece or "</s>")), -1)
-        # Segments start at a space mark if no piece holds one after another character.
-        apart = self.escape and not suffix and proto.trainer_spec.model_type == 2 and not any(SPACE in p.lstrip(SPACE) for p in normal)
-        self.apart = apart and not any(p.startswith(SPACE * 2) for p in normal)
-        self.line = self.apart and not any("\n" in p for p in normal)
+        # A segment is a run of space marks and what follows, if no piece holds a mark after another character.
+        self.apart = self.escape and not suffix and proto.trainer_spec.model_type == 2 and not any(SPACE in p.lstrip(SPACE) for p in normal)
+        # Within a segment, parts end where Latin letters meet other characters, if no piece mixes them, and at line breaks, which no piece holds.
+        self.letters = self.apart and not any("\n" in p for p in normal) and not any(len(_LETTERS.findall(p.replace(SPACE, ""))) > 1 for p in normal)
         self.plain = self.apart and self.dummy and not self.strip and not self.map.units
         kinds = [p.type for p in proto.pieces]
         self.out = [bytes([int(p.piece[3:5], 16)]) if k == 6 else b"" if k == 3 else (proto.trainer_spec.unk_surface.encode() if k == 2 else p.piece.replace(SPACE, " ").encode()) for p, k in zip(proto.pieces, kinds, strict=True)]
         self.normal_bytes = np.array([1 if k == 6 else len(p.piece.encode()) for p, k in zip(proto.pieces, kinds, strict=True)], np.int32)
         self.source_bytes = np.array([len(b) for b in self.out], np.int32)
+        self.names = [str(i) for i in range(len(kinds))]
         self.words: dict[str, tuple[bytes, str, bytes]] = {}
+        self.heads, self.tails = {}, {}
         self.most = most
 
     def _learn(self, words: list[str]) -> None:
-        """Remembers words (each with its space mark in front)."""
+        """Remembers segments, each without its first space mark."""
         if len(self.words) + len(words) > self.most:
             self.words.clear()
-        parts = {p for w in words for p in (w.split("\n") if self.line else [w])}
-        heads, tails = list(parts), list(parts)
-        head = dict(zip(heads, self.sp.encode(heads, num_threads=1), strict=True))
-        # Without a space mark: behind a line break, whose pieces come first.
-        skip = len(self.sp.encode("\n"))
-        tail = dict(zip(tails, (x[skip:] for x in self.sp.encode(["\n" + t for t in tails], num_threads=1)), strict=True)) if any("\n" in w for w in words) and self.line else {}
-        brk = self.sp.encode("\n")
-        blank = self.sp.encode(" ")[:1]
-        for w in words:
-            first, *rest = w.split("\n") if self.line else [w]
-            ids = list(head[first]) if first else list(blank)
-            for r in rest:
-                ids += brk[len(blank) :] + tail[r]
-            self.words[w] = np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)), b"".join([self.out[i] for i in ids])
+        split = [self._parts(w) for w in words]
+        for held, lead, need in ((self.heads, "", {p[0] for p in split}), (self.tails, "\n", {r for p in split for r in p[1:]})):
+            new = list(need.difference(held))
+            if len(held) + len(new) > self.most:
+                held.clear()
+                new = list(need)
+            # Behind a line break, whose own pieces come off again, a part has no space mark.
+            off = len(self.sp.encode(lead)) if lead else 0
+            for x, ids in zip(new, self.sp.encode([lead + n for n in new], num_threads=1), strict=True):
+                held[x] = self._entry(ids[off:] if x else [self.sp.piece_to_id(SPACE)])
+        heads, tails, known = self.heads, self.tails, self.words
+        for w, p in zip(words, split, strict=True):
+            if len(p) == 1:
+                known[w] = heads[w]
+            elif len(p) == 2:
+                (a, b, c), (d, e, f) = heads[p[0]], tails[p[1]]
+                known[w] = a + d, f"{b} {e}", c + f
+            else:
+                x = [heads[p[0]], *(tails[r] for r in p[1:])]
+                known[w] = b"".join([i[0] for i in x]), " ".join([i[1] for i in x]), b"".join([i[2] for i in x])
+
+    def _parts(self, word: str) -> list[str]:
+        """Parts of a segment that no piece reaches across: letters and what isn't."""
+        if not self.letters or not word:
+            return [word]
+        cut = _LETTERS.findall(word)
+        if len(cut) > 1 and not cut[0].strip(" "):
+            cut[:2] = [cut[0] + cut[1]]  # space marks go with what follows them
+        return cut
+
+    def _entry(self, ids: list[int]) -> tuple[bytes, str, bytes]:
+        names, out = self.names, self.out
+        return array("i", ids).tobytes(), " ".join([names[i] for i in ids]), b"".join([out[i] for i in ids])
 
     def batch(self, texts: list[str]):
         """Yields (ids bytes, ids text, decoded text, begins, ends) of each text; the last three cost nothing until called."""
@@ -107,7 +142,7 @@ class Encoder:
                 ids, begins, ends = self._general(t)
                 yield ids.tobytes(), " ".join(map(str, ids.tolist())), self.sp.decode(ids.tolist()), begins, ends
             return
-        split = [t.split(" ") if t else [] for t in texts]
+        split = [_segments(t) for t in texts]
         words = self.words
         for i, (text, parts) in enumerate(zip(texts, split, strict=True)):
             if SPACE in text or "\0" in text:
@@ -188,6 +223,7 @@ def _encoder(path: str, model: bytes) -> Encoder:
 def _runner(model: bytes, path: str, end: bool, digests: bool):
     def run(batches):
         encoder = _encoder(path, model)
+        gc.disable()  # the caches hold no cycles, and walking them costs more than all else
         tail = [encoder.end] if end else []
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
