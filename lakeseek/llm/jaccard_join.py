@@ -24,6 +24,8 @@ from lakeseek.llm.common import components, saved
 from lakeseek.llm.shingles import Parts, WordHash, fingerprint, mixed, shingle_set, word_hashes
 
 GROUP = 48
+#: Queries that probe one copy of a group.
+TURN = 256
 #: Batches of sets in which equal signatures are joined before the shuffle.
 BATCH = 8192
 _CANDIDATE, _EQUAL, _SIZE = 0, 1, 2
@@ -138,18 +140,18 @@ class Matrix:
 
 
 def _probed(percent: int):
-    """Rows (group, part, query, doc, label, tokens), a group's members (query false) before its queries, split by part."""
+    """Rows (family, part, turn, query, doc, label, tokens), a group's members (query false) before its queries."""
 
     def run(batches):
         at, members, matrix = None, [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            fam, part, query, doc, label = (batch.column(j).to_pylist() for j in range(5))
-            lists = batch.column(5)
+            fam, part, turn, query, doc, label = (batch.column(j).to_pylist() for j in range(6))
+            lists = batch.column(6)
             values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
             for i in range(batch.num_rows):
-                if at != (fam[i], part[i]):
-                    at, members, matrix = (fam[i], part[i]), [], None
+                if at != (fam[i], part[i], turn[i]):
+                    at, members, matrix = (fam[i], part[i], turn[i]), [], None
                 tokens = values[offsets[i] : offsets[i + 1]]
                 if not query[i]:
                     members.append((doc[i], label[i], tokens.copy()))
@@ -162,10 +164,11 @@ def _probed(percent: int):
 
 
 def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found by probing; both have family, part, doc, label, tokens."""
-    cols = lambda df, q: df.select("family", "part", F.lit(q).alias("query"), "doc", "label", "tokens")
-    rows = cols(members, False).unionByName(cols(queries, True))
-    dealt = rows.repartition("family", "part").sortWithinPartitions("family", "part", "query", "doc")
+    """Links (a, b) found by probing; both have family, part, doc, label, tokens. A group's queries come in turns of about TURN, each with its own copy of the group."""
+    turns = queries.groupBy("family", "part").agg(F.ceil(F.count(F.lit(1)) / TURN).cast("long").alias("turns"))
+    cols = lambda df, q, turn: df.join(turns, ["family", "part"]).select("family", "part", turn.alias("turn"), F.lit(q).alias("query"), "doc", "label", "tokens")
+    rows = cols(members, False, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).unionByName(cols(queries, True, F.pmod(F.xxhash64("doc", F.lit(7)), F.col("turns"))))
+    dealt = rows.repartition("family", "part", "turn").sortWithinPartitions("family", "part", "turn", "query", "doc")
     return dealt.mapInArrow(_probed(percent), "a long, b long")
 
 
