@@ -3,11 +3,12 @@
 Toxic and ordinary words each get a character model: the probability of a word's next letter after its last ORDER - 1 letters is the class's
 own discounted count, backed off to a Kneser-Ney model of continuation counts that both classes share, so that expressions too rare in
 a class are judged by what all texts have. A word's value is the toxic less the ordinary log-likelihood. Length-normalised, over the
-whole text and over its most toxic window of WINDOW words, these values are the two inputs of a logistic curve.
+whole text and over its most toxic stretch of WINDOW words, these values are the two inputs of a logistic curve.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections import Counter
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import remainder, worker_state
+from lakeseek.llm.common import remainder, saved, worker_state
 
 #: Labelled rows of each class that are learned from, at most: the classifier's sample bound.
 MOST_ROWS = 20_000
-ORDER, DISCOUNT, WINDOW = 6, 0.75, 6
+ORDER, DISCOUNT, WINDOW = 6, 0.75, 1
+#: Bounds of the two inputs.
+MEANS, PEAKS = 5.0, 25.0
 #: Letter runs below this share of all letters are left to the backoff, so that a model has at most ORDER / SHARE of them.
 SHARE = 2.0**-21
 MOST_WORDS = 400_000
@@ -60,7 +63,7 @@ class Model:
     """grams: letter run -> (toxic count, ordinary count)."""
 
     def __init__(self, grams: dict[str, tuple[int, int]]):
-        self.own, self.shared, total = ({}, {}), {}, ({}, {})
+        self.own, self.shared, self.known, total = ({}, {}), {}, {}, ({}, {})
         after: dict[str, int] = Counter()
         for g, pair in grams.items():
             for c in range(2):
@@ -97,17 +100,26 @@ class Model:
                 p = max(self.shared.get(g, 0) - DISCOUNT, 0) / self.after[x] + self.back[x] * p
         return p
 
+    def letter(self, gram: str) -> float:
+        """Toxic less ordinary log-likelihood of a run's last letter after the others."""
+        lower = self.backoff(gram[1:]) if len(gram) > 1 else self.floor
+        p = []
+        for c in range(2):
+            n = self.total[c].get(gram[:-1], 0)
+            p.append(max(self.own[c].get(gram, 0) - DISCOUNT, 0) / n + self.own_back[c][gram[:-1]] * lower if n else lower)
+        return math.log(p[0] / p[1])
+
     def value(self, word: str) -> float:
         """Toxic less ordinary log-likelihood of a word, as natural logarithm."""
-        x, out = _letters(word), 0.0
+        x, out, known = _letters(word), 0.0, self.known
         for i in range(1, len(x)):
-            g = x[max(0, i - ORDER + 1) : i + 1]
-            lower = self.backoff(g[1:]) if len(g) > 1 else self.floor
-            p = []
-            for c in range(2):
-                n = self.total[c].get(g[:-1], 0)
-                p.append(max(self.own[c].get(g, 0) - DISCOUNT, 0) / n + self.own_back[c][g[:-1]] * lower if n else lower)
-            out += math.log(p[0] / p[1])
+            g = x[i - ORDER + 1 if i >= ORDER else 0 : i + 1]
+            v = known.get(g)
+            if v is None:
+                if len(known) > 2 * MOST_WORDS:
+                    known.clear()
+                v = known[g] = self.letter(g)
+            out += v
         return out
 
 
@@ -116,6 +128,7 @@ def _features(shared, tag: str):
 
     def run(batches):
         values = worker_state(f"toxic:{tag}", dict)
+        gc.disable()  # the caches hold no cycles
         model = None
         for batch in batches:
             means, peaks = [], []
@@ -146,7 +159,7 @@ def _with_features(docs: DataFrame, shared, tag: str) -> DataFrame:
 
 
 def _design(mean: np.ndarray, peak: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones_like(mean), np.clip(mean, -5, 5), np.clip(peak, -1, 8), np.clip(peak, -1, 8) ** 2], 1)
+    return np.stack([np.ones_like(mean), np.clip(mean, -MEANS, MEANS), np.clip(peak, 0, PEAKS), np.clip(peak, 0, PEAKS) ** 2 / PEAKS], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -179,8 +192,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
     grams = rows.where(~F.col("tunes")).select("text", "toxic").mapInArrow(_word_counts, "gram string, toxic long, ordinary long")
     grams = grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     letters = F.sum(F.when(F.length("gram") == 1, F.col("toxic") + F.col("ordinary")))
-    from lakeseek.llm.common import saved
-
     grams = saved(grams)
     total = grams.agg(letters).first()[0] or 0
     kept = grams.where(F.col("toxic") + F.col("ordinary") >= max(2.0, total * SHARE)).toPandas()
@@ -194,7 +205,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-12), 1 - 1e-12)
         w = np.array([math.log(p / (1 - p)), 0.0, 0.0, 0.0])
     seen = _with_features(docs.select("doc_id", "text", (fold == 0).alias("held_out")), shared, tag)
-    mean, peak = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), "mean")), F.greatest(F.lit(-1.0), F.least(F.lit(8.0), "peak"))
-    z = F.lit(float(w[0])) + mean * float(w[1]) + peak * float(w[2]) + peak * peak * float(w[3])
+    mean, peak = F.greatest(F.lit(-MEANS), F.least(F.lit(MEANS), "mean")), F.greatest(F.lit(0.0), F.least(F.lit(PEAKS), "peak"))
+    z = F.lit(float(w[0])) + mean * float(w[1]) + peak * float(w[2]) + peak * peak / PEAKS * float(w[3])
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
     return seen.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
