@@ -10,6 +10,7 @@ them, whatever the input) and its share there is at least a RIVAL-th of its larg
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import Counter
 
@@ -29,13 +30,15 @@ UNKNOWN = "und"
 
 def _grams(word: str) -> list[str]:
     """n-grams of a word's letters, one to ORDER long, within its padded form."""
-    letters = "".join([c if c.isalpha() else " " for c in word])
+    parts = [word] if word.isalpha() else "".join([c if c.isalpha() else " " for c in word]).split()
     out = []
-    for part in letters.split():
+    for part in parts:
         w = f"_{part}_"
-        for n in range(1, ORDER + 1):
-            out += [w[i : i + n] for i in range(len(w) - n + 1)]
-    return [g for g in out if g != "_"]
+        n = len(w)
+        out += part
+        for o in range(2, min(ORDER, n) + 1):
+            out += [w[i : i + o] for i in range(n - o + 1)]
+    return out
 
 
 def _slots(gram: str) -> list[int]:
@@ -89,51 +92,57 @@ def learn_filters(docs: DataFrame) -> Filters:
     return Filters(sorted({m[0] for m in members}), members)
 
 
+#: Bits of a lane in which a text's n-grams are counted; a number holds one lane for each language and one for all n-grams.
+LANE = 48
+
+
 def _predicted(filters, key: str):
     def run(batches):
         languages, masks, false = filters.value
         n_langs = len(languages)
-
-        def fresh():
-            return {"at": {}, "hits": np.zeros((MOST_WORDS + 1, n_langs + 1), np.int32)}
-
-        held = worker_state(f"language:{key}", fresh)
-
-        def learn(words):
-            at, hits = held["at"], held["hits"]
-            if len(at) + len(words) >= MOST_WORDS:
-                at.clear()
-            for w in words:
-                i = at[w] = len(at)
-                grams = _grams(w)
-                if grams:
-                    slots = np.array([_slots(g) for g in grams])
-                    mask = np.bitwise_and.reduce(masks[slots], axis=1)
-                    hits[i, :n_langs] = np.unpackbits(mask, axis=1, bitorder="little")[:, :n_langs].sum(0)
-                hits[i, n_langs] = len(grams)
+        lane = (1 << LANE) - 1
+        words, grams = worker_state(f"language:{key}", lambda: ({}, {}))
+        gc.disable()  # the caches hold no cycles
+
+        def gram_lanes(gram: str) -> int:
+            mask = np.bitwise_and.reduce(masks[_slots(gram)], axis=0)
+            at = np.flatnonzero(np.unpackbits(mask, bitorder="little")[:n_langs]).tolist()
+            return sum(1 << (LANE * i) for i in at) + (1 << (LANE * n_langs))
+
+        def learn(missing):
+            if len(words) + len(missing) > MOST_WORDS:
+                words.clear()
+            if len(grams) > MOST_WORDS:
+                grams.clear()
+            for w in missing:
+                total = 0
+                for g in _grams(w):
+                    x = grams.get(g)
+                    if x is None:
+                        x = grams[g] = gram_lanes(g)
+                    total += x
+                words[w] = total
 
         for batch in batches:
             langs, scores = [], []
             for t in batch.column(1):
-                words = (t.as_py() or "").lower().split()
-                total = np.zeros(n_langs + 1, np.int64)
-                for s in range(0, len(words), 100_000):
-                    part = words[s : s + 100_000]
-                    at = held["at"]
+                text = (t.as_py() or "").lower().split()
+                total = 0
+                for s in range(0, len(text), 100_000):
+                    part = text[s : s + 100_000]
                     try:
-                        index = [at[w] for w in part]
+                        total += sum([words[w] for w in part])
                     except KeyError:
-                        missing = {w for w in part if w not in at}
-                        learn(missing)
-                        if any(w not in at for w in part):  # room was made
-                            learn({w for w in part if w not in at})
-                        index = [at[w] for w in part]
-                    total += held["hits"][index].sum(0, dtype=np.int64)
-                if not total[n_langs] or not n_langs:
+                        learn({w for w in part if w not in words})
+                        learn({w for w in part if w not in words})  # if room was made for the others
+                        total += sum([words[w] for w in part])
+                n = total >> (LANE * n_langs)
+                if not n or not n_langs:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                share = np.clip((total[:n_langs] / total[n_langs] - false) / (1 - false), 0, 1)
+                hits = np.array([(total >> (LANE * i)) & lane for i in range(n_langs)], float)
+                share = np.clip((hits / n - false) / (1 - false), 0, 1)
                 best = int(share.argmax())
                 langs.append(languages[best])
                 scores.append(float(share[best]))
