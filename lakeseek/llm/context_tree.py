@@ -9,6 +9,7 @@ with an end symbol (byte 255, which UTF-8 never has) that also stands before eac
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections import Counter
@@ -197,6 +198,7 @@ def learn_tree(counts: DataFrame) -> Tree:
 
 def _scored(shared, tag: str):
     def run(batches):
+        gc.disable()  # the caches hold no cycles
         tree = Tree.__new__(Tree)
         (tree.contexts, tree.logs), word_codes, word_logs, floor, known_end = shared.value
         scores = worker_state(f"stretches:{tag}", dict)
