@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lakeseek.llm.common import remainder, saved, worker_state
 
-DEPTH, SHARE = 6, 2.0**-14
+DEPTH, SHARE = 6, 2.0**-16
 #: Words whose share of the tokens is at least this are broadcast, 1 / WORD_SHARE at most; the others are joined.
 WORD_SHARE = 2.0**-18
 END = -1  # the end token's key
@@ -128,7 +128,7 @@ class Tree:
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """grams[d]: context codes, bytes and counts of the kept contexts of d bytes."""
-        self.contexts, dense = [], []
+        self.contexts, dense = [], []  # dense: counts of each byte, as single floats are too coarse for them
         for context, byte, n in grams:
             codes, where = np.unique(context, return_inverse=True)
             c = np.zeros((len(codes), 256))
@@ -141,21 +141,27 @@ class Tree:
         parent = [None] + [np.searchsorted(self.contexts[d - 1], self.contexts[d] & ((1 << (8 * (d - 1))) - 1)) for d in range(1, depth + 1)]
         mixed_log, kt, own, rest = [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1), [None] * (depth + 1)
         for d in range(depth, -1, -1):
-            zeros, ones = _decisions(dense[d])
-            estimate = _log_kt(zeros, ones)
-            kt[d] = (ones + 0.5) / (zeros + ones + 1)
-            if d == depth:
-                mixed_log[d], own[d], rest[d] = estimate, np.ones_like(kt[d]), kt[d]
-                continue
-            left, below = dense[d].copy(), np.zeros_like(estimate)
-            if len(self.contexts[d + 1]):
+            n = len(dense[d])
+            mixed_log[d], kt[d], own[d], rest[d] = np.empty((n, 255)), *(np.empty((n, 255), np.float32) for _ in range(3))
+            left, below = dense[d], np.zeros((n, 255))
+            if d < depth and len(self.contexts[d + 1]):
+                left = left.copy()
                 np.subtract.at(left, parent[d + 1], dense[d + 1])
                 np.add.at(below, parent[d + 1], mixed_log[d + 1])
-            z, o = _decisions(np.maximum(left, 0))
-            below += _log_kt(z, o)
-            rest[d] = (o + 0.5) / (z + o + 1)
-            mixed_log[d] = np.logaddexp(estimate, below) - math.log(2)
-            own[d] = np.exp(np.minimum(estimate - math.log(2) - mixed_log[d], 0))
+            for s in range(0, n, 1024):
+                part = slice(s, s + 1024)
+                zeros, ones = _decisions(dense[d][part])
+                estimate = _log_kt(zeros, ones)
+                kt[d][part] = (ones + 0.5) / (zeros + ones + 1)
+                if d == depth:
+                    mixed_log[d][part], own[d][part], rest[d][part] = estimate, 1, kt[d][part]
+                    continue
+                z, o = _decisions(np.maximum(left[part], 0))
+                rest[d][part] = (o + 0.5) / (z + o + 1)
+                mixed = np.logaddexp(estimate, below[part] + _log_kt(z, o)) - math.log(2)
+                mixed_log[d][part], own[d][part] = mixed, np.exp(np.minimum(estimate - math.log(2) - mixed, 0))
+            if d < depth:
+                dense[d + 1] = mixed_log[d + 1] = None
         self.logs, upto, left_over = [], None, None
         for d in range(depth + 1):
             before = upto[parent[d]] if d else 0.0
