@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lakeseek.llm.common import components, saved
 
 CELL, OVERLAP, SAMPLE = 600, 2, 32
+#: Centroids in all, unless there are more labels: this bounds the sample and the broadcast. Larger cells than these make are dealt into chunks.
+MOST_CENTROIDS = 4096
 DEGREE, ALPHA, BEAM, SLACK = 20, 1.15, 12, 0.05
 
 
@@ -206,8 +208,11 @@ def graph_links(distinct: DataFrame, threshold: float = 0.93) -> DataFrame:
     spark = distinct.sparkSession
     sizes = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("m")).select(F.to_json("label").alias("label"), "m").collect()
     n_cells = {r[0]: max(1, -(-r[1] * OVERLAP // CELL)) for r in sizes}
+    wanted = sum(n_cells.values())
+    if wanted > MOST_CENTROIDS:
+        n_cells = {k: max(1, c * MOST_CENTROIDS // wanted) for k, c in n_cells.items()}
     rows = distinct.select("id", F.to_json("label").alias("label"), "vec")
-    # A centroid is fitted on about SAMPLE vectors, chosen by hash: bounded for each cell, and the cells are what the broadcast holds.
+    # A centroid is fitted on about SAMPLE vectors, chosen by hash.
     rate = spark.createDataFrame([(k, min(1.0, SAMPLE * c / m)) for (k, m), c in zip(sizes, n_cells.values(), strict=True)], "label string, rate double")
     drawn = rows.join(F.broadcast(rate), "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000).select("label", "id", "vec").toPandas().sort_values("id")
     spec, first = {}, 0
