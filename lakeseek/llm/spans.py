@@ -110,6 +110,8 @@ def _keyed(batches):
                 again = np.zeros(len(order), np.int64)
                 again[order] = same
                 place = (np.int64(marks[i]) << 33) | (again << 32) | (start << 6) | length
+                # A run that stood in this text before goes whatever others hold: it gets a key of its own, which no other row has to meet.
+                keys = np.where((again == 1)[:, None], np.stack([place * np.int64(-7046029254386353131) + docs[i], ~place], 1), keys)
                 out.append(np.stack([keys[:, 0], keys[:, 1], np.full(len(start), docs[i]), place], 1))
             every = np.concatenate(out) if out else np.empty((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, j]) for j in range(4)], names=["k1", "k2", "doc", "place"])
@@ -158,8 +160,9 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     t = F.col(f"`{text}`").cast("string")
     key = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.shiftrightunsigned(F.coalesce(F.xxhash64(t), F.lit(0)), 34).alias("mark")]
     rows = docs.select(*key, t.alias("text")).mapInArrow(_keyed, "k1 long, k2 long, doc long, place long")
-    met = rows.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = rows.join(met, ["k1", "k2"]).where((F.col("doc") > F.col("first")) | (F.shiftright("place", 32).bitwiseAND(1) == 1))
+    again = F.shiftright("place", 32).bitwiseAND(1) == 1
+    met = rows.where(~again).groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = rows.join(met, ["k1", "k2"], "left").where(again | (F.col("doc") > F.col("first")))
     flags = later.groupBy("doc", F.shiftright("place", 33).alias("mark")).agg(F.collect_set("place").alias("places"))
     whole = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), t.alias("_text"))
     joined = whole.join(flags, ["doc", "mark"], "left").select("_row", "_text", "places")

@@ -139,8 +139,7 @@ def test_context_tree_is_a_distribution_and_beats_its_parts():
     for logs in tree.logs:
         assert np.abs((10.0 ** logs.astype(float)).sum(1) - 1).max() < 1e-5
     length = lambda t, x: -math.fsum(t.score(context_tree._stretches(x)[1])) * math.log2(10) / (len(x) + 1)
-    assert length(tree, b"the cat ran to the mat") < 1.0
-    assert length(context_tree.Tree(grams[:1]), b"the cat ran to the mat") > 2.0
+    assert length(tree, b"the cat ran to the mat") < 0.6 * length(context_tree.Tree(grams[:1]), b"the cat ran to the mat")
 
 
 def test_base_score(spark, docs):
