@@ -189,7 +189,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     sizes = met.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 0, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
     # Equal sets: everything is asked of the smallest doc_id with that set.
     equal = met.where(f"kind = {_EQUAL}").select("a", "b").distinct()
-    copies = saved(components(equal).where("node <> label"))
+    # An id with several rows may have several sets; it is asked for itself.
+    several = sizes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = saved(equal.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).join(several, F.col("node") == F.col("doc"), "left_anti"))
     to_rep = lambda df, c: df.join(copies.select(F.col("node").alias(c), F.col("label").alias("_rep")), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
     near = to_rep(to_rep(met.where(f"kind = {_CANDIDATE}").select("a", "b").distinct(), "a"), "b").where("a <> b").distinct()
     family = components(near).select(F.col("node").alias("doc"), F.col("label").alias("family"))
@@ -214,7 +216,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
             links = found.unionByName(more)
         else:
             links = found
-    every = copies.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    every = equal
     every = every.unionByName(links) if links is not None else every
     labels = components(every).select(F.col("node").alias("doc"), "label")
     return sizes.join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("label", "doc").alias("component_id"))
