@@ -190,16 +190,24 @@ class Tree:
 
 
 def learn_tree(counts: DataFrame) -> Tree:
-    """The tree of counts (code, n) of (DEPTH + 1)-byte n-grams. The driver gets kept contexts only: at most 256 * (DEPTH / SHARE + 1) rows."""
-    d = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
-    cut = F.expr("code & (shiftleft(1L, 8 * (d + 1)) - 1)")
-    grams = counts.select("code", "n", d.alias("d")).select("d", cut.alias("gram"), "n").groupBy("d", "gram").agg(F.sum("n").alias("n"))
-    grams = saved(grams.select("d", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n"))
-    total = grams.where("d = 0").agg(F.sum("n")).first()[0] or 0
-    kept = grams.groupBy("d", "context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, total * SHARE)).drop("m")
-    found = grams.join(kept, ["d", "context"]).toPandas()
-    parts = [found[found["d"] == i] for i in range(DEPTH + 1)]
-    return Tree([(p["context"].to_numpy(np.int64), p["byte"].to_numpy(np.int64), p["n"].to_numpy(np.float64)) for p in parts])
+    """The tree of counts (code, n) of (DEPTH + 1)-byte n-grams.
+
+    Depth by depth, as a context is kept only if the one shorter by a byte is: each step reads the counts, keeps what continues a kept context (at most
+    1 / SHARE of them, which are broadcast) and sums. The driver gets the kept contexts' counts.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept, parts = None, []
+    for d in range(DEPTH + 1):
+        rows = counts.select(F.col("code").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram"), "n")
+        if kept is not None:
+            shorter = F.shiftright("gram", 8).bitwiseAND((1 << (8 * (d - 1))) - 1)
+            rows = rows.join(F.broadcast(kept.withColumnRenamed("context", "_c")), shorter == F.col("_c"), "left_semi")
+        grams = rows.groupBy("gram").agg(F.sum("n").alias("n")) if d < DEPTH else rows
+        grams = saved(grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n"))
+        kept = saved(grams.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, total * SHARE)).select("context"))
+        found = grams.join(F.broadcast(kept), "context").toPandas()
+        parts.append((found["context"].to_numpy(np.int64), found["byte"].to_numpy(np.int64), found["n"].to_numpy(np.float64)))
+    return Tree(parts)
 
 
 def _scored(shared, tag: str):
