@@ -20,23 +20,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import remainder, worker_state
+from lakeseek.llm.common import remainder, saved, worker_state
 
-ORDER, FLOOR, RIVAL = 4, 2.0**-15, 6
+LEAST_ORDER, ORDER, FLOOR, RIVAL = 3, 4, 2.0**-15, 6
 SLOTS, HASHES = 1 << 19, 3
 MOST_WORDS = 300_000
 UNKNOWN = "und"
 
 
 def _grams(word: str) -> list[str]:
-    """n-grams of a word's letters, one to ORDER long, within its padded form."""
+    """n-grams of a word's letters, LEAST_ORDER to ORDER long, within its padded form."""
     parts = [word] if word.isalpha() else "".join([c if c.isalpha() else " " for c in word]).split()
     out = []
     for part in parts:
         w = f"_{part}_"
         n = len(w)
-        out += part
-        for o in range(2, min(ORDER, n) + 1):
+        for o in range(LEAST_ORDER, min(ORDER, n) + 1):
             out += [w[i : i + o] for i in range(n - o + 1)]
     return out
 
@@ -85,7 +84,9 @@ def learn_filters(docs: DataFrame) -> Filters:
     """Filters from the documents' text and non-null lang. What reaches the driver is bounded: 1 / FLOOR n-grams a language."""
     rows = docs.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).where(F.col("share") >= FLOOR)
+    counts = saved(counts)
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= FLOOR)  # total: a row for each language
     kept = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") * RIVAL >= F.col("most"))
     members = [(r[0], r[1]) for r in kept.select("lang", "gram").collect()]
     # A language whose texts have no letters has no filter and is never answered.
