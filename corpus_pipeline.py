@@ -16,7 +16,7 @@ from lakeseek.llm.queries import piece_model
 from lakeseek.llm.spans import dedup_spans
 
 #: A text stays if its language holds at least this share of its n-grams, false positives taken off.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
