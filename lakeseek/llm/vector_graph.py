@@ -1,7 +1,7 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 1. Equal vectors of a label collapse to one. Each label is cut into cells around centroids, fitted on a bounded sample; every vector
-   belongs to its nearest OVERLAP cells, so the cells overlap.
+   belongs to its nearest OVERLAP cells, so the cells overlap; cells that are close to each other overlap in a joint cell too.
 2. Every cell builds a graph of its vectors by robust pruning: a vector keeps a near neighbour only if none it has kept is closer to
    that neighbour by the factor ALPHA. The cells' adjacency lists are joined into one list for each vector.
 3. Every vector searches its cells: greedily from the cell's medoid with a beam, then expanding its range, over all neighbours of
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lakeseek.llm.common import components, saved
 
 CELL, OVERLAP, SAMPLE = 600, 2, 32
+#: Centroids at least this close to each other make a joint cell.
+CLOSE = 0.75
 #: Centroids in all, unless there are more labels: this bounds the sample and the broadcast. Larger cells than these make are dealt into chunks.
 MOST_CENTROIDS = 4096
 DEGREE, ALPHA, BEAM, SLACK = 20, 1.15, 12, 0.05
@@ -97,17 +99,32 @@ def _by_cell(batches):
         yield at, np.concatenate(ids), np.concatenate(vecs)
 
 
+#: Numbers that a step of the search gathers at once.
+GATHER = 1_500_000
+
+
 def search(vecs: np.ndarray, near: list[np.ndarray], threshold: float, beam: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, found) of rows with cosine of at least threshold - 1e-9, each row a query, over adjacency lists."""
     n = len(vecs)
-    width = max((len(x) for x in near), default=0)
-    table = np.full((n, max(1, width)), -1, np.int64)
+    table = np.full((n, max(1, max((len(x) for x in near), default=0))), -1, np.int32)
     for i, x in enumerate(near):
         table[i, : len(x)] = x
     medoid = int((vecs @ _unit(vecs.sum(0) + 1e-12)).argmax())
-    pool, sims = np.full((n, 1), medoid), vecs @ vecs[medoid][:, None]
-    done = np.zeros((n, 1), bool)
-    live = np.arange(n)
+    step = max(1, GATHER // (table.shape[1] * vecs.shape[1]))
+    found = [_search_block(vecs, table, np.arange(s, min(n, s + step)), medoid, threshold, beam, slack) for s in range(0, n, step)]
+    return tuple(np.concatenate([f[j] for f in found]) for j in range(2))
+
+
+def _cosines(vecs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    step = max(1, GATHER // vecs.shape[1])
+    return np.concatenate([np.einsum("id,id->i", vecs[a[s : s + step]], vecs[b[s : s + step]]) for s in range(0, len(a), step)] or [np.empty(0)])
+
+
+def _search_block(vecs, table, rows, medoid, threshold, beam, slack):
+    m, n = len(rows), len(vecs)
+    pool, sims = np.full((m, 1), medoid), (vecs[rows] @ vecs[medoid])[:, None]
+    done = np.zeros((m, 1), bool)
+    live = np.arange(m)
     while len(live):
         # Each live query expands the best of its pool that isn't expanded yet.
         score = np.where(done[live], -9.0, sims[live])
@@ -118,32 +135,34 @@ def search(vecs: np.ndarray, near: list[np.ndarray], threshold: float, beam: int
             break
         done[live, best] = True
         new = table[pool[live, best]]
-        fresh = (new >= 0) & ~(new[:, :, None] == pool[live][:, None, :]).any(2)
-        got = np.where(fresh, np.einsum("qd,qkd->qk", vecs[live], vecs[new]), -9.0)
+        fresh = new >= 0
+        for j in range(pool.shape[1]):
+            fresh &= new != pool[live, j][:, None]
+        got = np.where(fresh, np.einsum("qd,qkd->qk", vecs[rows[live]], vecs[new]), -9.0)
         every, ids = np.concatenate((sims[live], got), 1), np.concatenate((pool[live], new), 1)
         seen = np.concatenate((done[live], ~fresh), 1)
         top = np.argsort(-every, axis=1, kind="stable")[:, :beam]
-        if pool.shape[1] < beam:
-            grow = min(beam, top.shape[1]) - pool.shape[1]
-            pool = np.concatenate((pool, np.zeros((n, grow), np.int64)), 1)
-            sims = np.concatenate((sims, np.full((n, grow), -9.0)), 1)
-            done = np.concatenate((done, np.ones((n, grow), bool)), 1)
-        pool[live], sims[live], done[live] = (np.take_along_axis(x, top, 1) for x in (ids, every, seen))
+        grow = min(beam, every.shape[1]) - pool.shape[1]
+        if grow > 0:
+            pool = np.concatenate((pool, np.zeros((m, grow), pool.dtype)), 1)
+            sims = np.concatenate((sims, np.full((m, grow), -9.0)), 1)
+            done = np.concatenate((done, np.ones((m, grow), bool)), 1)
+        pool[live, : top.shape[1]], sims[live, : top.shape[1]], done[live, : top.shape[1]] = (np.take_along_axis(x, top, 1) for x in (ids, every, seen))
+    # From all that lies near enough the range grows over neighbours.
     q, c = np.nonzero(sims >= threshold - slack)
     known = frontier = np.unique(q * n + pool[q, c])
     while len(frontier):
-        q, at = frontier // n, frontier % n
-        new = table[at]
-        q = np.repeat(q, new.shape[1])[new.ravel() >= 0]
-        code = np.setdiff1d(q * n + new.ravel()[new.ravel() >= 0], known)
-        close = np.zeros(len(code), bool)
-        for s in range(0, len(code), 200_000):
-            part = code[s : s + 200_000]
-            close[s : s + 200_000] = np.einsum("id,id->i", vecs[part // n], vecs[part % n]) >= threshold - slack
-        frontier = code[close]
+        grown = []
+        for s in range(0, len(frontier), step := max(1, GATHER // table.shape[1])):
+            part = frontier[s : s + step]
+            new = table[part % n]
+            code = (np.repeat(part // n, new.shape[1]) * n + new.ravel())[new.ravel() >= 0]
+            code = np.setdiff1d(code, known)
+            grown.append(code[_cosines(vecs, rows[code // n], code % n) >= threshold - slack])
+        frontier = np.unique(np.concatenate(grown))
         known = np.union1d(known, frontier)
-    q, at = known // n, known % n
-    fits = (np.einsum("id,id->i", vecs[q], vecs[at]) >= threshold - 1e-9) & (q != at)
+    q, at = rows[known // n], known % n
+    fits = (_cosines(vecs, q, at) >= threshold - 1e-9) & (q != at)
     return q[fits], at[fits]
 
 
@@ -175,22 +194,33 @@ def _searched(threshold: float):
     return run
 
 
-def _cells(spec: dict):
-    """(id, label, vec) -> (cell, id, vec): each vector in its nearest cells. spec: label -> (number of its first cell, centroids)."""
+def _cells(spec, n_cells: int):
+    """(id, label, vec) -> (cell, id, vec): each vector in its nearest cells, and in the joint cells of its nearest one with each cell close to that.
+
+    spec: label -> (number of its first cell, centroids, for each the numbers of those close to it). Joint cells are numbered from n_cells on.
+    """
 
     def run(batches):
         for batch in batches:
             vecs, labels = _unit(_matrix(batch.column(2))) if batch.num_rows else np.empty((0, 1)), batch.column(1).to_pylist()
-            cell, row = [], []
+            cell, row = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for label in set(labels):
                 mine = np.flatnonzero([x == label for x in labels])
-                first, at = spec.value[label]
+                first, at, close = spec.value[label]
+                sims = vecs[mine] @ at.T
                 k = min(OVERLAP, len(at))
-                near = np.argpartition(-(vecs[mine] @ at.T), k - 1, axis=1)[:, :k] if len(at) > k else np.tile(np.arange(len(at)), (len(mine), 1))
+                near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                 cell.append((first + near).ravel())
-                row.append(np.repeat(mine, near.shape[1]))
-            cell, row = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (cell, row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=["cell", "id", "vec"])
+                row.append(np.repeat(mine, k))
+                own = sims.argmax(1)
+                for c in np.unique(own).tolist():
+                    if len(close[c]):
+                        who = mine[own == c]
+                        joint = n_cells + (first + np.minimum(c, close[c])) * n_cells + first + np.maximum(c, close[c])
+                        cell.append(np.tile(joint, len(who)))
+                        row.append(np.repeat(who, len(joint)))
+            cell, row = np.concatenate(cell), pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0).take(row), batch.column(2).take(row)], names=["cell", "id", "vec"])
 
     return run
 
@@ -226,7 +256,10 @@ def graph_links(distinct: DataFrame, threshold: float = 0.93) -> DataFrame:
     if empty:  # no sample: one cell, any direction
         wide = dict(rows.where(F.col("label").isin(empty)).groupBy("label").agg(F.max(F.size("vec"))).collect())
         spec |= {k: (spec[k][0], np.ones((1, wide[k]))) for k in empty}
-    dealt = saved(rows.mapInArrow(_cells(spark.sparkContext.broadcast(spec)), "cell long, id long, vec array<double>"))
+    # Where vectors crowd, several centroids lie in one crowd, and a vector's neighbours in more cells than it has itself.
+    near = {k: [np.flatnonzero((x >= CLOSE) & (np.arange(len(x)) != i)) for i, x in enumerate(at @ _unit(at).T)] for k, (_, at) in spec.items()}
+    shared = spark.sparkContext.broadcast({k: (*v, near[k]) for k, v in spec.items()})
+    dealt = saved(rows.mapInArrow(_cells(shared, first), "cell long, id long, vec array<double>"))
     # A cell that came out far too large is dealt into chunks, and every two chunks make a cell.
     large = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 4 * CELL).select("cell", F.ceil(F.col("m") / CELL).cast("long").alias("chunks"))
     if large.take(1):
