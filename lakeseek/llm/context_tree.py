@@ -1,7 +1,7 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A byte is eight binary decisions. Each of the 255 decision nodes has a tree of contexts, the last 0 to DEPTH bytes; a context estimates its
-decision by Krichevsky-Trofimov counts, and every depth is mixed: P(context) = (KT + product over longer contexts) / 2. Counts come
+A byte is eight binary decisions. Each of the 255 decision nodes has a tree of contexts, the last 0 to DEPTH bytes, back to the space before
+the word at most (so that a word is scored once and remembered); a context estimates its decision by Krichevsky-Trofimov counts, and every depth is mixed: P(context) = (KT + product over longer contexts) / 2. Counts come
 from all training texts. A context is kept as a node if it makes up at least SHARE of all training bytes; the others below the same node form one
 node together, so nothing is lost and a model has at most DEPTH / SHARE + 1 contexts, whatever the input. Texts are scored under the trained tree,
 with an end symbol (byte 255, which UTF-8 never has) that also stands before each text.
@@ -28,26 +28,28 @@ WORD_SHARE = 2.0**-18
 END = -1  # the end token's key
 _GRAM, _WORD = 0, 1
 _EDGE = b"\xff"
-MOST_KEYS = 400_000
+MOST_KEYS = 300_000
 
 
 def _word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
-def _stretches(text: bytes) -> tuple[bytes, list[bytes]]:
-    """A text's bytes between edges, cut behind every space; each stretch has the DEPTH bytes before it in front."""
-    data = _EDGE * DEPTH + text + _EDGE
-    out, at = [], DEPTH
-    for part in data[DEPTH:].split(b" "):
-        end = at + len(part) + 1
-        out.append(data[at - DEPTH : end])
-        at = end
-    return data, out
+def _stretches(text: bytes) -> list[bytes]:
+    """A text's words with the space behind each, cut at spaces only; the edge marks a text's first and last one."""
+    out = text.split(b" ")
+    out[0] = _EDGE + out[0]
+    out[-1] += _EDGE
+    return out
 
 
 def _codes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the stretches: itself and the DEPTH bytes before as one number, the latest byte lowest; and its stretch."""
+    """For every byte of the stretches: itself and its context as one number, the latest byte lowest; and its stretch.
+
+    A context reaches back to the space before its word, or to the text's start; beyond stand edges.
+    """
+    start, inner = _EDGE * DEPTH, _EDGE * (DEPTH - 1) + b" "
+    keys = [(start + k[1:] if k[:1] == _EDGE else inner + k) + (b"" if k[-1:] == _EDGE and len(k) > (k[:1] == _EDGE) else b" ") for k in keys]
     lengths = np.fromiter(map(len, keys), np.int64, len(keys))
     raw = np.frombuffer(b"".join(keys), np.uint8).astype(np.int64)
     ends = np.cumsum(lengths)
@@ -78,10 +80,10 @@ def _counted(batches):
     for batch in batches:
         for t in batch.column(0).cast(pa.binary()):
             text = (t.as_py() or b"").lower()
-            keys.update(_stretches(text)[1])
+            keys.update(_stretches(text))
             words.update(text.split())
             ends += 1
-            if len(keys) > 2_000_000:
+            if len(keys) > MOST_KEYS:
                 yield out()
                 keys, words, ends = Counter(), Counter(), 0
     yield out()
@@ -222,7 +224,7 @@ def _scored(shared, tag: str):
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = [(t.as_py() or b"").lower() for t in part.column(1).cast(pa.binary())]
-                cut = [_stretches(t)[1] for t in texts]
+                cut = [_stretches(t) for t in texts]
                 new = {k for keys in cut for k in keys if k not in scores}
                 if len(scores) + len(new) > MOST_KEYS:
                     scores.clear()

@@ -130,15 +130,17 @@ def test_spans_against_force(spark):
 
 def test_context_tree_is_a_distribution_and_beats_its_parts():
     text = b"the cat sat on the mat and the cat ran to the rat " * 20
-    code, of = context_tree._codes(context_tree._stretches(text)[1])
+    code, of = context_tree._codes(context_tree._stretches(text))
     grams = []
     for d in range(context_tree.DEPTH + 1):
         g, where = np.unique(code & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
         grams.append((g >> 8, g & 255, np.bincount(where).astype(float)))
     tree = context_tree.Tree(grams)
+    total = sum(len(k) for k in context_tree._stretches(text)) + text.count(b" ") - 1
+    assert len(code) == total == len(text) + 1
     for logs in tree.logs:
         assert np.abs((10.0 ** logs.astype(float)).sum(1) - 1).max() < 1e-5
-    length = lambda t, x: -math.fsum(t.score(context_tree._stretches(x)[1])) * math.log2(10) / (len(x) + 1)
+    length = lambda t, x: -math.fsum(t.score(context_tree._stretches(x))) * math.log2(10) / (len(x) + 1)
     assert length(tree, b"the cat ran to the mat") < 0.6 * length(context_tree.Tree(grams[:1]), b"the cat ran to the mat")
 
 
