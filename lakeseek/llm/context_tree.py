@@ -121,7 +121,7 @@ def _byte_logs(ones: np.ndarray) -> np.ndarray:
     for level in range(8):
         p = ones[:, at : at + (1 << level)]
         at += 1 << level
-        out = np.stack((out + np.log10(1 - p), out + np.log10(p)), 2).reshape(len(ones), -1)
+        out = np.stack((out + np.log10(1 - p), out + np.log10(p)), 2).reshape(len(ones), 2 << level)
     return out.astype(np.float32)
 
 
