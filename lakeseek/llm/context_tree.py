@@ -1,10 +1,13 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A byte is eight binary decisions. Each of the 255 decision nodes has a tree of contexts, the last 0 to DEPTH bytes, back to the space before
-the word at most (so that a word is scored once and remembered); a context estimates its decision by Krichevsky-Trofimov counts, and every depth is mixed: P(context) = (KT + product over longer contexts) / 2. Counts come
-from all training texts. A context is kept as a node if it makes up at least SHARE of all training bytes; the others below the same node form one
-node together, so nothing is lost and a model has at most DEPTH / SHARE + 1 contexts, whatever the input. Texts are scored under the trained tree,
-with an end symbol (byte 255, which UTF-8 never has) that also stands before each text.
+A byte is eight binary decisions. Each of the 255 decision nodes has a tree of contexts, the last 0 to DEPTH bytes whatever they are; a context
+estimates its decision by Krichevsky-Trofimov counts, and every depth is mixed: P(context) = (KT + product over longer contexts) / 2. Counts come
+from all training texts. A context is kept as a node if it was seen KEEP times at least; the others below the same node form one node together, so
+nothing is lost, and the tree grows with the corpus. Texts are scored under the trained tree, with an end symbol (byte 255, which UTF-8 never has)
+that also stands before each text.
+
+The tree is never in one place. Texts are dealt by hash into blocks of about BLOCK bytes; a block's distinct n-grams go to the buckets of the
+last two bytes of their contexts, which hold whole subtrees. Only depths 0 to 2 meet on the driver. Buckets send each block the logs of its n-grams.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ from pyspark.sql import functions as F
 
 from lakeseek.llm.common import remainder, saved, worker_state
 
-DEPTH, SHARE = 6, 2.0**-16
+DEPTH, KEEP = 6, 2
+#: Text bytes of a block, positions counted at once, and buckets at least.
+BLOCK, CHUNK, BUCKETS = 48_000_000, 4_000_000, 256
+#: Depth of the contexts that buckets are made of.
+TOP = 2
 #: Words whose share of the tokens is at least this are broadcast, 1 / WORD_SHARE at most; the others are joined.
 WORD_SHARE = 2.0**-18
 END = -1  # the end token's key
-_GRAM, _WORD = 0, 1
 _EDGE = b"\xff"
 MOST_KEYS = 300_000
 
@@ -43,52 +49,119 @@ def _stretches(text: bytes) -> list[bytes]:
     return out
 
 
+def _text_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the texts and their ends: itself and the DEPTH bytes before as one number, the latest byte lowest; and where each text starts."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    raw = np.frombuffer(b"".join([x for t in texts for x in (_EDGE * DEPTH, t, _EDGE)]), np.uint8).astype(np.int64)
+    two = raw[1:] | raw[:-1] << 8
+    four = two[2:] | two[:-2] << 16
+    code = four[3:] | four[:-3] << 24  # seven bytes; the middle one is in both
+    start = np.cumsum(lengths) - lengths
+    keep = np.ones(len(code), bool)
+    for i in range(DEPTH):  # what begins before a text, less the first one's edges
+        keep[(start + DEPTH * np.arange(len(texts)))[1:] - 1 - i] = False
+    return code[keep], start
+
+
 def _codes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the stretches: itself and its context as one number, the latest byte lowest; and its stretch.
+    """The codes of a text from its stretches, and each code's stretch."""
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
+    lengths[0] -= 1
+    lengths[-1] -= 1
+    return _text_codes([b" ".join(keys)[1:-1]])[0], np.repeat(np.arange(len(keys)), lengths)
 
-    A context reaches back to the space before its word, or to the text's start; beyond stand edges.
-    """
-    start, inner = _EDGE * DEPTH, _EDGE * (DEPTH - 1) + b" "
-    keys = [(start + k[1:] if k[:1] == _EDGE else inner + k) + (b"" if k[-1:] == _EDGE and len(k) > (k[:1] == _EDGE) else b" ") for k in keys]
-    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
-    raw = np.frombuffer(b"".join(keys), np.uint8).astype(np.int64)
-    ends = np.cumsum(lengths)
-    at = np.arange(len(raw)) - np.repeat(ends - lengths, lengths)
-    code = np.zeros(len(raw), np.int64)
-    for d in range(DEPTH + 1):
-        code[d:] |= raw[: len(raw) - d] << (8 * d)
-    keep = at >= DEPTH
-    return code[keep], np.repeat(np.arange(len(keys)), lengths - DEPTH)
-
-
-def _counted(batches):
-    """Texts -> (kind, code, n): n-grams of DEPTH + 1 bytes and word tokens of a partition."""
-    keys, words, ends = Counter(), Counter(), 0
+
+def _words(batches):
+    """Texts -> (code, n): word tokens of a partition."""
+    words, ends = Counter(), 0
 
     def out():
-        held = list(keys)
-        code, of = _codes(held) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-        n = np.fromiter(keys.values(), np.int64, len(held))[of] if held else code
-        grams, where = np.unique(code, return_inverse=True)
-        total = np.bincount(where, weights=n, minlength=len(grams)).astype(np.int64) if len(grams) else grams
-        w = [_word_key(x) for x in words]
-        kind = np.concatenate((np.full(len(grams), _GRAM), np.full(len(w) + 1, _WORD)))
-        code = np.concatenate((grams, np.array([*w, END], np.int64)))
-        total = np.concatenate((total, np.array([*words.values(), ends], np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(code), pa.array(total)], names=["kind", "code", "n"])
+        code = np.array([*map(_word_key, words), END], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.array([*words.values(), ends], np.int64))], names=["code", "n"])
 
     for batch in batches:
         for t in batch.column(0).cast(pa.binary()):
-            text = (t.as_py() or b"").lower()
-            keys.update(_stretches(text))
-            words.update(text.split())
+            words.update((t.as_py() or b"").lower().split())
             ends += 1
-            if len(keys) > MOST_KEYS:
+            if len(words) > MOST_KEYS:
                 yield out()
-                keys, words, ends = Counter(), Counter(), 0
+                words, ends = Counter(), 0
     yield out()
 
 
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their n."""
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(n[order], first)
+
+
+def _counts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(_text_codes(texts)[0])
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers as differences, byte by byte: nearly all are zero, for the shuffle's compression."""
+    return np.diff(x, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(len(x), 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, len(x) // 8).T).view("<i8").ravel())
+
+
+def _bucket(codes: np.ndarray, n: int) -> np.ndarray:
+    return ((codes >> 8) & 0xFFFF) * 40503 % 65521 % n
+
+
+def _counted(n_buckets: int):
+    """Rows (block, held_out, text) sorted by block -> (bucket, block, codes, counts): a block's distinct n-grams, counted in what is learned from."""
+
+    def out(block, parts):
+        codes, n = _summed(*(np.concatenate([p[j] for p in parts]) for j in range(2)))
+        bucket = _bucket(codes, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        codes, n = codes[order], n[order]
+        which, first = np.unique(bucket[order], return_index=True)
+        cut = [slice(a, b) for a, b in zip(first, [*first[1:], len(codes)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(which), block)), pa.array([_packed(codes[c]) for c in cut], pa.binary()), pa.array([_packed(n[c]) for c in cut], pa.binary())], names=["bucket", "block", "codes", "counts"])
+
+    def run(batches):
+        at, parts, waiting, size = None, [], ([], []), 0
+
+        def count():
+            for held_out in (0, 1):
+                if waiting[held_out]:
+                    codes, n = _counts_of(waiting[held_out])
+                    parts.append((codes, n * (1 - held_out)))
+                    waiting[held_out].clear()
+            if sum(len(p[0]) for p in parts) > 2 * CHUNK:
+                parts[:] = [_summed(*(np.concatenate([p[j] for p in parts]) for j in range(2)))]
+
+        for batch in batches:
+            for block, held_out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                if block != at:
+                    count()
+                    if parts:
+                        yield out(at, parts)
+                    at, parts, size = block, [], 0
+                text = (t.as_py() or b"").lower()
+                waiting[held_out].append(text)
+                size += len(text) + 1
+                if size > CHUNK:
+                    count()
+                    size = 0
+        count()
+        if parts:
+            yield out(at, parts)
+
+    return run
+
+
 def _log_gamma_half(n: np.ndarray) -> np.ndarray:
     """log gamma(n + 1/2), by Stirling's series shifted to where it is exact to 1e-12."""
     x = n + 0.5
@@ -191,68 +264,217 @@ class Tree:
         return np.bincount(of, weights=out, minlength=len(keys)).tolist()
 
 
-def learn_tree(counts: DataFrame) -> Tree:
-    """The tree of counts (code, n) of (DEPTH + 1)-byte n-grams.
-
-    Depth by depth, as a context is kept only if the one shorter by a byte is: each step reads the counts, keeps what continues a kept context (at most
-    1 / SHARE of them, which are broadcast) and sums. The driver gets the kept contexts' counts.
+def _nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions [byte, 8] on the way to each byte, 1 to 255, and their outcomes."""
+    level = np.arange(8)
+    return (1 << level) | (byte[:, None] >> (8 - level)), (byte[:, None] >> (7 - level)) & 1
+
+
+def _mask(d: int) -> int:
+    return (1 << (8 * d)) - 1
+
+
+def _shorter(keys: np.ndarray, d: int) -> np.ndarray:
+    """Keys (context and decision) of the contexts of d bytes that end the keys' contexts."""
+    return ((keys >> 8) & _mask(d)) << 8 | keys & 255
+
+
+def _place(held: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of want stands in held, which is in order, and whether it does."""
+    if not len(held):
+        return np.zeros(want.shape, np.int64), np.zeros(want.shape, bool)
+    i = np.minimum(np.searchsorted(held, want), len(held) - 1)
+    return i, held[i] == want
+
+
+class Level:
+    """The kept contexts of d bytes: keys (context and decision, those met only) with counts, and what the mixture makes of them."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, d: int, below: tuple | None = None):
+        """codes, n: distinct n-grams of d + 1 bytes in order; below: keys and mixed of the contexts longer by one, and their n-grams that belong to none."""
+        self.d = d
+        context, total = _summed(codes >> 8, n)
+        self.contexts = context[total >= KEEP] if d else np.zeros(1, np.int64)
+        kept = _place(self.contexts, codes >> 8)[1]
+        self.dropped = codes[~kept], n[~kept]
+        self.keys, self.zeros, self.ones = self._tally(codes[kept], n[kept])
+        self.log_kt = _log_kt(self.zeros, self.ones)
+        self.rest_zeros, self.rest_ones = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        self.mixed = self.log_kt
+        if below is not None:
+            keys, mixed, (codes, n) = below
+            near, zeros, ones = self._tally(codes & _mask(d + 1), n)
+            i, held = _place(self.keys, near)
+            self.rest_zeros[i[held]], self.rest_ones[i[held]] = zeros[held], ones[held]
+            longer = np.bincount(np.searchsorted(self.keys, _shorter(keys, d)), mixed, len(self.keys)) if len(keys) else 0.0
+            self.mixed = np.logaddexp(self.log_kt, longer + _log_kt(self.rest_zeros, self.rest_ones)) - math.log(2)
+
+    def _tally(self, codes, n):
+        node, bit = _nodes(codes & 255)
+        keys, of = np.unique(((codes >> 8) << 8)[:, None] | node, return_inverse=True)
+        n = np.repeat(n.astype(np.float64), 8)
+        return keys, *(np.bincount(of.ravel(), n * (bit.ravel() == b), len(keys)) for b in (0, 1))
+
+    def below(self) -> tuple:
+        return self.keys, self.mixed, self.dropped
+
+    def weigh(self, shorter: Level | None) -> None:
+        """p: probability of a one where no longer context is kept; half: where the decision was never met in the longer one."""
+        kt = (self.ones + 0.5) / (self.zeros + self.ones + 1)
+        own = np.exp(np.minimum(self.log_kt - math.log(2) - self.mixed, 0)) if self.d < DEPTH else np.ones(len(kt))
+        i = np.searchsorted(shorter.keys, _shorter(self.keys, self.d - 1)) if shorter else None
+        upto, weight = (shorter.upto[i], shorter.left[i]) if shorter else (0.0, 1.0)
+        self.upto, self.left = upto + weight * own * kt, weight * (1 - own)
+        self.p = self.upto + self.left * (self.rest_ones + 0.5) / (self.rest_zeros + self.rest_ones + 1)
+        self.half = self.upto + self.left * 0.5
+
+
+def grow(codes: np.ndarray, n: np.ndarray, deepest: int, last: int, below: tuple | None = None) -> list[Level]:
+    """Levels last to deepest of distinct n-grams of deepest + 1 bytes."""
+    levels = []
+    for d in range(deepest, last - 1, -1):
+        codes, n = _summed(codes & _mask(d + 1), n)
+        levels.append(Level(codes, n, d, below))
+        below = levels[-1].below()
+    return levels[::-1]
+
+
+def byte_logs(codes: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 probability of each n-gram's last byte after the others, from weighed levels 0 to DEPTH."""
+    node, bit = _nodes(codes & 255)
+    p, half = np.full(node.shape, 0.5), np.full(node.shape, 0.5)
+    live = np.arange(len(codes))
+    for level in levels:
+        context = (codes[live] >> 8) & _mask(level.d)
+        kept = _place(level.contexts, context)[1]
+        live, context = live[kept], context[kept]
+        if not len(live):
+            break
+        i, met = _place(level.keys, context[:, None] << 8 | node[live])
+        if len(level.keys):
+            half[live] = np.where(met, level.half[i], half[live])
+            p[live] = np.where(met, level.p[i], half[live])
+    return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1)).sum(1)
+
+
+_MODEL, _HAS, _SHORT = 0, 1, 2
+
+
+def _merged(batches):
+    """Rows (bucket, block, codes, counts) sorted by bucket -> (bucket, kind, block, a, b).
+
+    _MODEL: the bucket's n-grams and counts; _HAS: which of them a block has, as bits; _SHORT: its n-grams of TOP + 1 bytes, counted, and its keys of TOP bytes, mixed.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept, parts = None, []
-    for d in range(DEPTH + 1):
-        rows = counts.select(F.col("code").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram"), "n")
-        if kept is not None:
-            shorter = F.shiftright("gram", 8).bitwiseAND((1 << (8 * (d - 1))) - 1)
-            rows = rows.join(F.broadcast(kept.withColumnRenamed("context", "_c")), shorter == F.col("_c"), "left_semi")
-        grams = rows.groupBy("gram").agg(F.sum("n").alias("n")) if d < DEPTH else rows
-        grams = saved(grams.select(F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n"))
-        kept = saved(grams.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= max(1.0, total * SHARE)).select("context"))
-        found = grams.join(F.broadcast(kept), "context").toPandas()
-        parts.append((found["context"].to_numpy(np.int64), found["byte"].to_numpy(np.int64), found["n"].to_numpy(np.float64)))
-    return Tree(parts)
+
+    def out(bucket, held):
+        codes, n = _summed(np.concatenate([c for _, c, _ in held]), np.concatenate([x for _, _, x in held]))
+        learned = n > 0
+        level = grow(codes[learned], n[learned], DEPTH, TOP)[0]
+        short = _summed(codes[learned] & _mask(TOP + 1), n[learned])
+        rows = [(_MODEL, -1, _packed(codes), _packed(n)), (_SHORT, -1, _packed(short[0]), _packed(short[1])), (_SHORT, -2, _packed(level.keys), level.mixed.tobytes())]
+        for block, c, _ in held:
+            has = np.zeros(len(codes), bool)
+            has[np.searchsorted(codes, c)] = True
+            rows.append((_HAS, block, np.packbits(has).tobytes(), b""))
+        kind, block, a, b = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int64()), pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "kind", "block", "a", "b"])
+
+    at, held = None, []
+    for batch in batches:
+        for bucket, block, codes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != at and held:
+                yield out(at, held)
+                held = []
+            at = bucket
+            held.append((block, _unpacked(codes), _unpacked(n)))
+    if held:
+        yield out(at, held)
+
+
+def _logs(shared):
+    """Rows (bucket, kind, block, a, b) of _MODEL and _HAS sorted by bucket and kind -> (block, codes, logs)."""
+
+    def run(batches):
+        for batch in batches:
+            for _, kind, block, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == _MODEL:
+                    codes, n = _unpacked(a), _unpacked(b)
+                    top = shared.value
+                    levels = grow(codes[n > 0], n[n > 0], DEPTH, TOP)
+                    for shorter, level in zip([top[-1], *levels[:-1]], levels, strict=True):
+                        level.weigh(shorter)
+                    logs = np.concatenate([byte_logs(codes[s : s + 200_000], [*top, *levels]) for s in range(0, len(codes), 200_000)]).astype(np.float32)
+                    continue
+                has = np.unpackbits(np.frombuffer(a, np.uint8), count=len(codes)).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(codes[has])], pa.binary()), pa.array([logs[has].tobytes()], pa.binary())], names=["block", "codes", "logs"])
+
+    return run
+
+
+def gram_logs(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    """(block, codes, logs): the log10 probabilities of the n-grams of each block of texts (block, held_out, text), in parts."""
+    counted = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_counted(n_buckets), "bucket long, block long, codes binary, counts binary")
+    merged = saved(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "bucket long, kind int, block long, a binary, b binary"))
+    short = merged.where(f"kind = {_SHORT}").select("block", "a", "b").collect()
+    grams = [(_unpacked(r[1]), _unpacked(r[2])) for r in short if r[0] == -1]
+    keyed = [(_unpacked(r[1]), np.frombuffer(r[2])) for r in short if r[0] == -2]
+    none = np.empty(0, np.int64), np.empty(0)
+    codes, n = _summed(*(np.concatenate([none[j], *(g[j] for g in grams)]).astype(np.int64) for j in range(2)))
+    keys, mixed = _summed(*(np.concatenate([none[j], *(k[j] for k in keyed)]) for j in range(2)))
+    top = grow(codes, n, TOP - 1, 0, (keys, mixed, Level(codes, n, TOP).dropped))
+    for shorter, level in zip([None, *top[:-1]], top, strict=True):
+        level.weigh(shorter)
+    shared = blocks.sparkSession.sparkContext.broadcast(top)
+    parts = merged.where(f"kind <> {_SHORT}").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return parts.mapInArrow(_logs(shared), "block long, codes binary, logs binary")
 
 
 def _scored(shared, tag: str):
     def run(batches):
         gc.disable()  # the caches hold no cycles
-        tree = Tree.__new__(Tree)
-        (tree.contexts, tree.logs), word_codes, word_logs, floor, known_end = shared.value
-        scores = worker_state(f"stretches:{tag}", dict)
+        word_codes, word_logs, floor, known_end = shared.value
         frequent = worker_state(f"frequent:{tag}", lambda: dict(zip(word_codes.tolist(), word_logs.tolist(), strict=True)))
         base = worker_state(f"base:{tag}", dict)
+        at, parts, held, logs = None, [], None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = [(t.as_py() or b"").lower() for t in part.column(1).cast(pa.binary())]
-                cut = [_stretches(t) for t in texts]
-                new = {k for keys in cut for k in keys if k not in scores}
-                if len(scores) + len(new) > MOST_KEYS:
-                    scores.clear()
-                    new = {k for keys in cut for k in keys}
-                new = list(new)
-                scores.update(zip(new, tree.score(new), strict=True)) if new else None
-                score, length, n_tokens, n_known, sums, rare = [], [], [], [], [], []
-                for text, keys in zip(texts, cut, strict=True):
-                    score.append(math.fsum([scores[k] for k in keys]))
-                    length.append(-score[-1] * math.log2(10) / (len(text) + 1))
-                    words = text.split()
-                    n_tokens.append(len(words) + 1)
-                    known, total, rest = int(known_end is not None), known_end if known_end is not None else floor, Counter()
-                    logs = [base.get(w, 1.0) for w in words]
-                    for i, x in enumerate(logs):
-                        if x == 1.0:
-                            w = words[i]
-                            if len(base) > MOST_KEYS:
-                                base.clear()
-                            x = base[w] = frequent.get(_word_key(w), 2.0)
-                            logs[i] = x
-                    if 2.0 in logs:
-                        rest.update(_word_key(w) for w, x in zip(words, logs, strict=True) if x == 2.0)
-                    held = [x for x in logs if x != 2.0]
-                    n_known.append(known + len(held))
-                    sums.append(total + math.fsum(held))
-                    rare.append([{"w": k, "n": n} for k, n in rest.items()])
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(score, pa.float64()), pa.array(length, pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "held_out", "row", "score", "code_length", "n_tokens", "n_known", "sums", "rare"])
+            blocks, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (is_text[1:] != is_text[:-1])))).tolist() if batch.num_rows else []
+            for s, e in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                if blocks[s] != at:
+                    at, parts, held = blocks[s], [], None
+                if not is_text[s]:
+                    parts += [(_unpacked(c), np.frombuffer(x, np.float32)) for c, x in zip(batch.column(2).slice(s, e - s).to_pylist(), batch.column(3).slice(s, e - s).to_pylist(), strict=True)]
+                    continue
+                if held is None:
+                    held, logs = (np.concatenate([p[j] for p in parts]) for j in range(2))
+                    order, parts = np.argsort(held), []
+                    held, logs = held[order], logs[order].astype(np.float64)
+                for start in range(s, e, 500):
+                    part = batch.slice(start, min(500, e - start))
+                    texts = [(t.as_py() or b"").lower() for t in part.column(7).cast(pa.binary())]
+                    code, first = _text_codes(texts)
+                    score = np.add.reduceat(logs[np.searchsorted(held, code)], first).tolist()
+                    length, n_tokens, n_known, sums, rare = [], [], [], [], []
+                    for text, own in zip(texts, score, strict=True):
+                        length.append(-own * math.log2(10) / (len(text) + 1))
+                        words = text.split()
+                        n_tokens.append(len(words) + 1)
+                        known, total, rest = int(known_end is not None), known_end if known_end is not None else floor, Counter()
+                        found = [base.get(w, 1.0) for w in words]
+                        for i, x in enumerate(found):
+                            if x == 1.0:
+                                w = words[i]
+                                if len(base) > MOST_KEYS:
+                                    base.clear()
+                                x = base[w] = frequent.get(_word_key(w), 2.0)
+                                found[i] = x
+                        if 2.0 in found:
+                            rest.update(_word_key(w) for w, x in zip(words, found, strict=True) if x == 2.0)
+                        often = [x for x in found if x != 2.0]
+                        n_known.append(known + len(often))
+                        sums.append(total + math.fsum(often))
+                        rare.append([{"w": k, "n": n} for k, n in rest.items()])
+                    yield pa.RecordBatch.from_arrays([*part.columns[4:7], pa.array(score, pa.float64()), pa.array(length, pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "held_out", "row", "score", "code_length", "n_tokens", "n_known", "sums", "rare"])
 
     return run
 
@@ -266,20 +488,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     fold, t = remainder(F.col("doc_id"), 5), F.col("text").cast("string")
-    counts = docs.where(fold != 1).select(t.alias("text")).mapInArrow(_counted, "kind int, code long, n long")
-    counts = saved(counts.groupBy("kind", "code").agg(F.sum("n").alias("n")).where("n > 0"))
-    words = counts.where(f"kind = {_WORD}").select(F.col("code").alias("w"), F.col("n").alias("c"))
+    words = docs.where(fold != 1).select(t.alias("text")).mapInArrow(_words, "code long, n long")
+    words = saved(words.groupBy(F.col("code").alias("w")).agg(F.sum("n").alias("c")).where("c > 0"))
     v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     scale = n + 0.5 * (v + 1)
     log = lambda c: F.log10((c + F.lit(0.5)) / F.lit(scale))
     often = F.col("c") >= max(1.0, n * WORD_SHARE)
     frequent = words.where(often & (F.col("w") != END)).toPandas()
     end = words.where(f"w = {END}").first()
-    tree = learn_tree(counts.where(f"kind = {_GRAM}").select("code", "n"))
     as_log = lambda c: np.log10((c + 0.5) / scale)
-    shared = spark.sparkContext.broadcast(((tree.contexts, tree.logs), frequent["w"].to_numpy(np.int64), as_log(frequent["c"].to_numpy(np.float64)), float(as_log(0.0)), float(as_log(end[1])) if end else None))
+    shared = spark.sparkContext.broadcast((frequent["w"].to_numpy(np.int64), as_log(frequent["c"].to_numpy(np.float64)), float(as_log(0.0)), float(as_log(end[1])) if end else None))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", t.alias("text"), (fold == 1).alias("held_out"), F.xxhash64("doc_id", t).alias("row"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(t) + F.lit(1)), F.lit(0))).first()[0]
+    n_blocks = 1 + size // BLOCK
+    row = F.xxhash64("doc_id", t)
+    dealt = docs.select(F.pmod(row, F.lit(n_blocks)).alias("block"), "doc_id", (fold == 1).alias("held_out"), row.alias("row"), t.alias("text"))
+    logs = gram_logs(dealt.select("block", "held_out", "text"), max(BUCKETS, 4 * n_blocks))
+    lead = logs.select("block", F.lit(0).alias("is_text"), "codes", "logs", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text"))
+    rows = lead.unionByName(dealt.withColumns({"is_text": F.lit(1), "codes": F.lit(None).cast("binary"), "logs": F.lit(None).cast("binary")}))
+    rows = rows.repartition("block").sortWithinPartitions("block", "is_text")
     rows = saved(rows.mapInArrow(_scored(shared, uuid.uuid4().hex), f"doc_id {kind}, held_out boolean, row long, score double, code_length double, n_tokens long, n_known long, sums double, rare array<struct<w:long,n:long>>"))
     # Rare words are looked up by a join; rows alike in all have the same sums, one of them asks.
     asked = rows.select("row", "rare").where(F.size("rare") > 0).select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.n")

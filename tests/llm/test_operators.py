@@ -144,6 +144,47 @@ def test_context_tree_is_a_distribution_and_beats_its_parts():
     assert length(tree, b"the cat ran to the mat") < 0.6 * length(context_tree.Tree(grams[:1]), b"the cat ran to the mat")
 
 
+def whole_tree(texts):
+    """The tree of all contexts seen KEEP times, in one place."""
+    code = np.concatenate([context_tree._codes(context_tree._stretches(t))[0] for t in texts])
+    grams, kept = [], None
+    for d in range(context_tree.DEPTH + 1):
+        g, n = np.unique(code & ((1 << (8 * (d + 1))) - 1), return_counts=True)
+        context, of = np.unique(g >> 8, return_inverse=True)
+        keep = np.bincount(of, n)[of] >= context_tree.KEEP
+        grams.append((g[keep] >> 8, g[keep] & 255, n[keep].astype(float)))
+    return context_tree.Tree(grams)
+
+
+def scored_and_whole(spark, rows):
+    got = {r["doc_id"]: r["score"] for r in context_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tree = whole_tree([t.encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1])
+    return got, {i: math.fsum(tree.score(context_tree._stretches(t.encode().lower()))) for i, t in rows}
+
+
+def test_rare_contexts_keep_their_counts_in_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "BLOCK", 200_000)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoin", k=rng.randint(2, 5))) for _ in range(30)]
+    rows = [(i, " ".join(rng.choices(words, k=2500)) + (" Zyxwvu\u00e9q" if i % 8 == 0 else "")) for i in range(70)]
+    got, want = scored_and_whole(spark, rows)  # the rare word makes up less than 2^-16 of the bytes
+    assert max(abs(got[i] - want[i]) / abs(want[i]) for i, _ in rows) < 1e-5
+    plain = {i: t.removesuffix(" Zyxwvu\u00e9q") for i, t in rows}
+    tree = whole_tree([t.encode().lower() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1])
+    cost = [math.fsum(tree.score(context_tree._stretches(plain[i].encode().lower()))) - got[i] for i, _ in rows if i % 8 == 0]
+    assert max(cost) < 12  # an unknown word of nine bytes costs about 20
+
+
+def test_contexts_cross_words(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("ab cd", "xb ef")) for _ in range(60))) for i in range(60)] + [(100 + i, t) for i in range(10) for t in (["ab cd " * 30, "ab ef " * 30][i % 2],)]
+    got, want = scored_and_whole(spark, rows[:60] + rows[60:])
+    assert max(abs(got[i] - want[i]) / abs(want[i]) for i, _ in rows) < 1e-5
+    tree = whole_tree([t.encode() for i, t in rows[:60]])
+    length = lambda x: -math.fsum(tree.score(context_tree._stretches(x)))
+    assert length(b"ab cd ab cd ab cd") < 0.5 * length(b"ab ef ab ef ab ef")  # the same words, in the wrong order
+
+
 def test_base_score(spark, docs):
     got = {r.doc_id: r for r in context_tree.score_texts(docs).collect()}
     counts, rows = Counter(), [(r.doc_id, r.text) for r in docs.collect()]
