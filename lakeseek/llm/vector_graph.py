@@ -3,9 +3,9 @@
 1. Equal vectors of a label collapse to one. Each label is cut into cells around centroids, fitted on a bounded sample; every vector
    belongs to its nearest OVERLAP cells, so the cells overlap; cells that are close to each other overlap in a joint cell too.
 2. Every cell builds a graph of its vectors by robust pruning: a vector keeps a near neighbour only if none it has kept is closer to
-   that neighbour by the factor ALPHA. The cells' adjacency lists are joined into one list for each vector.
+   that neighbour by the factor ALPHA. A spanning tree of the largest cosines joins crowds that pruning leaves apart. The cells' adjacency lists are joined into one list for each vector.
 3. Every vector searches its cells: greedily from the cell's medoid with a beam, then expanding its range, over all neighbours of
-   what lies within the threshold plus SLACK, until nothing new is found. Pairs are verified by cosine in double precision.
+   itself and what lies within the threshold plus SLACK, until nothing new is found. Pairs are verified by cosine in double precision.
 4. audit() measures recall against brute force.
 
 Cells are cut so that they hold about CELL vectors whatever the label's size; one that comes out larger than 4 * CELL is dealt into
@@ -71,12 +71,36 @@ def robust_prune(sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -
     return out
 
 
+def bridges(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of the spanning tree of largest cosines: pruning sees near candidates only, so crowds would be parts of their own."""
+    best, near, out = sims[0].copy(), np.zeros(len(sims), np.int64), np.zeros((2, len(sims) - 1), np.int64)
+    best[0] = -9
+    used = best < -8
+    for i in range(len(sims) - 1):
+        j = int(best.argmax())
+        out[:, i] = near[j], j
+        used[j], best[j] = True, -9
+        closer = (sims[j] > best) & ~used
+        best[closer], near[closer] = sims[j, closer], j
+    return out[0], out[1]
+
+
+def adjacency(vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the vectors of a cell: pruned neighbours, and bridges between what they leave apart."""
+    if len(vecs) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sims = np.clip(vecs @ vecs.T, -1, 1)
+    near = robust_prune(sims)
+    a, b = np.nonzero(near >= 0)
+    c, d = bridges(sims)
+    return np.concatenate((a, c)), np.concatenate((near[a, b], d))
+
+
 def _built(batches):
     """Rows (cell, id, vec) sorted by cell -> (id, near): each cell's adjacency lists, both ways."""
     for _, ids, vecs in _by_cell(batches):
-        near = robust_prune(np.clip(vecs @ vecs.T, -1, 1)) if len(ids) > 1 else np.empty((len(ids), 0), np.int64)
-        a, b = np.nonzero(near >= 0)
-        a, b = ids[a], ids[near[a, b]]
+        a, b = adjacency(vecs)
+        a, b = ids[a], ids[b]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b))), pa.array(np.concatenate((b, a)))], names=["id", "near"])
 
 
@@ -148,9 +172,9 @@ def _search_block(vecs, table, rows, medoid, threshold, beam, slack):
             sims = np.concatenate((sims, np.full((m, grow), -9.0)), 1)
             done = np.concatenate((done, np.ones((m, grow), bool)), 1)
         pool[live, : top.shape[1]], sims[live, : top.shape[1]], done[live, : top.shape[1]] = (np.take_along_axis(x, top, 1) for x in (ids, every, seen))
-    # From all that lies near enough the range grows over neighbours.
+    # From all that lies near enough, and the query itself, the range grows over neighbours.
     q, c = np.nonzero(sims >= threshold - slack)
-    known = frontier = np.unique(q * n + pool[q, c])
+    known = frontier = np.unique(np.concatenate((q * n + pool[q, c], np.arange(m) * n + rows)))
     while len(frontier):
         grown = []
         for s in range(0, len(frontier), step := max(1, GATHER // table.shape[1])):

@@ -289,6 +289,21 @@ def test_vector_links_against_force(spark):
     assert vector_graph.audit(df, vector_graph.graph_links(usable)) >= 0.9
 
 
+def test_crowds_apart_and_crowds_within_a_crowd(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    far = unit(rng.normal(size=(3, 32)))
+    # One crowd of two crowds, cosine about 0.95 between them, and two crowds apart: all 120 candidates of a vector lie in its own.
+    at = np.stack([far[0], unit(far[0] + 0.32 * unit(rng.normal(size=32))), far[1], far[2]])
+    vecs = np.concatenate([unit(c + 0.015 * rng.normal(size=(150, 32))) for c in at])
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, label int, embedding array<double>")
+    links = vector_graph.graph_links(rows.selectExpr("vec_id id", "struct(label) label", "embedding vec")).cache()
+    want = np.argwhere(np.triu(vecs @ vecs.T >= 0.93, 1))
+    got = {(r["a"], r["b"]) for r in links.collect()}
+    assert len(want) > 4 * 150 * 149 / 2 and len(got) >= 0.999 * len(want)
+    assert vector_graph.audit(rows, links) >= 0.999
+
+
 def test_oversized_cells_are_dealt_into_pairs(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "CELL", 20)
     rng = np.random.default_rng(9)
