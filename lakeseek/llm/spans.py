@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences, and sentences of over PIECE words into pieces of PIECE words, counted from the sentence's end, so that a
-passage that begins within a sentence is cut alike wherever it stands. Every run of several consecutive pieces (RUN at least, and
+Texts are cut into sentences, and sentences of over PIECE words before words whose hash is the least of the REACH words on either side, or
+else after LONGEST words, so that a passage is cut alike wherever it stands, but for its first and last words. Every run of several consecutive pieces (RUN at least, and
 MIN_WORDS words at least) is hashed to 128 bits. Runs are joined globally; all pieces covered by a run that is not the first one of its
 kind (by doc_id, then place) are removed from their text.
 """
@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeseek.llm.common import Bounded
+
 PIECE, RUN, MIN_WORDS = 8, 3, 20
+REACH, LONGEST = 3, 16
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])")
 _WORD = re.compile(r"\S+")
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -43,22 +46,41 @@ class Powers:
         return self.of
 
 
+_HASHES = Bounded(200_000)
+
+
+def _hash(word: str) -> int:
+    _HASHES.make_room()
+    h = _HASHES[word] = xxhash.xxh3_64_intdigest(word)
+    return h
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Where the pieces of a sentence (lower-cased words) start, and its end."""
+    n = len(words)
+    if n <= PIECE:
+        return [0, n] if n else []
+    known, edge = _HASHES.get, [2**64] * REACH
+    h = [*edge, *[known(w) or _hash(w) for w in words], *edge]
+    out = [0]
+    for i in range(1, n):
+        x = h[i + REACH]
+        # The least; of equal ones the first.
+        if (x < h[i + REACH - 1] and x <= h[i + REACH + 1] and x < min(h[i : i + REACH]) and x <= min(h[i + REACH + 1 : i + 2 * REACH + 1])) or i - out[-1] == LONGEST:
+            out.append(i)
+    out.append(n)
+    return out
+
+
 def pieces(text: str) -> tuple[list[str], list[int]]:
     """Pieces of a text (lower-cased words, joined by a space) and their word counts."""
     out, counts = [], []
     for sentence in _BREAK.split(text.lower()):
         words = sentence.split()
-        n = len(words)
-        if not n:
-            continue
-        if n <= PIECE:
-            out.append(" ".join(words))
-            counts.append(n)
-            continue
-        for s in range(n % PIECE - PIECE if n % PIECE else 0, n, PIECE):
-            part = words[max(s, 0) : s + PIECE]
-            out.append(" ".join(part))
-            counts.append(len(part))
+        at = cuts(words)
+        for a, b in zip(at, at[1:]):
+            out.append(" ".join(words[a:b]))
+            counts.append(b - a)
     return out, counts
 
 
@@ -68,10 +90,8 @@ def piece_spans(text: str) -> list[tuple[int, int]]:
     for end in [*(m.span() for m in _BREAK.finditer(text)), (len(text), len(text))]:
         words = [m.span() for m in _WORD.finditer(text, at, end[0])]
         at = end[1]
-        n = len(words)
-        for s in range(n % PIECE - PIECE if n % PIECE else 0, n, PIECE):
-            part = words[max(s, 0) : s + PIECE]
-            out.append((part[0][0], part[-1][1]))
+        found = cuts([text[a:b].lower() for a, b in words])
+        out += [(words[a][0], words[b - 1][1]) for a, b in zip(found, found[1:])]
     return out
 
 

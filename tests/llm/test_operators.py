@@ -128,6 +128,21 @@ def test_spans_against_force(spark):
     assert set(gone) == {7, 9} and got[3].text == texts[3] and len(got[9].text.split()) < 14
 
 
+def test_spans_in_text_without_sentences(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(200)]
+    texts = [" ".join([*(word() for _ in range(7)), *passage, *(word() for _ in range(after))]) for after in (10, 13)]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    left = got[1].text.split()
+    assert got[0].text == texts[0] and left[:4] == texts[1].split()[:4] and left[-4:] == texts[1].split()[-4:]
+    assert sum(w in passage for w in left) <= 24
+    for t in (*texts, "ha " * 300, "x " + "A B. " * 40):
+        held, counts = spans.pieces(t)
+        found = spans.piece_spans(t)
+        assert [" ".join(t[a:b].lower().split()) for a, b in found] == held and max(counts) <= spans.LONGEST
+
+
 def test_context_tree_is_a_distribution_and_beats_its_parts():
     text = b"the cat sat on the mat and the cat ran to the rat " * 20
     code, of = context_tree._codes(context_tree._stretches(text))
