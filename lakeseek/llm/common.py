@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,26 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what saved() wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("lakeseek-"):
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def to_planes(x: np.ndarray, n: int = 8) -> bytes:
+    """The low n bytes of whole numbers, byte by byte: what they have in common is left to the shuffle's compression."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(len(x), 8)[:, :n].T).tobytes()
+
+
+def from_planes(b: bytes, n: int = 8) -> np.ndarray:
+    out = np.zeros((len(b) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(b, np.uint8).reshape(n, len(b) // n).T
+    return out.view("<i8").ravel()
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32(key as text) mod n; -1 for a null key, so that it belongs to no fold."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(n), F.lit(-1).cast("long"))
@@ -60,12 +81,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     lo, hi = F.least(a, b), F.greatest(a, b)
     now = saved(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct())
-    seen = None
+    seen, old = None, None
     for _ in range(rounds):
+        if old is not None:
+            discard(old)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
+        old = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
         now = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

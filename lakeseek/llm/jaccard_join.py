@@ -1,16 +1,16 @@
 """N-gram Jaccard join by a token-group matrix.
 
-1. Every document becomes the set of its word shingles. Pigeonhole signatures (shingles.Parts) put any two sets that can be
-   similar enough into one family; equal sets collapse to one representative.
-2. A family is dealt into groups of about GROUP similar sets; each group stores its token union and, as the rows of the
-   token-group matrix, which member holds which token.
-3. A query set's overlap with a group's union bounds its overlap with every member. Groups whose bound is below the
-   threshold stay shut; in the others all members are counted exactly.
-4. First each set probes its own group and its family's first one. Sets that are then outside their family's largest class
-   probe all its other groups. Every link between different classes is therefore tested or bounded; links within one class
-   need no test, as only classes are asked for.
-
-Nothing is capped. A group holds about GROUP sets whatever the family's size, as families are dealt by hash.
+1. Every document becomes the set of its word shingles. Equal sets collapse to one representative. Pigeonhole signatures
+   (shingles.Parts) are keys of which any two sets that can be similar enough share one.
+2. Similar sets form groups: each set goes to the group of the set that it shares most keys with (of the first sets of its keys), GROUP
+   sets at most and that one. A group is counted exactly within itself, and stores the union of its members' tokens as a
+   column of the token-group matrix: a bitmap of hashed tokens.
+3. What groups link makes classes. Where a key is shared by several classes, each set outside the key's largest class is a query to the
+   key's groups of other classes. Its tokens whose bits the group's column lacks bound its overlap with every member.
+4. Groups whose bound is below the threshold stay shut, and no token list is sent to them. The others are opened: all members are counted
+   exactly. So every pair of sets that share a key and are of different classes is tested or bounded.
+
+Nothing is capped. Links within a class need no test once it is one, as only classes are asked for.
 """
 
 from __future__ import annotations
@@ -20,82 +20,193 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import components, saved
-from lakeseek.llm.shingles import Parts, WordHash, fingerprint, mixed, shingle_set, word_hashes
+from lakeseek.llm.common import components, discard, from_planes, saved, to_planes
+from lakeseek.llm.shingles import Parts, WordHash, fingerprint, shingle_set, word_hashes
 
 GROUP = 48
 #: Queries that probe one copy of a group.
 TURN = 256
-#: Batches of sets in which equal signatures are joined before the shuffle.
-BATCH = 8192
-_CANDIDATE, _EQUAL, _SIZE = 0, 1, 2
+#: Sets (and tokens) in which equal signatures are joined before the shuffle.
+BATCH, BATCH_TOKENS = 8192, 3_000_000
+#: Bytes of text for each bucket of keys, about 600,000 keys.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 24
+#: Bits of a column for each token of its largest member.
+WIDTH = 4
+_SIZE, _EQUAL, _LINK, _KEY, _MEMBER = 0, 1, 2, 3, 4
+
+
+def _record(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (bucket, kind, n, a, b, c) of packed numbers."""
+    at = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(at, kinds, strict=True)], names=["bucket", "kind", "n", "a", "b", "c"])
+
+
+_PACKED = "bucket long, kind int, n int, a binary, b binary, c binary"
+
+
+def _dealt(bucket: np.ndarray, *columns: np.ndarray):
+    """(bucket, its rows of the columns), in the columns' order within a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+    for s, e in zip(starts, [*starts[1:], len(bucket)], strict=True):
+        yield int(bucket[s]), [c[s:e] for c in columns]
 
 
-def _signed(k: int, percent: int):
-    """(doc_id, text) -> rows (kind, key, a, b): what step 1 shuffles."""
+def _signed(k: int, percent: int, n_buckets: int):
+    """(doc, text) -> packed rows of what step 1 shuffles. Of sets in a batch that share a key the first goes to the key's bucket, the others to any."""
+
+    def out(docs: list, sets: list):
+        rows, at = [], abs(hash((len(docs), docs[0]))) % n_buckets
+        known = np.array([d is not None for d in docs])
+        ids = np.array([d if d is not None else 0 for d in docs], np.int64)
+        size = np.array([len(s) for s in sets], np.int64)
+        rows.append((at, _SIZE, len(docs), to_planes(ids), to_planes(size), known.tobytes()))
+        linked = np.flatnonzero(known & (size > 0))
+        linked = linked[np.argsort(ids[linked], kind="stable")].tolist()
+        prints: dict = {}
+        for i in linked:  # the first is the one with the smallest id
+            prints.setdefault(fingerprint(sets[i]), []).append(i)
+        if not prints:
+            return _record(rows)
+        copies = [(ids[o[0]], ids[i]) for o in prints.values() for i in o[1:] if ids[i] != ids[o[0]]]
+        if copies:
+            a, b = np.array(copies, np.int64).T
+            rows.append((at, _LINK, len(a), to_planes(b), to_planes(a), b""))
+        signing = [o[0] for o in prints.values()]
+        two = np.array(list(prints), np.int64)
+        for b, (x, y, d) in _dealt(two[:, 0] % n_buckets, two[:, 0], two[:, 1], ids[signing]):
+            rows.append((b, _EQUAL, len(d), to_planes(x), to_planes(y), to_planes(d)))
+        order = np.argsort(ids[signing], kind="stable")
+        signing = [signing[i] for i in order]
+        parts = worker_parts(percent)
+        signs = [parts.signatures(sets[i]) for i in signing]
+        key, who = np.concatenate(signs), np.repeat(ids[signing], [len(s) for s in signs])
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        own = np.zeros(len(key), bool)  # a document's second key of one value
+        own[1:] = ~new[1:] & (who[1:] == who[:-1])
+        key, who, new = key[~own], who[~own], new[~own]
+        followed = np.append(~new[1:], False)[new]
+        bucket, low = ((key >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), (key & np.uint64(2**48 - 1)).astype(np.int64)
+        least = int(who.min())
+        for b, (x, d, f) in _dealt(bucket[new], low[new], who[new] - least, followed):
+            rows.append((b, _KEY, len(d), to_planes(x, 6), to_planes(d), f.tobytes() + np.int64(least).tobytes()))
+        if not new.all():
+            rows.append((at, _MEMBER, int((~new).sum()), to_planes(_key64(bucket[~new], low[~new])), to_planes(who[~new]), b""))
+        return _record(rows)
 
     def run(batches):
-        known, parts = WordHash(), Parts(percent)
+        known, docs, sets, tokens = WordHash(), [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for at in range(0, batch.num_rows, BATCH):
-                doc, sets = ids.slice(at, BATCH).to_pylist(), [shingle_set(word_hashes(t.as_py(), known), k) for t in texts.slice(at, BATCH)]
-                linked = [i for i, s in enumerate(sets) if len(s) and doc[i] is not None]
-                out = [np.array([[_SIZE, 0, 0, len(s)] for s in sets], np.int64).reshape(-1, 4)]
-                nulls = [d is None for d in doc]
-                out[0][:, 2] = [d or 0 for d in doc]
-                out[0][:, 1] = nulls
-                first: dict = {}
-                equal = []
-                for i in linked:
-                    equal.append((_EQUAL, *(fp := fingerprint(sets[i])), doc[i]))
-                    first[fp] = min(doc[i], first.get(fp, doc[i]))
-                out.append(np.array(equal, np.int64).reshape(-1, 4))
-                # Of equal sets in a batch one signs; its fellows find it by the fingerprint.
-                signing = [i for i, e in zip(linked, equal, strict=True) if first.get(e[1:3]) == doc[i] and first.pop(e[1:3]) is not None]
-                if signing:
-                    signs = [parts.signatures(sets[i]) for i in signing]
-                    key = np.concatenate(signs).view(np.int64)
-                    who = np.repeat(np.array([doc[i] for i in signing], np.int64), [len(s) for s in signs])
-                    order = np.lexsort((who, key))
-                    key, who = key[order], who[order]
-                    new = np.concatenate(([True], key[1:] != key[:-1]))
-                    lead = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-                    near = np.unique(np.stack([who[~new], lead[~new]], 1), axis=0)
-                    rows = np.zeros((int(new.sum()) + len(near), 4), np.int64)
-                    n = int(new.sum())
-                    rows[:n, 1], rows[:n, 2], rows[:n, 3] = key[new], who[new], who[new]
-                    rows[n:, 1], rows[n:, 2], rows[n:, 3] = mixed(mixed(near[:, 0].astype(np.uint64)) + near[:, 1].astype(np.uint64)).view(np.int64), near[:, 0], near[:, 1]
-                    out.append(rows)
-                every = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(every[:, j]) for j in range(4)], names=["kind", "k", "a", "b"])
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                docs.append(d)
+                sets.append(shingle_set(word_hashes(t.as_py(), known), k))
+                tokens += len(sets[-1])
+                if len(docs) >= BATCH or tokens > BATCH_TOKENS:
+                    yield out(docs, sets)
+                    docs, sets, tokens = [], [], 0
+        if docs:
+            yield out(docs, sets)
 
     return run
 
 
+_PARTS: dict[int, Parts] = {}
+
+
+def worker_parts(percent: int) -> Parts:
+    return _PARTS.setdefault(percent, Parts(percent))
+
+
+def _key64(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for a key; two that meet in it are compared in vain, but nothing is lost."""
+    return low ^ (bucket << 40)
+
+
 def _met(batches):
-    """Rows sorted by (kind, k, a): equal keys are next to each other; each doc meets the first one of its key."""
-    last = (None, 0, 0, 0)  # kind, k, second key, first doc
+    """Packed rows sorted by bucket -> (kind, k, a, b): sizes, equal sets as (copy, first), and the members of keys that several sets share."""
+
+    def out(bucket, keys, prints):
+        made = []
+        if prints:
+            x, y, d = (np.concatenate([p[j] for p in prints]) for j in range(3))
+            order = np.lexsort((d, y, x))
+            x, y, d = x[order], y[order], d[order]
+            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            lead = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+            far = d != lead
+            made.append((_EQUAL, np.zeros(far.sum(), np.int64), d[far], lead[far]))
+        if keys:
+            x, d, f = (np.concatenate([p[j] for p in keys]) for j in range(3))
+            order = np.argsort(x, kind="stable")
+            x, d, f = x[order], d[order], f[order]
+            same = x[1:] == x[:-1]
+            held = f | np.append(same, False) | np.insert(same, 0, False)
+            made.append((_MEMBER, _key64(np.full(held.sum(), bucket), x[held]), d[held], np.zeros(held.sum(), np.int64)))
+        return made
+
+    def table(made):
+        kind = np.concatenate([np.full(len(m[1]), m[0], np.int32) for m in made] or [np.empty(0, np.int32)])
+        rest = [np.concatenate([m[j] for m in made] or [np.empty(0, np.int64)]) for j in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, rest)], names=["kind", "k", "a", "b"])
+
+    at, keys, prints = None, [], []
     for batch in batches:
-        kind, k, a, b = (batch.column(j).to_numpy() for j in range(4))
-        if not len(kind):
-            continue
-        out = [np.stack([kind, k, a, b], 1)[kind == _SIZE]]
-        # A fingerprint's second half counts as part of its key.
-        second, doc = np.where(kind == _EQUAL, a, 0), np.where(kind == _EQUAL, b, a)
-        new = np.ones(len(kind), bool)
-        new[1:] = (kind[1:] != kind[:-1]) | (k[1:] != k[:-1]) | (second[1:] != second[:-1])
-        new[0] = last[:3] != (kind[0], k[0], second[0])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(kind)), -1))
-        lead = np.where(start < 0, last[3], doc[np.maximum(start, 0)])
-        far = (kind != _SIZE) & (doc != lead)
-        links = np.stack([kind[far], np.zeros(far.sum(), np.int64), doc[far], lead[far]], 1)
-        own = (kind == _CANDIDATE) & (a != b)  # met in a batch already
-        out += [links, np.stack([kind[own], np.zeros(own.sum(), np.int64), a[own], b[own]], 1)]
-        last = (kind[-1], k[-1], second[-1], lead[-1])
-        every = np.unique(np.concatenate(out[1:]), axis=0)
-        every = np.concatenate([out[0], every])
-        yield pa.RecordBatch.from_arrays([pa.array(every[:, j]) for j in range(4)], names=["kind", "k", "a", "b"])
+        made = []
+        for bucket, kind, n, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if bucket != at:
+                made += out(at, keys, prints)
+                at, keys, prints = bucket, [], []
+            if kind == _SIZE:
+                made.append((_SIZE, np.frombuffer(c, bool).astype(np.int64), from_planes(a), from_planes(b)))
+            elif kind == _LINK:
+                made.append((_EQUAL, np.zeros(n, np.int64), from_planes(a), from_planes(b)))
+            elif kind == _EQUAL:
+                prints.append((from_planes(a), from_planes(b), from_planes(c)))
+            elif kind == _KEY:
+                keys.append((from_planes(a, 6), from_planes(b) + np.frombuffer(c[n:], np.int64)[0], np.frombuffer(c[:n], bool)))
+            else:
+                made.append((_MEMBER, from_planes(a), from_planes(b), np.zeros(n, np.int64)))
+        yield table(made)
+    yield table(out(at, keys, prints))
+
+
+def _bits(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Tokens as a bitmap of a power of two of bits."""
+    out = np.zeros(width, bool)
+    out[tokens.astype(np.uint64) >> np.uint64(64 - width.bit_length() + 1)] = True
+    return np.packbits(out)
+
+
+def _width(n: int) -> int:
+    return 1 << max(6, (WIDTH * n - 1).bit_length())
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap made as narrow as width: a bit stands for those that begin with it."""
+    many = len(bits) * 8 // width
+    if many <= 1:
+        return bits
+    if many >= 8:
+        bits = np.bitwise_or.reduce(bits.reshape(-1, many // 8), axis=1)
+        return np.packbits(bits != 0)
+    return np.packbits(np.unpackbits(bits).reshape(-1, many).max(1))
+
+
+def lacks(own: bytes, column: bytes) -> int:
+    """How many of a set's tokens a group's column lacks, at least."""
+    a, b = np.frombuffer(own, np.uint8), np.frombuffer(column, np.uint8)
+    width = 8 * min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, width) & ~_folded(b, width)).sum())
+
+
+def may_link(lacking: int, n: int, least: int, percent: int) -> bool:
+    """Whether a set of n tokens, of which a group lacks so many, can link with a member; the smallest one has least tokens."""
+    most = n - lacking
+    return 100 * most >= percent * n and (100 + percent) * most >= percent * (n + least)
 
 
 def _sets(k: int):
@@ -104,15 +215,16 @@ def _sets(k: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
-                sets = [shingle_set(word_hashes(t.as_py(), known), k).view(np.int64) for t in texts.slice(at, 512)]
+                sets = [shingle_set(word_hashes(t.as_py(), known), k) for t in texts.slice(at, 512)]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc", "tokens"])
+                own = pa.array([_bits(s, _width(len(s))).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))), own], names=["doc", "tokens", "bits"])
 
     return run
 
 
 class Matrix:
-    """One group's rows of the token-group matrix."""
+    """One group's rows of the token-group matrix: which member holds which token."""
 
     def __init__(self, members: list[tuple[int, int, np.ndarray]]):
         self.doc = np.array([m[0] for m in members], np.int64)
@@ -124,34 +236,104 @@ class Matrix:
         self.holds[where, np.repeat(np.arange(len(members)), self.size)] = 1
         self.least = int(self.size.min())
 
-    def probe(self, doc: int, label: int, tokens: np.ndarray, percent: int) -> list[int]:
-        """One member of each class other than the query's that has a member similar to it."""
+    def fits(self, tokens: np.ndarray, percent: int) -> np.ndarray:
+        """Which members a set links with."""
         at = np.searchsorted(self.union, tokens)
         at = at[self.union[np.minimum(at, len(self.union) - 1)] == tokens]
-        # 100 * i >= percent * (n + m - i) for some member's size m needs at least this much of the union.
-        if (100 + percent) * len(at) < percent * (len(tokens) + self.least) or 100 * len(at) < percent * len(tokens):
-            return []
+        if not may_link(len(tokens) - len(at), len(tokens), self.least, percent):
+            return np.zeros(len(self.doc), bool)
         shared = self.holds[at].sum(0, dtype=np.int64)
-        fits = (100 * shared >= percent * (len(tokens) + self.size - shared)) & (self.label != label) & (self.doc != doc)
+        return 100 * shared >= percent * (len(tokens) + self.size - shared)
+
+    def probe(self, doc: int, label: int, tokens: np.ndarray, percent: int) -> list[int]:
+        """One member of each class other than the query's that has a member similar to it."""
+        fits = self.fits(tokens, percent) & (self.label != label) & (self.doc != doc)
         if not fits.any():
             return []
         _, first = np.unique(self.label[fits], return_index=True)
         return self.doc[fits][first].tolist()
 
+    def joined(self, percent: int) -> list[tuple[int, int]]:
+        """Links that join the group's members as all their links do."""
+        near = np.eye(len(self.doc), dtype=bool)
+        for i in range(len(self.doc)):
+            own = np.sort(self.union[self.holds[:, i] > 0])
+            near[i] |= self.fits(own, percent)
+        out, left = [], np.ones(len(self.doc), bool)
+        for start in range(len(self.doc)):
+            todo = [start] if left[start] else []
+            left[start] = False
+            while todo:
+                i = todo.pop()
+                for j in np.flatnonzero(near[i] & left).tolist():
+                    left[j] = False
+                    todo.append(j)
+                    out.append((int(self.doc[i]), int(self.doc[j])))
+        return out
+
+
+def _grouped(percent: int):
+    """Rows (gid, sub, doc, tokens, bits) sorted by group -> (gid, sub, a, b, least, bits): links within it (bits null), and its column."""
+
+    def out(key, members):
+        m = Matrix([(d, d, t) for d, t, _ in members])
+        links = m.joined(percent)
+        width = max(len(b) for _, _, b in members) * 8
+        column = _bits(m.union.view(np.uint64), width)
+        return [(*key, a, b, None, None) for a, b in links] + [(*key, None, None, m.least, column.tobytes())]
+
+    def run(batches):
+        at, members = None, []
+        for batch in batches:
+            rows = []
+            gid, sub, doc, bits = (batch.column(j).to_pylist() for j in (0, 1, 2, 4))
+            lists = batch.column(3)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                if at != (gid[i], sub[i]):
+                    if members:
+                        rows += out(at, members)
+                    at, members = (gid[i], sub[i]), []
+                tokens, last = values[offsets[i] : offsets[i + 1]], len(members) - 1
+                while last >= 0 and members[last][0] == doc[i] and not np.array_equal(members[last][1], tokens):
+                    last -= 1
+                if last < 0 or members[last][0] != doc[i]:  # rows alike in id and text are one member
+                    members.append((doc[i], tokens.copy(), bits[i]))
+            yield table(rows)
+        yield table(out(at, members) if members else [])
+
+    def table(rows):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["gid", "sub", "a", "b", "least", "bits"])
+
+    return run
+
+
+def _bounded(percent: int):
+    """Rows (doc, gid, sub, n, own, least, bits) -> those (doc, gid, sub) that the bound leaves open."""
+
+    def run(batches):
+        for batch in batches:
+            n, own, least, bits = (batch.column(j).to_pylist() for j in (3, 4, 5, 6))
+            open_ = [may_link(lacks(o, b), m, x, percent) for m, o, x, b in zip(n, own, least, bits, strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["doc", "gid", "sub"]).filter(pa.array(open_, pa.bool_()))
+
+    return run
+
 
 def _probed(percent: int):
-    """Rows (family, part, turn, query, doc, label, tokens), a group's members (query false) before its queries."""
+    """Rows (gid, sub, turn, query, doc, label, tokens), a group's members (query false) before its queries."""
 
     def run(batches):
         at, members, matrix = None, [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            fam, part, turn, query, doc, label = (batch.column(j).to_pylist() for j in range(6))
+            gid, sub, turn, query, doc, label = (batch.column(j).to_pylist() for j in range(6))
             lists = batch.column(6)
             values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
             for i in range(batch.num_rows):
-                if at != (fam[i], part[i], turn[i]):
-                    at, members, matrix = (fam[i], part[i], turn[i]), [], None
+                if at != (gid[i], sub[i], turn[i]):
+                    at, members, matrix = (gid[i], sub[i], turn[i]), [], None
                 tokens = values[offsets[i] : offsets[i + 1]]
                 if not query[i]:
                     members.append((doc[i], label[i], tokens.copy()))
@@ -164,14 +346,52 @@ def _probed(percent: int):
 
 
 def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found by probing; both have family, part, doc, label, tokens. A group's queries come in turns of about TURN, each with its own copy of the group."""
-    turns = queries.groupBy("family", "part").agg(F.ceil(F.count(F.lit(1)) / TURN).cast("long").alias("turns"))
-    cols = lambda df, q, turn: df.join(turns, ["family", "part"]).select("family", "part", turn.alias("turn"), F.lit(q).alias("query"), "doc", "label", "tokens")
+    """Links (a, b) found by probing; both have gid, sub, doc, label, tokens. A group's queries come in turns of about TURN, each with its own copy of the group."""
+    turns = queries.groupBy("gid", "sub").agg(F.ceil(F.count(F.lit(1)) / TURN).cast("long").alias("turns"))
+    cols = lambda df, q, turn: df.join(turns, ["gid", "sub"]).select("gid", "sub", turn.alias("turn"), F.lit(q).alias("query"), "doc", "label", "tokens")
     rows = cols(members, False, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).unionByName(cols(queries, True, F.pmod(F.xxhash64("doc", F.lit(7)), F.col("turns"))))
-    dealt = rows.repartition("family", "part", "turn").sortWithinPartitions("family", "part", "turn", "query", "doc")
+    dealt = rows.repartition("gid", "sub", "turn").sortWithinPartitions("gid", "sub", "turn", "query", "doc")
     return dealt.mapInArrow(_probed(percent), "a long, b long")
 
 
+def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the sets as all links do. rows: (doc, text); members: (k, doc), the sets of each key that several share."""
+    shared = members.groupBy("k").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = saved(members.join(shared, "k"))
+    # A set's group is that of the first set with which it has most keys in common; who is first everywhere leads its own.
+    near = members.where("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
+    near = near.groupBy("doc").agg(F.max_by("lead", F.struct("n", F.negative("lead"))).alias("gid"))
+    home = members.select("doc").distinct().join(near, "doc", "left").select("doc", F.coalesce("gid", "doc").alias("gid"))
+    sizes = home.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("subs"))
+    home = saved(home.join(sizes, "gid").select("gid", F.when(F.col("doc") == F.col("gid"), 0).otherwise(F.pmod(F.xxhash64("doc"), "subs")).cast("long").alias("sub"), "doc", "subs"))
+    made = rows.join(home.select("doc"), "doc").mapInArrow(_sets(k), "doc long, tokens array<long>, bits binary")
+    sets = saved(made)
+    # The group's first set stands in each of its parts.
+    heads = home.select("gid", "subs").distinct().select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.col("gid").alias("doc"))
+    placed = home.select("gid", "sub", "doc").unionByName(heads).distinct()
+    grouped = placed.join(sets, "doc").select("gid", "sub", "doc", "tokens", "bits").repartition("gid", "sub").sortWithinPartitions("gid", "sub", "doc")
+    grouped = saved(grouped.mapInArrow(_grouped(percent), "gid long, sub long, a long, b long, least long, bits binary"))
+    links = grouped.where("bits is null").select("a", "b")
+    classes = components(links)
+    home = saved(home.drop("subs").join(classes, home["doc"] == classes["node"], "left").select("doc", "gid", "sub", F.coalesce("label", "doc").alias("label")))
+    # Keys of several classes: who is outside the largest one asks the groups of other classes.
+    held = members.select("k", "doc").join(home, "doc")
+    large = held.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count(F.lit(1)).alias("classes"))
+    held = held.join(large.where("classes > 1").drop("classes"), "k")
+    asks = held.where("label <> main").select("k", "doc", "label")
+    asked = held.groupBy("k", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    pairs = asks.join(asked, "k").where("lo <> label or hi <> label").select("doc", "gid", "sub").distinct()
+    column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
+    seen = pairs.join(sets.select("doc", F.size("tokens").cast("long").alias("n"), F.col("bits").alias("own")).distinct(), "doc").join(column, ["gid", "sub"])
+    open_ = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(_bounded(percent), "doc long, gid long, sub long"))
+    labelled = sets.select("doc", "tokens").join(home, "doc")
+    inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"])
+    queries = open_.join(labelled.select("doc", "label", "tokens"), "doc").select("gid", "sub", "doc", "label", "tokens")
+    found = saved(links.unionByName(_probe(inside.select("gid", "sub", "doc", "label", "tokens"), queries, percent)))
+    discard(members, sets, grouped, open_)
+    return found
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles (set size), component_id (smallest doc_id reachable by links).
 
@@ -182,41 +402,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     a null class. Rows that repeat a doc_id are one node: each row keeps its own n_shingles, all share one class. Other
     columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    schema = "kind long, k long, a long, b long"
-    met = saved(rows.mapInArrow(_signed(k, percent), schema).repartition("k", F.when(F.col("kind") == _SIZE, F.col("a"))).sortWithinPartitions("kind", "k", "a", "b").mapInArrow(_met, schema))
-    sizes = met.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 0, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = int(max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)))
+    met = rows.mapInArrow(_signed(k, percent, n_buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    met = saved(met.mapInArrow(_met, "kind int, k long, a long, b long"))
+    sizes = met.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 1, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
     # Equal sets: everything is asked of the smallest doc_id with that set.
     equal = met.where(f"kind = {_EQUAL}").select("a", "b").distinct()
     # An id with several rows may have several sets; it is asked for itself.
     several = sizes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = saved(equal.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).join(several, F.col("node") == F.col("doc"), "left_anti"))
-    to_rep = lambda df, c: df.join(copies.select(F.col("node").alias(c), F.col("label").alias("_rep")), c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
-    near = to_rep(to_rep(met.where(f"kind = {_CANDIDATE}").select("a", "b").distinct(), "a"), "b").where("a <> b").distinct()
-    family = components(near).select(F.col("node").alias("doc"), F.col("label").alias("family"))
-    family = saved(family.join(family.groupBy("family").agg(F.count(F.lit(1)).alias("m")), "family"))
-    links = None
-    if family.take(1):
-        parts = F.greatest(F.lit(1), F.ceil(F.col("m") / GROUP)).cast("long")
-        sets = rows.join(family, "doc").select("doc", "text", "family", parts.alias("parts"))
-        made = sets.select("doc", "text").mapInArrow(_sets(k), "doc long, tokens array<long>").distinct()
-        sets = saved(made.join(family.select("doc", "family", parts.alias("parts")), "doc").withColumn("part", F.pmod(F.xxhash64("doc"), "parts")).withColumn("label", F.col("doc")))
-        first = F.array_distinct(F.array(F.col("part"), F.lit(0).cast("long")))
-        found = saved(_probe(sets, sets.withColumn("part", F.explode(first)), percent).distinct())
-        # Who is outside the family's largest class probes the groups it hasn't yet.
-        classes = components(found)
-        now = saved(family.select("doc", "family", "m").join(classes, family["doc"] == classes["node"], "left").select("doc", "family", "m", F.coalesce("label", "doc").alias("label")))
-        large = now.groupBy("family", "label", "m").agg(F.count(F.lit(1)).alias("n")).groupBy("family", "m").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.max("n").alias("n"))
-        open_ = large.where("n < m").select("family", "main")
-        if open_.take(1):
-            labelled = sets.drop("label").join(now.select("doc", "label"), "doc").join(open_, "family")
-            seek = labelled.where("label <> main").withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            more = _probe(labelled, seek.where("part <> own and part <> 0"), percent)
-            links = found.unionByName(more)
-        else:
-            links = found
-    every = equal
-    every = every.unionByName(links) if links is not None else every
-    labels = components(every).select(F.col("node").alias("doc"), "label")
+    # A copy's first in its batch may itself be a copy of the first of all.
+    to_first = equal.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    to_first = to_first.join(to_first.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left").select("node", F.least("label", "_far").alias("label"))
+    copies = saved(to_first.join(several, F.col("node") == F.col("doc"), "left_anti").select("node", "label"))
+    member = met.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("node")).join(copies, "node", "left").select("k", F.coalesce("label", "node").alias("doc")).distinct()
+    links = _links(rows, member, k, percent)
+    labels = components(equal.unionByName(links)).select(F.col("node").alias("doc"), "label")
     return sizes.join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("label", "doc").alias("component_id"))
