@@ -377,10 +377,14 @@ def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     # Keys of several classes: who is outside the largest one asks the groups of other classes.
     held = members.select("k", "doc").join(home, "doc")
     large = held.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count(F.lit(1)).alias("classes"))
-    held = held.join(large.where("classes > 1").drop("classes"), "k")
-    asks = held.where("label <> main").select("k", "doc", "label")
-    asked = held.groupBy("k", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    pairs = asks.join(asked, "k").where("lo <> label or hi <> label").select("doc", "gid", "sub").distinct()
+    held = saved(held.join(large.where("classes > 1").drop("classes"), "k"))
+    asked = held.groupBy("k", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("only", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
+    # Keys with the same groups are one: sets that share a crowd's many keys ask its groups once.
+    own = [F.bit_xor(F.xxhash64(F.lit(i), "gid", "sub", "only")).alias(f"x{i}") for i in range(2)]
+    alike = asked.groupBy("k").agg(*own, F.count(F.lit(1)).alias("x2"))
+    asks = held.where("label <> main").select("k", "doc", "label").join(alike, "k").select("x0", "x1", "x2", "doc", "label").distinct()
+    asked = asked.join(alike, "k").select("x0", "x1", "x2", "gid", "sub", "only").distinct()
+    pairs = asks.join(asked, ["x0", "x1", "x2"]).where("only is null or only <> label").select("doc", "gid", "sub").distinct()
     column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
     seen = pairs.join(sets.select("doc", F.size("tokens").cast("long").alias("n"), F.col("bits").alias("own")).distinct(), "doc").join(column, ["gid", "sub"])
     open_ = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(_bounded(percent), "doc long, gid long, sub long"))
@@ -388,7 +392,7 @@ def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"])
     queries = open_.join(labelled.select("doc", "label", "tokens"), "doc").select("gid", "sub", "doc", "label", "tokens")
     found = saved(links.unionByName(_probe(inside.select("gid", "sub", "doc", "label", "tokens"), queries, percent)))
-    discard(members, sets, grouped, open_)
+    discard(members, sets, grouped, held, open_)
     return found
 
 
