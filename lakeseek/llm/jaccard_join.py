@@ -27,7 +27,7 @@ GROUP = 48
 #: Queries that probe one copy of a group.
 TURN = 256
 #: Sets (and tokens) in which equal signatures are joined before the shuffle.
-BATCH, BATCH_TOKENS = 8192, 3_000_000
+BATCH, BATCH_TOKENS = 4096, 1_000_000
 #: Bytes of text for each bucket of keys, about 600,000 keys.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 24
 #: Bits of a column for each token of its largest member.
