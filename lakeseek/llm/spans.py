@@ -2,8 +2,11 @@
 
 Texts are cut into sentences, and sentences of over PIECE words before words whose hash is the least of the REACH words on either side, or
 else after LONGEST words, so that a passage is cut alike wherever it stands, but for its first and last words. Every run of several consecutive pieces (RUN at least, and
-MIN_WORDS words at least) is hashed to 128 bits. Runs are joined globally; all pieces covered by a run that is not the first one of its
-kind (by doc_id, then place) are removed from their text.
+MIN_WORDS words at least) is hashed to 104 bits. Runs are joined globally; all pieces covered by a run that is not the first one of its
+kind (by doc_id, then text, then place) are removed from their text.
+
+Texts are read once. Of the runs of a batch that are alike only the first goes to the join, packed with others of its bucket; the later
+ones are known to go whatever other batches hold. So a passage that many documents share sends one row a batch.
 """
 
 from __future__ import annotations
@@ -17,132 +20,208 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import Bounded
+from lakeseek.llm.common import from_planes, to_planes
 
 PIECE, RUN, MIN_WORDS = 8, 3, 20
 REACH, LONGEST = 3, 16
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])")
-_WORD = re.compile(r"\S+")
+#: Text characters of a batch, text bytes of a bucket of runs, and buckets.
+BATCH_CHARS, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 3_000_000, 16 << 20, 64, 1 << 24
+MOST_WORDS = 300_000
+#: A sentence ends behind these, with white space or without.
+_STOPS, _WIDE = ".!?", "。！？"
+_WORD = re.compile(f"[^\\s{_WIDE}]*[{_WIDE}]|[^\\s{_WIDE}]+")
+_BREAK = "\x00\u00b6\x00"  # stands for a line end
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LAST = 2**63 - 1
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+class Powers:
     """base ** i and base ** -i, modulo 2 ** 64."""
-    inverse = pow(base, -1, 2**64)
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
 
-class Powers:
     def __init__(self):
         self.n, self.of = 0, []
 
     def upto(self, n: int) -> list:
         if n > self.n:
-            self.n = max(1024, 2 * n)
-            self.of = [_powers(b, self.n) for b in _BASE]
+            self.n, self.of = max(1024, 2 * n), []
+            for base in _BASE:
+                up, down = np.full(self.n, base, np.uint64), np.full(self.n, pow(base, -1, 2**64), np.uint64)
+                up[0] = down[0] = 1
+                self.of.append((np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)))
         return self.of
 
 
-_HASHES = Bounded(200_000)
-
-
-def _hash(word: str) -> int:
-    _HASHES.make_room()
-    h = _HASHES[word] = xxhash.xxh3_64_intdigest(word)
-    return h
-
-
-def cuts(words: list[str]) -> list[int]:
-    """Where the pieces of a sentence (lower-cased words) start, and its end."""
-    n = len(words)
-    if n <= PIECE:
-        return [0, n] if n else []
-    known, edge = _HASHES.get, [2**64] * REACH
-    h = [*edge, *[known(w) or _hash(w) for w in words], *edge]
-    out = [0]
-    for i in range(1, n):
-        x = h[i + REACH]
-        # The least; of equal ones the first.
-        if (x < h[i + REACH - 1] and x <= h[i + REACH + 1] and x < min(h[i : i + REACH]) and x <= min(h[i + REACH + 1 : i + 2 * REACH + 1])) or i - out[-1] == LONGEST:
-            out.append(i)
-    out.append(n)
-    return out
-
-
-def pieces(text: str) -> tuple[list[str], list[int]]:
-    """Pieces of a text (lower-cased words, joined by a space) and their word counts."""
-    out, counts = [], []
-    for sentence in _BREAK.split(text.lower()):
-        words = sentence.split()
-        at = cuts(words)
-        for a, b in zip(at, at[1:]):
-            out.append(" ".join(words[a:b]))
-            counts.append(b - a)
-    return out, counts
-
-
-def piece_spans(text: str) -> list[tuple[int, int]]:
-    """Character spans of the same pieces in the text, from first to last word."""
-    out, at = [], 0
-    for end in [*(m.span() for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        words = [m.span() for m in _WORD.finditer(text, at, end[0])]
-        at = end[1]
-        found = cuts([text[a:b].lower() for a, b in words])
-        out += [(words[a][0], words[b - 1][1]) for a, b in zip(found, found[1:])]
-    return out
-
-
-def runs(text: str, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys [run, 2] of the text's runs, the piece each starts with and how many it has."""
-    held, counts = pieces(text)
-    n = len(held)
-    words = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-    start = np.arange(max(0, n - RUN + 1))
-    stop = np.maximum(start + RUN, np.searchsorted(words, words[start] + MIN_WORDS))
-    start, stop = start[stop <= n], stop[stop <= n]
-    if not len(start):
-        return np.empty((0, 2), np.int64), start, stop
-    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in held]), np.uint64).reshape(-1, 2)
-    keys = np.empty((len(start), 2), np.uint64)
-    for j, (up, down) in enumerate(powers.upto(n)):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(h[:, j] * up[:n], dtype=np.uint64)))
-        keys[:, j] = (sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)
-    return keys.view(np.int64), start, stop - start
-
-
-def _keyed(batches):
-    """(doc, mark, text) -> (k1, k2, doc, place): place packs mark, whether the run stood in the text before, start and length."""
-    powers = Powers()
-    for batch in batches:
-        docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for at in range(0, batch.num_rows, 1000):
-            out = []
-            for i, t in enumerate(batch.column(2).slice(at, 1000).to_pylist(), at):
-                keys, start, length = runs(t or "", powers)
-                if not len(start):
+class Words(dict):
+    """word -> its row in the tables of two 64-bit hashes and of whether a sentence ends behind it."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[tuple[int, int, bool]] = []
+
+    def __missing__(self, word: str) -> int:
+        d = xxhash.xxh3_128_intdigest(word)
+        self.rows.append((d & (2**64 - 1), d >> 64, word[-1] in _STOPS or word[-1] in _WIDE or word == _BREAK))
+        n = self[word] = len(self.rows) - 1
+        return n
+
+    def look(self, texts: list[str]) -> Pieces:
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self.rows.clear()
+        split = [_marked(t).split() for t in texts]
+        at = np.fromiter((self[w] for s in split for w in s), np.int64, sum(map(len, split)))
+        tables = [np.array([r[j] for r in self.rows], k) for j, k in enumerate((np.uint64, np.uint64, bool))]
+        return Pieces(at, np.repeat(np.arange(len(texts)), [len(s) for s in split]), tables, self.get(_BREAK, -1), len(texts))
+
+
+def _marked(text: str) -> str:
+    """A text in lower case, with its line ends as words and a space behind each wide full stop."""
+    text = text.lower()
+    if any(c in text for c in _WIDE):
+        for c in _WIDE:
+            text = text.replace(c, c + " ")
+    return text.replace("\n", f" {_BREAK} ") if "\n" in text else text
+
+
+class Pieces:
+    """The pieces of several texts. starts: where each begins among all their words; edges: the same and the end; of: its text; first, last: a text's pieces."""
+
+    def __init__(self, at: np.ndarray, of: np.ndarray, tables: list[np.ndarray], mark: int, n_texts: int):
+        ends = tables[2][at] if len(at) else np.empty(0, bool)
+        real = at != mark
+        # A line end passes its sentence end on to the word before it.
+        back = np.flatnonzero(real)
+        stop = np.add.reduceat(ends.astype(np.int64), back) > 0 if len(back) else np.empty(0, bool)
+        at, of = at[real], of[real]
+        n = len(at)
+        self.hashes = [t[at] for t in tables[:2]] if n else [np.empty(0, np.uint64)] * 2
+        begins = np.ones(n, bool)
+        begins[1:] = stop[:-1] | (of[1:] != of[:-1])
+        sentence = np.cumsum(begins) - 1
+        long = np.bincount(sentence, minlength=1)[sentence] > PIECE
+        h = self.hashes[0]
+        least = long & ~begins
+        for o in range(1, min(REACH, n - 1) + 1):
+            same = sentence[o:] == sentence[:-o]
+            least[o:] &= ~same | (h[o:] < h[:-o])
+            least[:-o] &= ~same | (h[:-o] <= h[o:])
+        cut = begins | least
+        since = np.arange(n) - np.maximum.accumulate(np.where(cut, np.arange(n), 0))
+        cut |= long & (since % LONGEST == 0)
+        self.starts = np.flatnonzero(cut)
+        self.edges = np.append(self.starts, n)
+        self.of = of[self.starts]
+        self.first = np.searchsorted(self.of, np.arange(n_texts))
+        self.last = np.searchsorted(self.of, np.arange(n_texts), "right")
+
+    def runs(self, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """k1, k2, the piece each run starts with and how many it has."""
+        start = np.arange(len(self.starts))
+        stop = np.maximum(start + RUN, np.searchsorted(self.edges, self.edges[start] + MIN_WORDS))
+        whole = stop <= self.last[self.of]
+        start, stop = start[whole], stop[whole]
+        a, b, keys = self.edges[start], self.edges[stop], []
+        for h, (up, down) in zip(self.hashes, powers.upto(len(self.hashes[0]) + 1), strict=True):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+            keys.append((sums[b] - sums[a]) * down[a] + (stop - start).astype(np.uint64))
+        return keys[0].view(np.int64), (keys[1] >> np.uint64(24)).astype(np.int64), start, stop - start
+
+
+def piece_spans(text: str, words: Words | None = None) -> list[tuple[int, int]]:
+    """Character spans of a text's pieces, from first to last word."""
+    found = (words if words is not None else Words()).look([text])
+    spans = [m.span() for m in _WORD.finditer(text) if m.group().lower() != _BREAK]
+    return [(spans[a][0], spans[b - 1][1]) for a, b in zip(found.edges[:-1].tolist(), found.edges[1:].tolist(), strict=True)]
+
+
+_LEAD, _GONE = 0, 1
+
+
+def _keyed(n_buckets: int):
+    """(doc, mark, text) -> packed rows (bucket, kind, k1, k2, doc, mark, place): the first run of each kind in a batch, and those that stood in it before."""
+
+    def out(docs: list, marks: list, texts: list, words: Words, powers: Powers):
+        found = words.look(texts)
+        k1, k2, start, length = found.runs(powers)
+        of = found.of[start]
+        place = (start - found.first[of]) << 6 | length
+        doc, mark = np.array(docs, np.int64)[of], np.array(marks, np.int64)[of]
+        order = np.lexsort((place, mark, doc, k2, k1))
+        k1, k2, doc, mark, place = (x[order] for x in (k1, k2, doc, mark, place))
+        new = np.ones(len(k1), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
+        gone = (doc != doc[lead]) | (mark != mark[lead]) | (place >> 6 != place[lead] >> 6)
+        bucket = (k1.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(np.where(new, bucket, -1), kind="stable")
+        order = order[np.count_nonzero(~new) :]
+        rows, cut = [], bucket[order]
+        first = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1]))) if len(cut) else np.empty(0, np.int64)
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(cut)], strict=False):
+            i = order[s:e]
+            least = int(doc[i].min())
+            rows.append((int(cut[s]), _LEAD, least, to_planes(k1[i]), to_planes(k2[i], 5), to_planes(doc[i] - least), to_planes(mark[i], 4), to_planes(place[i], 4)))
+        if gone.any():
+            rows.append((int(doc[gone][0] & 0xFFFF) % n_buckets, _GONE, 0, b"", b"", to_planes(doc[gone]), to_planes(mark[gone], 4), to_planes(place[gone], 4)))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["bucket", "kind", "least", "k1", "k2", "doc", "mark", "place"])
+
+    def run(batches):
+        words, powers, held, size = Words(), Powers(), ([], [], []), 0
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                t = row[2].as_py()
+                if not t:
                     continue
-                order = np.lexsort((start, keys[:, 1], keys[:, 0]))
-                same = np.zeros(len(order), bool)
-                same[1:] = (keys[order[1:]] == keys[order[:-1]]).all(1)
-                again = np.zeros(len(order), np.int64)
-                again[order] = same
-                place = (np.int64(marks[i]) << 33) | (again << 32) | (start << 6) | length
-                # A run that stood in this text before goes whatever others hold: it gets a key of its own, which no other row has to meet.
-                keys = np.where((again == 1)[:, None], np.stack([place * np.int64(-7046029254386353131) + docs[i], ~place], 1), keys)
-                out.append(np.stack([keys[:, 0], keys[:, 1], np.full(len(start), docs[i]), place], 1))
-            every = np.concatenate(out) if out else np.empty((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every[:, j]) for j in range(4)], names=["k1", "k2", "doc", "place"])
-
-
-def strip_pieces(text: str, places: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
+                for x, y in zip(held, (row[0], row[1], t), strict=True):
+                    x.append(y)
+                size += len(t)
+                if size > BATCH_CHARS:
+                    yield out(*held, words, powers)
+                    held, size = ([], [], []), 0
+        if held[0]:
+            yield out(*held, words, powers)
+
+    return run
+
+
+def _later(batches):
+    """Packed rows sorted by bucket -> (doc, mark, place) of all runs that are not the first of their kind."""
+
+    def out(parts):
+        k1, k2, doc, mark, place = (np.concatenate([p[j] for p in parts]) for j in range(5))
+        order = np.lexsort((place, mark, doc, k2, k1))
+        k1, k2, doc, mark, place = (x[order] for x in (k1, k2, doc, mark, place))
+        new = np.ones(len(k1), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone = (doc != doc[lead]) | (mark != mark[lead]) | (place >> 6 != place[lead] >> 6)
+        return table(doc[gone], mark[gone], place[gone])
+
+    def table(*columns):
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["doc", "mark", "place"])
+
+    at, parts = None, []
+    for batch in batches:
+        for bucket, kind, least, k1, k2, doc, mark, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == _GONE:
+                yield table(from_planes(doc), from_planes(mark, 4), from_planes(place, 4))
+                continue
+            if bucket != at and parts:
+                yield out(parts)
+                parts = []
+            at = bucket
+            parts.append((from_planes(k1), from_planes(k2, 5), from_planes(doc) + least, from_planes(mark, 4), from_planes(place, 4)))
+    if parts:
+        yield out(parts)
+
+
+def strip_pieces(text: str, places: list[int], words: Words | None = None) -> tuple[str, int, list[tuple[int, int]]]:
     """The text without the pieces that the places cover, their number, and the spans cut out."""
-    spans = piece_spans(text)
+    spans = piece_spans(text, words)
     gone = np.zeros(len(spans) + 1, np.int64)
     for p in places:
-        start, length = (p >> 6) & (2**26 - 1), p & 63
+        start, length = p >> 6, p & 63
         gone[start] += 1
         gone[start + length] -= 1
     gone = np.cumsum(gone)[:-1] > 0
@@ -160,11 +239,12 @@ def strip_pieces(text: str, places: list[int]) -> tuple[str, int, list[tuple[int
 
 
 def _stripped(batches):
+    words = Words()
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             texts, flags = part.column(1).to_pylist(), part.column(2).to_pylist()
-            out = [strip_pieces(t, f) if f else (t, 0, []) for t, f in zip(texts, flags, strict=True)]
+            out = [strip_pieces(t, f, words) if f else (t, 0, []) for t, f in zip(texts, flags, strict=True)]
             spans = pa.array([[{"start": a, "end": b} for a, b in o[2]] for o in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), spans], names=["_row", "_text", "n_removed", "removed"])
 
@@ -172,18 +252,18 @@ def _stripped(batches):
 def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents' columns with repeated passages gone from the text, and n_removed (pieces), removed (spans of the old text).
 
-    The first place of a run is the one in the smallest doc_id, and there the first; a null doc_id comes last. Rows that share a doc_id
-    don't remove each other's text. Within a text, a run's later places go. A null text stays null, an empty one empty; a text may become empty.
+    The first place of a run is the one in the smallest doc_id, of one doc_id's texts that with the smallest hash, and there the first; a null doc_id comes
+    last. Rows alike in id and text are one document: both keep what it keeps. A null text stays null, an empty one empty; a text may become empty.
     Columns n_removed and removed are replaced. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_removed", "removed")]
     t = F.col(f"`{text}`").cast("string")
-    key = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.shiftrightunsigned(F.coalesce(F.xxhash64(t), F.lit(0)), 34).alias("mark")]
-    rows = docs.select(*key, t.alias("text")).mapInArrow(_keyed, "k1 long, k2 long, doc long, place long")
-    again = F.shiftright("place", 32).bitwiseAND(1) == 1
-    met = rows.where(~again).groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = rows.join(met, ["k1", "k2"], "left").where(again | (F.col("doc") > F.col("first")))
-    flags = later.groupBy("doc", F.shiftright("place", 33).alias("mark")).agg(F.collect_set("place").alias("places"))
+    key = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("doc"), F.shiftrightunsigned(F.coalesce(F.xxhash64(t), F.lit(0)), 33).alias("mark")]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(t)), F.lit(0))).first()[0]
+    n_buckets = int(max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)))
+    rows = docs.select(*key, t.alias("text")).mapInArrow(_keyed(n_buckets), "bucket long, kind int, least long, k1 binary, k2 binary, doc binary, mark binary, place binary")
+    later = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_later, "doc long, mark long, place long")
+    flags = later.groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
     whole = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), t.alias("_text"))
     joined = whole.join(flags, ["doc", "mark"], "left").select("_row", "_text", "places")
     schema = joined.select("_row").schema.add("_text", "string").add("n_removed", "integer").add("removed", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from lakeseek.llm import context_tree, flac, jaccard_join, language, mixing, pieces, shards, spans, toxicity, vector_graph
 from lakeseek.llm.common import components
@@ -101,6 +103,21 @@ def test_components(spark):
     assert all(got.get(x, x) == c for x, c in want.items())
 
 
+def pieces_of(text):
+    """A text's pieces by plain steps: lower-cased words joined by a space, and their counts."""
+    out = []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n\s*|(?<=[。！？])", text.lower()):
+        words, at = sentence.split(), 0
+        h = [xxhash.xxh3_128_intdigest(w) & (2**64 - 1) for w in words]
+        for i in range(1, len(words) + 1):
+            near = [h[j] for j in range(max(0, i - spans.REACH), min(len(h), i + spans.REACH + 1)) if j != i]
+            least = i < len(words) and len(words) > spans.PIECE and h[i] <= min(near) and h[i] < min(h[max(0, i - spans.REACH) : i])
+            if i == len(words) or least or (len(words) > spans.PIECE and i - at == spans.LONGEST):
+                out.append(words[at:i])
+                at = i
+    return [" ".join(p) for p in out], [len(p) for p in out]
+
+
 def test_spans_against_force(spark):
     rng = random.Random(4)
     passage = ". ".join(prose(rng, rng.randint(4, 14)) for _ in range(7)) + "."
@@ -111,7 +128,7 @@ def test_spans_against_force(spark):
     seen, gone = {}, {}
     powers = spans.Powers()
     for i, t in enumerate(texts):
-        held, counts = spans.pieces(t)
+        held, counts = pieces_of(t)
         for a in range(len(held)):
             b = a + spans.RUN
             while b <= len(held) and sum(counts[a:b]) < spans.MIN_WORDS:
@@ -121,7 +138,7 @@ def test_spans_against_force(spark):
                     gone.setdefault(i, set()).update(range(a, b))
                 seen.setdefault(tuple(held[a:b]), i)
         assert len(spans.piece_spans(t)) == len(held)
-        assert len(spans.runs(t, powers)[0]) == len({a for a in range(len(held)) if any(sum(counts[a:b]) >= spans.MIN_WORDS for b in range(a + spans.RUN, len(held) + 1))})
+        assert len(spans.Words().look([t]).runs(powers)[0]) == len({a for a in range(len(held)) if any(sum(counts[a:b]) >= spans.MIN_WORDS for b in range(a + spans.RUN, len(held) + 1))})
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in spans.dedup_spans(df).collect()}
     assert {i: r.n_removed for i, r in got.items() if r.n_removed} == {i: len(g) for i, g in gone.items()}
@@ -137,10 +154,22 @@ def test_spans_in_text_without_sentences(spark):
     left = got[1].text.split()
     assert got[0].text == texts[0] and left[:4] == texts[1].split()[:4] and left[-4:] == texts[1].split()[-4:]
     assert sum(w in passage for w in left) <= 24
-    for t in (*texts, "ha " * 300, "x " + "A B. " * 40):
-        held, counts = spans.pieces(t)
+    for t in (*texts, "ha " * 300, "x " + "A B. " * 40, "一二。三四！ 五\n\n六 \x00\u00b6\x01 v. \n w\u2003x\r\n" * 9, "", " \n "):
+        held, counts = pieces_of(t)
         found = spans.piece_spans(t)
-        assert [" ".join(t[a:b].lower().split()) for a, b in found] == held and max(counts) <= spans.LONGEST
+        assert [" ".join(t[a:b].lower().split()) for a, b in found] == held and max(counts, default=0) <= spans.LONGEST
+
+
+def test_spans_of_one_id_in_two_texts(spark, monkeypatch):
+    rng = random.Random(15)
+    passage = ". ".join(prose(rng, 12) for _ in range(6)) + "."
+    rows = [(4, "First one. " + passage), (4, "The other. " + passage), (4, "The other. " + passage), (5, passage), (None, passage)]
+    for chars in (3_000_000, 1):  # in one batch, and each text in its own
+        monkeypatch.setattr(spans, "BATCH_CHARS", chars)
+        got = sorted((r.doc_id or 9, len(r.text.split())) for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+        whole = len(rows[0][1].split())
+        assert sum(n == whole for i, n in got if i == 4) in (1, 2) and sum(n <= 2 for i, n in got if i == 4) in (1, 2)
+        assert [n for i, n in got if i != 4] == [0, 0]
 
 
 def test_context_tree_is_a_distribution_and_beats_its_parts():
