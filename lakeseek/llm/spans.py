@@ -12,6 +12,7 @@ ones are known to go whatever other batches hold. So a passage that many documen
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -52,26 +53,28 @@ class Powers:
 
 
 class Words(dict):
-    """word -> its row in the tables of two 64-bit hashes and of whether a sentence ends behind it."""
+    """word -> its row in the columns: two 64-bit hashes, and whether a sentence ends behind it."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, bool]] = []
+        self.columns = array("Q"), array("Q"), array("b")
 
     def __missing__(self, word: str) -> int:
         d = xxhash.xxh3_128_intdigest(word)
-        self.rows.append((d & (2**64 - 1), d >> 64, word[-1] in _STOPS or word[-1] in _WIDE or word == _BREAK))
-        n = self[word] = len(self.rows) - 1
+        ends = word[-1] in _STOPS or word[-1] in _WIDE or word == _BREAK
+        for column, x in zip(self.columns, (d & (2**64 - 1), d >> 64, ends), strict=True):
+            column.append(x)
+        n = self[word] = len(self.columns[0]) - 1
         return n
 
     def look(self, texts: list[str]) -> Pieces:
         if len(self) > MOST_WORDS:
             self.clear()
-            self.rows.clear()
+            self.columns = array("Q"), array("Q"), array("b")
         split = [_marked(t).split() for t in texts]
-        at = np.fromiter((self[w] for s in split for w in s), np.int64, sum(map(len, split)))
-        tables = [np.array([r[j] for r in self.rows], k) for j, k in enumerate((np.uint64, np.uint64, bool))]
-        return Pieces(at, np.repeat(np.arange(len(texts)), [len(s) for s in split]), tables, self.get(_BREAK, -1), len(texts))
+        at = np.fromiter([self[w] for s in split for w in s], np.int64, sum(map(len, split)))
+        one, two, ends = (np.frombuffer(c, k)[at] if len(at) else np.empty(0, k) for c, k in zip(self.columns, (np.uint64, np.uint64, bool), strict=True))
+        return Pieces(np.repeat(np.arange(len(texts)), [len(s) for s in split]), one, two, ends, at != self.get(_BREAK, -1), len(texts))
 
 
 def _marked(text: str) -> str:
@@ -86,15 +89,12 @@ def _marked(text: str) -> str:
 class Pieces:
     """The pieces of several texts. starts: where each begins among all their words; edges: the same and the end; of: its text; first, last: a text's pieces."""
 
-    def __init__(self, at: np.ndarray, of: np.ndarray, tables: list[np.ndarray], mark: int, n_texts: int):
-        ends = tables[2][at] if len(at) else np.empty(0, bool)
-        real = at != mark
+    def __init__(self, of: np.ndarray, one: np.ndarray, two: np.ndarray, ends: np.ndarray, real: np.ndarray, n_texts: int):
         # A line end passes its sentence end on to the word before it.
         back = np.flatnonzero(real)
         stop = np.add.reduceat(ends.astype(np.int64), back) > 0 if len(back) else np.empty(0, bool)
-        at, of = at[real], of[real]
-        n = len(at)
-        self.hashes = [t[at] for t in tables[:2]] if n else [np.empty(0, np.uint64)] * 2
+        of, self.hashes = of[real], [one[real], two[real]]
+        n = len(of)
         begins = np.ones(n, bool)
         begins[1:] = stop[:-1] | (of[1:] != of[:-1])
         sentence = np.cumsum(begins) - 1
@@ -127,11 +127,14 @@ class Pieces:
         return keys[0].view(np.int64), (keys[1] >> np.uint64(24)).astype(np.int64), start, stop - start
 
 
-def piece_spans(text: str, words: Words | None = None) -> list[tuple[int, int]]:
-    """Character spans of a text's pieces, from first to last word."""
-    found = (words if words is not None else Words()).look([text])
-    spans = [m.span() for m in _WORD.finditer(text) if m.group().lower() != _BREAK]
-    return [(spans[a][0], spans[b - 1][1]) for a, b in zip(found.edges[:-1].tolist(), found.edges[1:].tolist(), strict=True)]
+def piece_spans(texts: list[str], words: Words | None = None) -> list[list[tuple[int, int]]]:
+    """Character spans of each text's pieces, from first to last word."""
+    found = (words if words is not None else Words()).look(texts)
+    edges, out = found.edges.tolist(), []
+    for text, first, last in zip(texts, found.first.tolist(), found.last.tolist(), strict=True):
+        spans = [m.span() for m in _WORD.finditer(text) if m.group().lower() != _BREAK]
+        out.append([(spans[a - edges[first]][0], spans[b - edges[first] - 1][1]) for a, b in zip(edges[first:last], edges[first + 1 : last + 1], strict=True)])
+    return out
 
 
 _LEAD, _GONE = 0, 1
@@ -216,9 +219,8 @@ def _later(batches):
         yield out(parts)
 
 
-def strip_pieces(text: str, places: list[int], words: Words | None = None) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without the pieces that the places cover, their number, and the spans cut out."""
-    spans = piece_spans(text, words)
+def strip_pieces(text: str, places: list[int], spans: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
+    """The text, of pieces at the spans, without those that the places cover, their number, and the spans cut out."""
     gone = np.zeros(len(spans) + 1, np.int64)
     for p in places:
         start, length = p >> 6, p & 63
@@ -241,10 +243,11 @@ def strip_pieces(text: str, places: list[int], words: Words | None = None) -> tu
 def _stripped(batches):
     words = Words()
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             texts, flags = part.column(1).to_pylist(), part.column(2).to_pylist()
-            out = [strip_pieces(t, f, words) if f else (t, 0, []) for t, f in zip(texts, flags, strict=True)]
+            held = iter(piece_spans([t for t, f in zip(texts, flags, strict=True) if f], words))
+            out = [strip_pieces(t, f, next(held)) if f else (t, 0, []) for t, f in zip(texts, flags, strict=True)]
             spans = pa.array([[{"start": a, "end": b} for a, b in o[2]] for o in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), spans], names=["_row", "_text", "n_removed", "removed"])
 

@@ -137,7 +137,7 @@ def test_spans_against_force(spark):
                 if tuple(held[a:b]) in seen:
                     gone.setdefault(i, set()).update(range(a, b))
                 seen.setdefault(tuple(held[a:b]), i)
-        assert len(spans.piece_spans(t)) == len(held)
+        assert len(spans.piece_spans([t])[0]) == len(held)
         assert len(spans.Words().look([t]).runs(powers)[0]) == len({a for a in range(len(held)) if any(sum(counts[a:b]) >= spans.MIN_WORDS for b in range(a + spans.RUN, len(held) + 1))})
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in spans.dedup_spans(df).collect()}
@@ -156,7 +156,7 @@ def test_spans_in_text_without_sentences(spark):
     assert sum(w in passage for w in left) <= 24
     for t in (*texts, "ha " * 300, "x " + "A B. " * 40, "一二。三四！ 五\n\n六 \x00\u00b6\x01 v. \n w\u2003x\r\n" * 9, "", " \n "):
         held, counts = pieces_of(t)
-        found = spans.piece_spans(t)
+        found = spans.piece_spans([t])[0]
         assert [" ".join(t[a:b].lower().split()) for a, b in found] == held and max(counts, default=0) <= spans.LONGEST
 
 
