@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import sys
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +54,41 @@ def remainder(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(n), F.lit(-1).cast("long"))
 
 
-def worker_state(key: str, make):
-    """A value that a Python worker keeps between tasks. Only one value per kind (the part before ':') is kept."""
-    held = sys.__dict__.setdefault("_lakeseek_state", {})
-    if key not in held:
-        for old in [k for k in held if k.split(":")[0] == key.split(":")[0]]:
-            del held[old]
-        held[key] = make()
-    return held[key]
+_STATE: dict = {}
+
+
+def worker_state(tag: str, kind: str, make):
+    """A value that a Python worker keeps between the tasks of one operator's run, which `tag` names."""
+    forget(tag)
+    if (tag, kind) not in _STATE:
+        _STATE[tag, kind] = make()
+    return _STATE[tag, kind]
+
+
+def forget(tag: str = "") -> None:
+    """Drops what the worker keeps of other runs, and gives the memory back."""
+    old = [k for k in _STATE if k[0] != tag]
+    for k in old:
+        del _STATE[k]
+    if old:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def scoped(run, tag: str = ""):
+    """run, in a worker that keeps nothing of other runs; where it keeps caches (a tag), the collector rests meanwhile, as they hold no cycles."""
+
+    def inner(batches):
+        forget(tag)
+        if tag:
+            gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return inner
 
 
 class Bounded(dict):

@@ -12,7 +12,6 @@ last two bytes of their contexts, which hold whole subtrees. Only depths 0 to 2
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections import Counter
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import remainder, saved, worker_state
+from lakeseek.llm.common import remainder, saved, scoped, worker_state
 
 DEPTH, KEEP = 6, 2
 #: Text bytes of a block, positions counted at once, and buckets at least.
@@ -431,10 +430,9 @@ def gram_logs(blocks: DataFrame, n_buckets: int) -> DataFrame:
 
 def _scored(shared, tag: str):
     def run(batches):
-        gc.disable()  # the caches hold no cycles
         word_codes, word_logs, floor, known_end = shared.value
-        frequent = worker_state(f"frequent:{tag}", lambda: dict(zip(word_codes.tolist(), word_logs.tolist(), strict=True)))
-        base = worker_state(f"base:{tag}", dict)
+        frequent = worker_state(tag, "frequent", lambda: dict(zip(word_codes.tolist(), word_logs.tolist(), strict=True)))
+        base = worker_state(tag, "base", dict)
         at, parts, held, logs = None, [], None, None
         for batch in batches:
             blocks, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -476,7 +474,7 @@ def _scored(shared, tag: str):
                         rare.append([{"w": k, "n": n} for k, n in rest.items()])
                     yield pa.RecordBatch.from_arrays([*part.columns[4:7], pa.array(score, pa.float64()), pa.array(length, pa.float64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "held_out", "row", "score", "code_length", "n_tokens", "n_known", "sums", "rare"])
 
-    return run
+    return scoped(run, tag)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import components, discard, from_planes, saved, to_planes
+from lakeseek.llm.common import components, discard, from_planes, saved, scoped, to_planes
 from lakeseek.llm.shingles import Parts, WordHash, fingerprint, shingle_set, word_hashes
 
 GROUP = 48
@@ -28,8 +28,8 @@ GROUP = 48
 TURN = 256
 #: Sets (and tokens) in which equal signatures are joined before the shuffle.
 BATCH, BATCH_TOKENS = 4096, 1_000_000
-#: Bytes of text for each bucket of keys, about 600,000 keys.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 24
+#: Bytes of text for each bucket of keys, about 150,000 keys.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 2 << 20, 64, 1 << 24
 #: Bits of a column for each token of its largest member.
 WIDTH = 4
 _SIZE, _EQUAL, _LINK, _KEY, _MEMBER = 0, 1, 2, 3, 4
@@ -156,7 +156,8 @@ def _met(batches):
     at, keys, prints = None, [], []
     for batch in batches:
         made = []
-        for bucket, kind, n, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            bucket, kind, n, a, b, c = (x[i].as_py() for x in batch.columns)
             if bucket != at:
                 made += out(at, keys, prints)
                 at, keys, prints = bucket, [], []
@@ -351,7 +352,7 @@ def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
     cols = lambda df, q, turn: df.join(turns, ["gid", "sub"]).select("gid", "sub", turn.alias("turn"), F.lit(q).alias("query"), "doc", "label", "tokens")
     rows = cols(members, False, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).unionByName(cols(queries, True, F.pmod(F.xxhash64("doc", F.lit(7)), F.col("turns"))))
     dealt = rows.repartition("gid", "sub", "turn").sortWithinPartitions("gid", "sub", "turn", "query", "doc")
-    return dealt.mapInArrow(_probed(percent), "a long, b long")
+    return dealt.mapInArrow(scoped(_probed(percent)), "a long, b long")
 
 
 def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -364,13 +365,13 @@ def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     home = members.select("doc").distinct().join(near, "doc", "left").select("doc", F.coalesce("gid", "doc").alias("gid"))
     sizes = home.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("subs"))
     home = saved(home.join(sizes, "gid").select("gid", F.when(F.col("doc") == F.col("gid"), 0).otherwise(F.pmod(F.xxhash64("doc"), "subs")).cast("long").alias("sub"), "doc", "subs"))
-    made = rows.join(home.select("doc"), "doc").mapInArrow(_sets(k), "doc long, tokens array<long>, bits binary")
+    made = rows.join(home.select("doc"), "doc").mapInArrow(scoped(_sets(k)), "doc long, tokens array<long>, bits binary")
     sets = saved(made)
     # The group's first set stands in each of its parts.
     heads = home.select("gid", "subs").distinct().select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.col("gid").alias("doc"))
     placed = home.select("gid", "sub", "doc").unionByName(heads).distinct()
     grouped = placed.join(sets, "doc").select("gid", "sub", "doc", "tokens", "bits").repartition("gid", "sub").sortWithinPartitions("gid", "sub", "doc")
-    grouped = saved(grouped.mapInArrow(_grouped(percent), "gid long, sub long, a long, b long, least long, bits binary"))
+    grouped = saved(grouped.mapInArrow(scoped(_grouped(percent)), "gid long, sub long, a long, b long, least long, bits binary"))
     links = grouped.where("bits is null").select("a", "b")
     classes = components(links)
     home = saved(home.drop("subs").join(classes, home["doc"] == classes["node"], "left").select("doc", "gid", "sub", F.coalesce("label", "doc").alias("label")))
@@ -387,7 +388,7 @@ def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     pairs = asks.join(asked, ["x0", "x1", "x2"]).where("only is null or only <> label").select("doc", "gid", "sub").distinct()
     column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
     seen = pairs.join(sets.select("doc", F.size("tokens").cast("long").alias("n"), F.col("bits").alias("own")).distinct(), "doc").join(column, ["gid", "sub"])
-    open_ = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(_bounded(percent), "doc long, gid long, sub long"))
+    open_ = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(scoped(_bounded(percent)), "doc long, gid long, sub long"))
     labelled = sets.select("doc", "tokens").join(home, "doc")
     inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"])
     queries = open_.join(labelled.select("doc", "label", "tokens"), "doc").select("gid", "sub", "doc", "label", "tokens")
@@ -409,8 +410,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = int(max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)))
-    met = rows.mapInArrow(_signed(k, percent, n_buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    met = saved(met.mapInArrow(_met, "kind int, k long, a long, b long"))
+    met = rows.mapInArrow(scoped(_signed(k, percent, n_buckets)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    met = saved(met.mapInArrow(scoped(_met), "kind int, k long, a long, b long"))
     sizes = met.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 1, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
     # Equal sets: everything is asked of the smallest doc_id with that set.
     equal = met.where(f"kind = {_EQUAL}").select("a", "b").distinct()

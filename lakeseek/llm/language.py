@@ -10,7 +10,6 @@ them, whatever the input) and its share there is at least a RIVAL-th of its larg
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections import Counter
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import remainder, saved, worker_state
+from lakeseek.llm.common import remainder, saved, scoped, worker_state
 
 LEAST_ORDER, ORDER, FLOOR, RIVAL = 3, 4, 2.0**-15, 6
 SLOTS, HASHES = 1 << 19, 3
@@ -83,7 +82,7 @@ class Filters:
 def learn_filters(docs: DataFrame) -> Filters:
     """Filters from the documents' text and non-null lang. What reaches the driver is bounded: 1 / FLOOR n-grams a language."""
     rows = docs.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = rows.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(scoped(_gram_counts), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = saved(counts)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= FLOOR)  # total: a row for each language
@@ -102,8 +101,7 @@ def _predicted(filters, key: str):
         languages, masks, false = filters.value
         n_langs = len(languages)
         lane = (1 << LANE) - 1
-        words, grams = worker_state(f"language:{key}", lambda: ({}, {}))
-        gc.disable()  # the caches hold no cycles
+        words, grams = worker_state(key, "language", lambda: ({}, {}))
 
         def gram_lanes(gram: str) -> int:
             mask = np.bitwise_and.reduce(masks[_slots(gram)], axis=0)
@@ -149,7 +147,7 @@ def _predicted(filters, key: str):
                 scores.append(float(share[best]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["_row", "lang_pred", "score"])
 
-    return run
+    return scoped(run, key)
 
 
 def predict_language(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import saved
+from lakeseek.llm.common import saved, scoped
 
 #: Slices of a source over which its running word count is split, so that a hot source is no single task.
 SLICES = 512
@@ -61,7 +61,7 @@ def mix_plan(docs: DataFrame, seed: int = 5, most: float = 3.0, weight=cycle_wei
     t = F.col("text").cast("string")
     rows = docs.select("doc_id", t.alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id", t).alias("h"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = saved(rows.mapInArrow(_counted, f"doc_id {kinds['doc_id']}, source string, h long, size long")).withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(SLICES)).cast("int"))
+    rows = saved(rows.mapInArrow(scoped(_counted), f"doc_id {kinds['doc_id']}, source string, h long, size long")).withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(SLICES)).cast("int"))
     sums = saved(rows.groupBy("source", "slice").agg(F.sum("size").alias("m")))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(sums.groupBy("source").agg(F.sum("m").alias("source_size")), most, weight, ramp)

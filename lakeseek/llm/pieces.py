@@ -7,7 +7,6 @@ library once and remembered, and every piece is projected back to the span of so
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 import struct
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import worker_state
+from lakeseek.llm.common import scoped, worker_state
 
 SPACE = "▁"
 _SEGMENT = re.compile(" *[^ ]+| +")
@@ -217,13 +216,12 @@ class Encoder:
 
 
 def _encoder(path: str, model: bytes) -> Encoder:
-    return worker_state(f"pieces:{path}", lambda: Encoder(model))
+    return worker_state(f"pieces:{path}", "encoder", lambda: Encoder(model))
 
 
 def _runner(model: bytes, path: str, end: bool, digests: bool):
     def run(batches):
         encoder = _encoder(path, model)
-        gc.disable()  # the caches hold no cycles, and walking them costs more than all else
         tail = [encoder.end] if end else []
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -249,7 +247,7 @@ def _runner(model: bytes, path: str, end: bool, digests: bool):
                         decoded.append(d)
                     yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, pa.list_(pa.int32())) for x in (ids, begins, ends)), pa.array(decoded, pa.string())], names=["_row", "ids", "begins", "ends", "decoded"])
 
-    return run
+    return scoped(run, f"pieces:{path}")
 
 
 def encode_pieces(docs: DataFrame, model_path: str, end: bool = True, text: str = "text") -> DataFrame:
@@ -287,4 +285,4 @@ def decode_pieces(rows: DataFrame, model_path: str, ids: str = "ids", out: str =
 
     names = [c for c in rows.columns if c != out]
     row = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{ids}`").alias("_ids"))
-    return row.mapInArrow(run, row.select("_row").schema.add(out, "string")).select("_row.*", out)
+    return row.mapInArrow(scoped(run, f"pieces:{model_path}"), row.select("_row").schema.add(out, "string")).select("_row.*", out)

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeseek.llm.common import from_planes, to_planes
+from lakeseek.llm.common import from_planes, scoped, to_planes
 
 PIECE, RUN, MIN_WORDS = 8, 3, 20
 REACH, LONGEST = 3, 16
 #: Text characters of a batch, text bytes of a bucket of runs, and buckets.
-BATCH_CHARS, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 3_000_000, 16 << 20, 64, 1 << 24
+BATCH_CHARS, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 3_000_000, 2 << 20, 64, 1 << 24
 MOST_WORDS = 300_000
 #: A sentence ends behind these, with white space or without.
 _STOPS, _WIDE = ".!?", "。！？"
@@ -185,7 +185,7 @@ def _keyed(n_buckets: int):
         if held[0]:
             yield out(*held, words, powers)
 
-    return run
+    return scoped(run)
 
 
 def _later(batches):
@@ -206,7 +206,8 @@ def _later(batches):
 
     at, parts = None, []
     for batch in batches:
-        for bucket, kind, least, k1, k2, doc, mark, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            bucket, kind, least, k1, k2, doc, mark, place = (c[i].as_py() for c in batch.columns)
             if kind == _GONE:
                 yield table(from_planes(doc), from_planes(mark, 4), from_planes(place, 4))
                 continue
@@ -265,10 +266,10 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     size = docs.agg(F.coalesce(F.sum(F.octet_length(t)), F.lit(0))).first()[0]
     n_buckets = int(max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)))
     rows = docs.select(*key, t.alias("text")).mapInArrow(_keyed(n_buckets), "bucket long, kind int, least long, k1 binary, k2 binary, doc binary, mark binary, place binary")
-    later = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_later, "doc long, mark long, place long")
+    later = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scoped(_later), "doc long, mark long, place long")
     flags = later.groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
     whole = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), t.alias("_text"))
     joined = whole.join(flags, ["doc", "mark"], "left").select("_row", "_text", "places")
     schema = joined.select("_row").schema.add("_text", "string").add("n_removed", "integer").add("removed", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
-    out = joined.mapInArrow(_stripped, schema)
+    out = joined.mapInArrow(scoped(_stripped), schema)
     return out.select(*(F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names), "n_removed", "removed")

@@ -8,7 +8,6 @@ whole text and over its most toxic stretch of WINDOW words, these values are the
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections import Counter
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import remainder, saved, worker_state
+from lakeseek.llm.common import remainder, saved, scoped, worker_state
 
 #: Labelled rows of each class that are learned from, at most: the classifier's sample bound.
 MOST_ROWS = 20_000
@@ -127,8 +126,7 @@ def _features(shared, tag: str):
     """(row, text) -> (row, mean, peak)."""
 
     def run(batches):
-        values = worker_state(f"toxic:{tag}", dict)
-        gc.disable()  # the caches hold no cycles
+        values = worker_state(tag, "values", dict)
         model = None
         for batch in batches:
             means, peaks = [], []
@@ -137,7 +135,7 @@ def _features(shared, tag: str):
                 try:
                     v = [values[w] for w in words]
                 except KeyError:
-                    model = model or worker_state(f"kneser_ney:{tag}", lambda: Model(shared.value))
+                    model = model or worker_state(tag, "model", lambda: Model(shared.value))
                     if len(values) > MOST_WORDS:
                         values.clear()
                     for w in words:
@@ -150,7 +148,7 @@ def _features(shared, tag: str):
                 peaks.append(float((sums[w:] - sums[: len(sums) - w]).max() / WINDOW) if v else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64()), pa.array(peaks, pa.float64())], names=["_row", "mean", "peak"])
 
-    return run
+    return scoped(run, tag)
 
 
 def _with_features(docs: DataFrame, shared, tag: str) -> DataFrame:
@@ -189,7 +187,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
     chosen = [named.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for c in (1, 0)]
     taught = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     rows = taught.select(F.col("text").cast("string").alias("text"), "toxic", (fold == 4).alias("tunes"))
-    grams = rows.where(~F.col("tunes")).select("text", "toxic").mapInArrow(_word_counts, "gram string, toxic long, ordinary long")
+    grams = rows.where(~F.col("tunes")).select("text", "toxic").mapInArrow(scoped(_word_counts), "gram string, toxic long, ordinary long")
     grams = grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     letters = F.sum(F.when(F.length("gram") == 1, F.col("toxic") + F.col("ordinary")))
     grams = saved(grams)
