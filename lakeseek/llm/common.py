@@ -21,11 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found or "/tmp/checkpoints"
 
 
+#: Rows of a batch sent to Python while saved() runs: texts can be long, and each task holds a batch outside the heap.
+ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeseek-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, str(ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
