@@ -76,14 +76,16 @@ def worker_state(tag: str, kind: str, make):
 
 
 def forget(tag: str = "") -> None:
-    """Drops what the worker keeps of other runs, and gives the memory back."""
-    old = [k for k in _STATE if k[0] != tag]
-    for k in old:
+    """Drops what the worker keeps of other runs."""
+    for k in [k for k in _STATE if k[0] != tag]:
         del _STATE[k]
-    if old:
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+
+
+def _give_back() -> None:
+    """Returns freed memory to the machine: idle workers share an executor with what runs next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def scoped(run, tag: str = ""):
@@ -97,6 +99,7 @@ def scoped(run, tag: str = ""):
             yield from run(batches)
         finally:
             gc.enable()
+            _give_back()
 
     return inner
 

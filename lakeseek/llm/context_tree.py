@@ -26,7 +26,7 @@ from lakeseek.llm.common import remainder, saved, scoped, worker_state
 
 DEPTH, KEEP = 6, 2
 #: Text bytes of a block, positions counted at once, and buckets at least.
-BLOCK, CHUNK, BUCKETS = 48_000_000, 4_000_000, 256
+BLOCK, CHUNK, BUCKETS = 24_000_000, 4_000_000, 256
 #: Depth of the contexts that buckets are made of.
 TOP = 2
 #: Words whose share of the tokens is at least this are broadcast, 1 / WORD_SHARE at most; the others are joined.
@@ -338,22 +338,155 @@ def grow(codes: np.ndarray, n: np.ndarray, deepest: int, last: int, below: tuple
     return levels[::-1]
 
 
-def byte_logs(codes: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """log10 probability of each n-gram's last byte after the others, from weighed levels 0 to DEPTH."""
+def _start(codes: np.ndarray, levels: list[Level]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What weighed levels make of n-grams of TOP bytes: mass of their decisions' outcomes and what is left [n-gram, 8], and their log10 probability there."""
     node, bit = _nodes(codes & 255)
-    p, half = np.full(node.shape, 0.5), np.full(node.shape, 0.5)
+    upto, left, p = np.zeros(node.shape), np.ones(node.shape), np.full(node.shape, 0.5)
     live = np.arange(len(codes))
     for level in levels:
         context = (codes[live] >> 8) & _mask(level.d)
         kept = _place(level.contexts, context)[1]
         live, context = live[kept], context[kept]
-        if not len(live):
-            break
         i, met = _place(level.keys, context[:, None] << 8 | node[live])
+        one, b = (bit[live] == 1), live
         if len(level.keys):
-            half[live] = np.where(met, level.half[i], half[live])
-            p[live] = np.where(met, level.p[i], half[live])
-    return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1)).sum(1)
+            rest = level.left[i]
+            own = np.where(one, level.upto[i], 1 - rest - level.upto[i])
+            chance = np.where(one, level.p[i], 1 - level.p[i])
+            # A decision that was never met there is even.
+            p[b] = np.where(met, chance, upto[b] + left[b] * 0.5)
+            upto[b], left[b] = np.where(met, own, upto[b] + left[b] * 0.5), np.where(met, rest, 0.0)
+        else:
+            p[b] = upto[b] + left[b] * 0.5
+    return upto, left, np.log10(np.clip(p, 1e-12, 1)).sum(1)
+
+
+#: Log gammas of whole numbers and a half below this are looked up.
+_SMALL = 4096
+_TABLE = _log_gamma_half(np.arange(2.0 * _SMALL))
+
+
+def _log_kt_near(own: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov probability of a decision met so often, of those with the outcome own."""
+    if not len(total) or total.max() < _SMALL:
+        return _TABLE[own] + _TABLE[total - own] - _LOG_FACT[total] - math.log(math.pi)
+    return _log_kt((total - own).astype(np.float64), own.astype(np.float64))
+
+
+_LOG_FACT = _log_gamma_half(np.arange(_SMALL) + 0.5)
+
+
+class Branches:
+    """The contexts of d bytes of a bucket's n-grams in order, which is by context and byte, so that a decision's n-grams stand together.
+
+    total[l]: how often decision l of each n-gram's byte was met in its context (total[8]: the n-gram itself); group[l]: a number for that decision in that
+    context, heads[l]: each decision's first n-gram.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, d: int):
+        self.d, self.codes = d, codes
+        self.total, self.group, self.heads = [], [], []
+        for level in range(8):
+            key = codes >> (8 - level)
+            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(head, len(codes)))
+            self.heads.append(head)
+            self.group.append(np.repeat(np.arange(len(head)), size))
+            self.total.append(np.repeat(np.add.reduceat(n, head), size))
+        self.total.append(n)
+        self.kept = self.total[0] >= KEEP
+
+    def mix(self, deeper: Branches | None, up: np.ndarray | None) -> None:
+        """kt, mixed and rest of each decision; up: where the deeper n-grams' endings stand here."""
+        self.kt = [_log_kt_near(self.total[level + 1], self.total[level]) for level in range(8)]
+        if deeper is None:
+            self.mixed, self.rest = self.kt, None
+            return
+        alone = ~deeper.kept
+        n = np.bincount(up[alone], deeper.total[8][alone], len(self.codes)).astype(np.int64)
+        self.rest = [np.add.reduceat(n, h)[g] for h, g in zip(self.heads, self.group, strict=True)] + [n]
+        self.mixed = []
+        for level in range(8):
+            head = deeper.heads[level]
+            head = head[deeper.kept[head]]
+            longer = np.bincount(self.group[level][up[head]], deeper.mixed[level][head], len(self.heads[level]))[self.group[level]]
+            self.mixed.append(np.logaddexp(self.kt[level], longer + _log_kt_near(self.rest[level + 1], self.rest[level])) - math.log(2))
+
+    def weigh(self, upto, left, logs) -> tuple:
+        """From the shorter contexts' mass, rest and log10 probabilities of each n-gram to these contexts'."""
+        upto, left, p = upto.copy(), left.copy(), np.empty_like(upto)
+        for level in range(8):
+            own = np.exp(np.minimum(self.kt[level] - math.log(2) - self.mixed[level], 0)) if self.rest else 1.0
+            upto[:, level] += left[:, level] * own * (self.total[level + 1] + 0.5) / (self.total[level] + 1)
+            left[:, level] *= 1 - own
+            p[:, level] = upto[:, level] + left[:, level] * (self.rest[level + 1] + 0.5) / (self.rest[level] + 1) if self.rest else upto[:, level]
+        return upto, left, np.where(self.kept, np.log10(np.clip(p, 1e-12, 1)).sum(1), logs)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and mixed of the decisions met in kept contexts, in order."""
+        keys, mixed = [], []
+        for level in range(8):
+            head = self.heads[level]
+            head = head[self.kept[head] & (self.total[level][head] > 0)]
+            keys.append((self.codes[head] >> 8) << 8 | 1 << level | (self.codes[head] & 255) >> (8 - level))
+            mixed.append(self.mixed[level][head])
+        keys, mixed = np.concatenate(keys), np.concatenate(mixed)
+        order = np.argsort(keys)
+        return keys[order], mixed[order]
+
+
+def branches(codes: np.ndarray, n: np.ndarray) -> tuple[list[Branches], list[np.ndarray]]:
+    """Depths TOP to DEPTH of a bucket's n-grams, mixed; and where each depth's n-grams end in the shorter one."""
+    parts, ups = [Branches(codes, n, DEPTH)], []
+    for d in range(DEPTH - 1, TOP - 1, -1):
+        short, up = np.unique(parts[-1].codes & _mask(d + 1), return_inverse=True)
+        ups.append(up)
+        parts.append(Branches(short, np.bincount(up, parts[-1].total[8], len(short)).astype(np.int64), d))
+    for i, part in enumerate(parts):
+        part.mix(parts[i - 1] if i else None, ups[i - 1] if i else None)
+    return parts[::-1], ups[::-1]
+
+
+def bucket_logs(codes: np.ndarray, n: np.ndarray, top: list[Level]) -> np.ndarray:
+    """log10 probability of each n-gram's last byte after the others; top: weighed levels below TOP."""
+    parts, ups = branches(codes, n)
+    short, up = np.unique(parts[0].codes & _mask(TOP), return_inverse=True)
+    state = [x[up] for x in _start(short, top)]
+    for part, up in zip(parts, [*ups, None], strict=True):
+        state = part.weigh(*state)
+        if up is not None:
+            state = [x[up] for x in state]
+    return state[2]
+
+
+class Index:
+    """Numbers looked up by code: slots by a hash, the next one if it is taken."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        self.codes, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        at = self._slot(codes)
+        while len(codes):
+            free = self.codes[at] == -1
+            self.codes[at[free]] = codes[free]  # of several the last one stays
+            here = self.codes[at] == codes
+            self.values[at[here]] = values[here]
+            codes, values, at = codes[~here], values[~here], (at[~here] + 1) & (len(self.codes) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, codes: np.ndarray) -> np.ndarray:
+        at = self._slot(codes)
+        out = self.values[at]
+        left = np.flatnonzero(self.codes[at] != codes)
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.codes) - 1)
+            out[left] = self.values[at]
+            more = self.codes[at] != codes[left]
+            left, at = left[more], at[more]
+        return out
 
 
 _MODEL, _HAS, _SHORT = 0, 1, 2
@@ -367,10 +500,10 @@ def _merged(batches):
 
     def out(bucket, held):
         codes, n = _summed(np.concatenate([c for _, c, _ in held]), np.concatenate([x for _, _, x in held]))
-        learned = n > 0
-        level = grow(codes[learned], n[learned], DEPTH, TOP)[0]
-        short = _summed(codes[learned] & _mask(TOP + 1), n[learned])
-        rows = [(_MODEL, -1, _packed(codes), _packed(n)), (_SHORT, -1, _packed(short[0]), _packed(short[1])), (_SHORT, -2, _packed(level.keys), level.mixed.tobytes())]
+        level = branches(codes, n)[0][0]
+        met = level.total[8] > 0
+        keys, mixed = level.keys()
+        rows = [(_MODEL, -1, _packed(codes), _packed(n)), (_SHORT, -1, _packed(level.codes[met]), _packed(level.total[8][met])), (_SHORT, -2, _packed(keys), mixed.tobytes())]
         for block, c, _ in held:
             has = np.zeros(len(codes), bool)
             has[np.searchsorted(codes, c)] = True
@@ -380,7 +513,8 @@ def _merged(batches):
 
     at, held = None, []
     for batch in batches:
-        for bucket, block, codes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            bucket, block, codes, n = (c[i].as_py() for c in batch.columns)
             if bucket != at and held:
                 yield out(at, held)
                 held = []
@@ -395,14 +529,11 @@ def _logs(shared):
 
     def run(batches):
         for batch in batches:
-            for _, kind, block, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                _, kind, block, a, b = (c[row].as_py() for c in batch.columns)
                 if kind == _MODEL:
-                    codes, n = _unpacked(a), _unpacked(b)
-                    top = shared.value
-                    levels = grow(codes[n > 0], n[n > 0], DEPTH, TOP)
-                    for shorter, level in zip([top[-1], *levels[:-1]], levels, strict=True):
-                        level.weigh(shorter)
-                    logs = np.concatenate([byte_logs(codes[s : s + 200_000], [*top, *levels]) for s in range(0, len(codes), 200_000)]).astype(np.float32)
+                    codes = _unpacked(a)
+                    logs = bucket_logs(codes, _unpacked(b), shared.value).astype(np.float32)
                     continue
                 has = np.unpackbits(np.frombuffer(a, np.uint8), count=len(codes)).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(codes[has])], pa.binary()), pa.array([logs[has].tobytes()], pa.binary())], names=["block", "codes", "logs"])
@@ -412,8 +543,8 @@ def _logs(shared):
 
 def gram_logs(blocks: DataFrame, n_buckets: int) -> DataFrame:
     """(block, codes, logs): the log10 probabilities of the n-grams of each block of texts (block, held_out, text), in parts."""
-    counted = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_counted(n_buckets), "bucket long, block long, codes binary, counts binary")
-    merged = saved(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "bucket long, kind int, block long, a binary, b binary"))
+    counted = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(scoped(_counted(n_buckets)), "bucket long, block long, codes binary, counts binary")
+    merged = saved(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scoped(_merged), "bucket long, kind int, block long, a binary, b binary"))
     short = merged.where(f"kind = {_SHORT}").select("block", "a", "b").collect()
     grams = [(_unpacked(r[1]), _unpacked(r[2])) for r in short if r[0] == -1]
     keyed = [(_unpacked(r[1]), np.frombuffer(r[2])) for r in short if r[0] == -2]
@@ -425,7 +556,7 @@ def gram_logs(blocks: DataFrame, n_buckets: int) -> DataFrame:
         level.weigh(shorter)
     shared = blocks.sparkSession.sparkContext.broadcast(top)
     parts = merged.where(f"kind <> {_SHORT}").repartition("bucket").sortWithinPartitions("bucket", "kind")
-    return parts.mapInArrow(_logs(shared), "block long, codes binary, logs binary")
+    return parts.mapInArrow(scoped(_logs(shared)), "block long, codes binary, logs binary")
 
 
 def _scored(shared, tag: str):
@@ -433,7 +564,7 @@ def _scored(shared, tag: str):
         word_codes, word_logs, floor, known_end = shared.value
         frequent = worker_state(tag, "frequent", lambda: dict(zip(word_codes.tolist(), word_logs.tolist(), strict=True)))
         base = worker_state(tag, "base", dict)
-        at, parts, held, logs = None, [], None, None
+        at, parts, held = None, [], None
         for batch in batches:
             blocks, is_text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (is_text[1:] != is_text[:-1])))).tolist() if batch.num_rows else []
@@ -444,14 +575,12 @@ def _scored(shared, tag: str):
                     parts += [(_unpacked(c), np.frombuffer(x, np.float32)) for c, x in zip(batch.column(2).slice(s, e - s).to_pylist(), batch.column(3).slice(s, e - s).to_pylist(), strict=True)]
                     continue
                 if held is None:
-                    held, logs = (np.concatenate([p[j] for p in parts]) for j in range(2))
-                    order, parts = np.argsort(held), []
-                    held, logs = held[order], logs[order].astype(np.float64)
+                    held, parts = Index(*(np.concatenate([p[j] for p in parts]) for j in range(2))), []
                 for start in range(s, e, 500):
                     part = batch.slice(start, min(500, e - start))
                     texts = [(t.as_py() or b"").lower() for t in part.column(7).cast(pa.binary())]
                     code, first = _text_codes(texts)
-                    score = np.add.reduceat(logs[np.searchsorted(held, code)], first).tolist()
+                    score = np.add.reduceat(held.look(code).astype(np.float64), first).tolist()
                     length, n_tokens, n_known, sums, rare = [], [], [], [], []
                     for text, own in zip(texts, score, strict=True):
                         length.append(-own * math.log2(10) / (len(text) + 1))
@@ -486,7 +615,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     fold, t = remainder(F.col("doc_id"), 5), F.col("text").cast("string")
-    words = docs.where(fold != 1).select(t.alias("text")).mapInArrow(_words, "code long, n long")
+    words = docs.where(fold != 1).select(t.alias("text")).mapInArrow(scoped(_words), "code long, n long")
     words = saved(words.groupBy(F.col("code").alias("w")).agg(F.sum("n").alias("c")).where("c > 0"))
     v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     scale = n + 0.5 * (v + 1)
