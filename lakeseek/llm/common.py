@@ -48,6 +48,12 @@ def discard(*frames: DataFrame) -> None:
                 at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; it finds them when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def to_planes(x: np.ndarray, n: int = 8) -> bytes:
     """The low n bytes of whole numbers, byte by byte: what they have in common is left to the shuffle's compression."""
     return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(len(x), 8)[:, :n].T).tobytes()

@@ -7,8 +7,9 @@
    column of the token-group matrix: a bitmap of hashed tokens.
 3. What groups link makes classes. Where a key is shared by several classes, each set outside the key's largest class is a query to the
    key's groups of other classes. Its tokens whose bits the group's column lacks bound its overlap with every member.
-4. Groups whose bound is below the threshold stay shut, and no token list is sent to them. The others are opened: all members are counted
-   exactly. So every pair of sets that share a key and are of different classes is tested or bounded.
+4. Groups whose bound is below the threshold stay shut. To the others the set's own bitmap is sent, which bounds its overlap with each member; only
+   groups with a member that is left are opened: they get the token list, and all members are counted exactly. So every pair of sets that share
+   a key and are of different classes is tested or bounded.
 
 Nothing is capped. Links within a class need no test once it is one, as only classes are asked for.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import components, discard, from_planes, saved, scoped, to_planes
+from lakeseek.llm.common import components, discard, from_planes, release, saved, scoped, to_planes
 from lakeseek.llm.shingles import Parts, WordHash, fingerprint, shingle_set, word_hashes
 
 GROUP = 48
@@ -211,15 +212,18 @@ def may_link(lacking: int, n: int, least: int, percent: int) -> bool:
 
 
 def _sets(k: int):
+    """(gid, sub, doc, text) -> (gid, sub, doc, tokens, bits)."""
+
     def run(batches):
         known = WordHash()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(3).cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
                 sets = [shingle_set(word_hashes(t.as_py(), known), k) for t in texts.slice(at, 512)]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 own = pa.array([_bits(s, _width(len(s))).tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64))), own], names=["doc", "tokens", "bits"])
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(at, 512) for j in range(3)), tokens, own], names=["gid", "sub", "doc", "tokens", "bits"])
 
     return run
 
@@ -322,6 +326,56 @@ def _bounded(percent: int):
     return run
 
 
+class Bitmaps:
+    """The bitmaps of a group's members, stacked by width."""
+
+    def __init__(self, members: list[tuple[int, int, bytes]]):
+        """members: class, set size and bitmap of each."""
+        self.by_width: dict = {}
+        for label, n, bits in members:
+            held = self.by_width.setdefault(len(bits), ([], [], []))
+            for x, y in zip(held, (label, n, np.frombuffer(bits, np.uint8)), strict=True):
+                x.append(y)
+        self.by_width = {w: (np.array(a, np.int64), np.array(b, np.int64), {w: np.stack(c)}) for w, (a, b, c) in self.by_width.items()}
+
+    def opens(self, label: int, n: int, bits: bytes, percent: int) -> bool:
+        """Whether the set may link with a member of another class: most tokens in common that the two bitmaps allow."""
+        own = {len(bits): np.frombuffer(bits, np.uint8)}
+        for w, (labels, size, stacks) in self.by_width.items():
+            least = min(w, len(bits))
+            if least not in stacks:
+                stacks[least] = np.stack([_folded(x, 8 * least) for x in stacks[w]])
+            if least not in own:
+                own[least] = _folded(own[len(bits)], 8 * least)
+            q, m = own[least], stacks[least]
+            both = q & m
+            most = np.minimum(n - np.bitwise_count(q ^ both).sum(1, dtype=np.int64), size - np.bitwise_count(m ^ both).sum(1, dtype=np.int64))
+            if ((100 * most >= percent * (n + size - most)) & (labels != label)).any():
+                return True
+        return False
+
+
+def _opened(percent: int):
+    """Rows (gid, sub, turn, query, doc, label, n, bits), a group's members before its queries -> (doc, gid, sub) still open."""
+
+    def run(batches):
+        at, members, maps = None, [], None
+        for batch in batches:
+            out = []
+            for gid, sub, turn, query, doc, label, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (gid, sub, turn):
+                    at, members, maps = (gid, sub, turn), [], None
+                if not query:
+                    members.append((label, n, bits))
+                elif members:
+                    maps = maps or Bitmaps(members)
+                    if maps.opens(label, n, bits, percent):
+                        out.append((doc, gid, sub))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["doc", "gid", "sub"])
+
+    return run
+
+
 def _probed(percent: int):
     """Rows (gid, sub, turn, query, doc, label, tokens), a group's members (query false) before its queries."""
 
@@ -346,13 +400,13 @@ def _probed(percent: int):
     return run
 
 
-def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found by probing; both have gid, sub, doc, label, tokens. A group's queries come in turns of about TURN, each with its own copy of the group."""
+def _by_turns(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (gid, sub, turn, query, doc, label, others) of groups and what asks them. A group's queries come in turns of about TURN, each with its own copy of the group."""
     turns = queries.groupBy("gid", "sub").agg(F.ceil(F.count(F.lit(1)) / TURN).cast("long").alias("turns"))
-    cols = lambda df, q, turn: df.join(turns, ["gid", "sub"]).select("gid", "sub", turn.alias("turn"), F.lit(q).alias("query"), "doc", "label", "tokens")
+    others = [c for c in members.columns if c not in ("gid", "sub", "doc", "label")]
+    cols = lambda df, q, turn: df.join(turns, ["gid", "sub"]).select("gid", "sub", turn.alias("turn"), F.lit(q).alias("query"), "doc", "label", *others)
     rows = cols(members, False, F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).unionByName(cols(queries, True, F.pmod(F.xxhash64("doc", F.lit(7)), F.col("turns"))))
-    dealt = rows.repartition("gid", "sub", "turn").sortWithinPartitions("gid", "sub", "turn", "query", "doc")
-    return dealt.mapInArrow(scoped(_probed(percent)), "a long, b long")
+    return rows.repartition("gid", "sub", "turn").sortWithinPartitions("gid", "sub", "turn", "query", "doc")
 
 
 def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -365,13 +419,13 @@ def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     home = members.select("doc").distinct().join(near, "doc", "left").select("doc", F.coalesce("gid", "doc").alias("gid"))
     sizes = home.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("subs"))
     home = saved(home.join(sizes, "gid").select("gid", F.when(F.col("doc") == F.col("gid"), 0).otherwise(F.pmod(F.xxhash64("doc"), "subs")).cast("long").alias("sub"), "doc", "subs"))
-    made = rows.join(home.select("doc"), "doc").mapInArrow(scoped(_sets(k)), "doc long, tokens array<long>, bits binary")
-    sets = saved(made)
     # The group's first set stands in each of its parts.
     heads = home.select("gid", "subs").distinct().select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.col("gid").alias("doc"))
-    placed = home.select("gid", "sub", "doc").unionByName(heads).distinct()
-    grouped = placed.join(sets, "doc").select("gid", "sub", "doc", "tokens", "bits").repartition("gid", "sub").sortWithinPartitions("gid", "sub", "doc")
+    placed = saved(home.select("gid", "sub", "doc").unionByName(heads).distinct())
+    sets = saved(placed.join(rows, "doc").select("gid", "sub", "doc", "text").mapInArrow(scoped(_sets(k)), "gid long, sub long, doc long, tokens array<long>, bits binary"))
+    grouped = sets.repartition("gid", "sub").sortWithinPartitions("gid", "sub", "doc")
     grouped = saved(grouped.mapInArrow(scoped(_grouped(percent)), "gid long, sub long, a long, b long, least long, bits binary"))
+    release(rows.sparkSession)
     links = grouped.where("bits is null").select("a", "b")
     classes = components(links)
     home = saved(home.drop("subs").join(classes, home["doc"] == classes["node"], "left").select("doc", "gid", "sub", F.coalesce("label", "doc").alias("label")))
@@ -387,13 +441,17 @@ def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     asked = asked.join(alike, "k").select("x0", "x1", "x2", "gid", "sub", "only").distinct()
     pairs = asks.join(asked, ["x0", "x1", "x2"]).where("only is null or only <> label").select("doc", "gid", "sub").distinct()
     column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
-    seen = pairs.join(sets.select("doc", F.size("tokens").cast("long").alias("n"), F.col("bits").alias("own")).distinct(), "doc").join(column, ["gid", "sub"])
-    open_ = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(scoped(_bounded(percent)), "doc long, gid long, sub long"))
-    labelled = sets.select("doc", "tokens").join(home, "doc")
-    inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"])
+    n = F.size("tokens").cast("long").alias("n")
+    bitmaps = sets.join(home, ["doc", "gid", "sub"]).select("gid", "sub", "doc", "label", n, "bits").distinct()
+    seen = pairs.join(bitmaps.select("doc", "label", "n", F.col("bits").alias("own")), "doc").join(column, ["gid", "sub"])
+    left = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(scoped(_bounded(percent)), "doc long, gid long, sub long").distinct())
+    asking = left.join(bitmaps.drop("gid", "sub"), "doc").select("gid", "sub", "doc", "label", "n", "bits")
+    open_ = saved(_by_turns(bitmaps, asking).mapInArrow(scoped(_opened(percent)), "doc long, gid long, sub long").distinct())
+    labelled = sets.select("gid", "sub", "doc", "tokens").join(home, ["doc", "gid", "sub"])
+    inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"]).select("gid", "sub", "doc", "label", "tokens")
     queries = open_.join(labelled.select("doc", "label", "tokens"), "doc").select("gid", "sub", "doc", "label", "tokens")
-    found = saved(links.unionByName(_probe(inside.select("gid", "sub", "doc", "label", "tokens"), queries, percent)))
-    discard(members, sets, grouped, held, open_)
+    found = saved(links.unionByName(_by_turns(inside, queries).mapInArrow(scoped(_probed(percent)), "a long, b long")))
+    discard(members, placed, sets, grouped, held, left, open_)
     return found
 
 
@@ -407,11 +465,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     a null class. Rows that repeat a doc_id are one node: each row keeps its own n_shingles, all share one class. Other
     columns are not read. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = int(max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)))
     met = rows.mapInArrow(scoped(_signed(k, percent, n_buckets)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
     met = saved(met.mapInArrow(scoped(_met), "kind int, k long, a long, b long"))
+    release(spark)
     sizes = met.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 1, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
     # Equal sets: everything is asked of the smallest doc_id with that set.
     equal = met.where(f"kind = {_EQUAL}").select("a", "b").distinct()
