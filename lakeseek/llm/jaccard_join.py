@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
 1. Every document becomes the set of its word shingles. Equal sets collapse to one representative. Pigeonhole signatures
-   (shingles.Parts) are keys of which any two sets that can be similar enough share one.
+   (shingles.Parts) are keys of which any two sets that can be similar enough share a certain number. Sets that share fewer with all others are done.
 2. Similar sets form groups: each set goes to the group of the set that it shares most keys with (of the first sets of its keys), GROUP
    sets at most and that one. A group is counted exactly within itself, and stores the union of its members' tokens as a
    column of the token-group matrix: a bitmap of hashed tokens.
@@ -28,7 +28,7 @@ GROUP = 48
 #: Queries that probe one copy of a group.
 TURN = 256
 #: Sets (and tokens) in which equal signatures are joined before the shuffle.
-BATCH, BATCH_TOKENS = 4096, 1_000_000
+BATCH, BATCH_TOKENS = 8192, 2_500_000
 #: Bytes of text for each bucket of keys, about 150,000 keys.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 2 << 20, 64, 1 << 24
 #: Bits of a column for each token of its largest member.
@@ -62,8 +62,13 @@ def _signed(k: int, percent: int, n_buckets: int):
         rows, at = [], abs(hash((len(docs), docs[0]))) % n_buckets
         known = np.array([d is not None for d in docs])
         ids = np.array([d if d is not None else 0 for d in docs], np.int64)
+        if len(ids) and np.abs(ids).max() >= 2**62:
+            raise ValueError("ids of 62 bits at most")
         size = np.array([len(s) for s in sets], np.int64)
-        rows.append((at, _SIZE, len(docs), to_planes(ids), to_planes(size), known.tobytes()))
+        parts = worker_parts(percent)
+        signs = [parts.signatures(x) if len(x) and d is not None else [] for x, d in zip(sets, docs, strict=True)]
+        need = np.array([[x[j][1] if j < len(x) else 1 for j in range(2)] for x in signs], np.int64)
+        rows.append((at, _SIZE, len(docs), to_planes(ids), to_planes(size), known.tobytes() + to_planes(need[:, 0], 4) + to_planes(need[:, 1], 4)))
         linked = np.flatnonzero(known & (size > 0))
         linked = linked[np.argsort(ids[linked], kind="stable")].tolist()
         prints: dict = {}
@@ -81,14 +86,14 @@ def _signed(k: int, percent: int, n_buckets: int):
             rows.append((b, _EQUAL, len(d), to_planes(x), to_planes(y), to_planes(d)))
         order = np.argsort(ids[signing], kind="stable")
         signing = [signing[i] for i in order]
-        parts = worker_parts(percent)
-        signs = [parts.signatures(sets[i]) for i in signing]
-        key, who = np.concatenate(signs), np.repeat(ids[signing], [len(s) for s in signs])
+        # A document's number and, lowest, which class a key is of: its own or the one before.
+        key = np.concatenate([x for i in signing for x, _ in signs[i]])
+        who = np.repeat(np.concatenate([[ids[i] * 2 + j for j in range(len(signs[i]))] for i in signing]), [len(x) for i in signing for x, _ in signs[i]])
         order = np.argsort(key, kind="stable")
         key, who = key[order], who[order]
         new = np.concatenate(([True], key[1:] != key[:-1]))
         own = np.zeros(len(key), bool)  # a document's second key of one value
-        own[1:] = ~new[1:] & (who[1:] == who[:-1])
+        own[1:] = ~new[1:] & (who[1:] >> 1 == who[:-1] >> 1)
         key, who, new = key[~own], who[~own], new[~own]
         followed = np.append(~new[1:], False)[new]
         bucket, low = ((key >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), (key & np.uint64(2**48 - 1)).astype(np.int64)
@@ -128,7 +133,10 @@ def _key64(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _met(batches):
-    """Packed rows sorted by bucket -> (kind, k, a, b): sizes, equal sets as (copy, first), and the members of keys that several sets share."""
+    """Packed rows sorted by bucket -> (kind, k, a, b).
+
+    _SIZE: k packs whether the id is null and how many keys must be shared, a is the id, b the size; _EQUAL: (copy, first); _MEMBER: sets of a key that several share, b the class.
+    """
 
     def out(bucket, keys, prints):
         made = []
@@ -146,7 +154,7 @@ def _met(batches):
             x, d, f = x[order], d[order], f[order]
             same = x[1:] == x[:-1]
             held = f | np.append(same, False) | np.insert(same, 0, False)
-            made.append((_MEMBER, _key64(np.full(held.sum(), bucket), x[held]), d[held], np.zeros(held.sum(), np.int64)))
+            made.append((_MEMBER, _key64(np.full(held.sum(), bucket), x[held]), d[held] >> 1, d[held] & 1))
         return made
 
     def table(made):
@@ -163,7 +171,8 @@ def _met(batches):
                 made += out(at, keys, prints)
                 at, keys, prints = bucket, [], []
             if kind == _SIZE:
-                made.append((_SIZE, np.frombuffer(c, bool).astype(np.int64), from_planes(a), from_planes(b)))
+                need = from_planes(c[n : 5 * n], 4) << 1 | from_planes(c[5 * n :], 4) << 32
+                made.append((_SIZE, np.frombuffer(c[:n], bool).astype(np.int64) | need, from_planes(a), from_planes(b)))
             elif kind == _LINK:
                 made.append((_EQUAL, np.zeros(n, np.int64), from_planes(a), from_planes(b)))
             elif kind == _EQUAL:
@@ -171,7 +180,8 @@ def _met(batches):
             elif kind == _KEY:
                 keys.append((from_planes(a, 6), from_planes(b) + np.frombuffer(c[n:], np.int64)[0], np.frombuffer(c[:n], bool)))
             else:
-                made.append((_MEMBER, from_planes(a), from_planes(b), np.zeros(n, np.int64)))
+                who = from_planes(b)
+                made.append((_MEMBER, from_planes(a), who >> 1, who & 1))
         yield table(made)
     yield table(out(at, keys, prints))
 
@@ -409,10 +419,15 @@ def _by_turns(members: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.repartition("gid", "sub", "turn").sortWithinPartitions("gid", "sub", "turn", "query", "doc")
 
 
-def _links(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the sets as all links do. rows: (doc, text); members: (k, doc), the sets of each key that several share."""
-    shared = members.groupBy("k").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = saved(members.join(shared, "k"))
+def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the sets as all links do. rows: (doc, text); members: (k, doc, lower), the sets of each key that several share; needs: (doc, lower, need)."""
+    several = members.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    members = saved(members.join(several, "k"))
+    enough = members.groupBy("doc", "lower").agg(F.count(F.lit(1)).alias("n")).join(needs, ["doc", "lower"]).where("n >= need").select("doc", "lower")
+    near = members.join(enough, ["doc", "lower"]).select("k", "doc")
+    shared = near.groupBy("k").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    before, members = members, saved(near.join(shared, "k"))
+    discard(before)
     # A set's group is that of the first set with which it has most keys in common; who is first everywhere leads its own.
     near = members.where("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
     near = near.groupBy("doc").agg(F.max_by("lead", F.struct("n", F.negative("lead"))).alias("gid"))
@@ -472,7 +487,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     met = rows.mapInArrow(scoped(_signed(k, percent, n_buckets)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
     met = saved(met.mapInArrow(scoped(_met), "kind int, k long, a long, b long"))
     release(spark)
-    sizes = met.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 1, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
+    own = met.where(f"kind = {_SIZE}").withColumn("doc", F.when(F.col("k").bitwiseAND(1) == 1, F.col("a")))
+    sizes = own.select("doc", F.col("b").alias("n_shingles"))
+    need = F.explode(F.array(*(F.struct(F.lit(j).cast("long").alias("lower"), x.alias("need")) for j, x in enumerate((F.shiftright("k", 1).bitwiseAND(2**31 - 1), F.shiftright("k", 32))))))
+    needs = own.where("doc is not null and b > 0").select("doc", need.alias("x")).groupBy("doc", F.col("x.lower").alias("lower")).agg(F.min("x.need").alias("need"))
     # Equal sets: everything is asked of the smallest doc_id with that set.
     equal = met.where(f"kind = {_EQUAL}").select("a", "b").distinct()
     # An id with several rows may have several sets; it is asked for itself.
@@ -481,7 +499,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     to_first = equal.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     to_first = to_first.join(to_first.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left").select("node", F.least("label", "_far").alias("label"))
     copies = saved(to_first.join(several, F.col("node") == F.col("doc"), "left_anti").select("node", "label"))
-    member = met.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("node")).join(copies, "node", "left").select("k", F.coalesce("label", "node").alias("doc")).distinct()
-    links = _links(rows, member, k, percent)
+    member = met.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("node"), F.col("b").alias("lower")).join(copies, "node", "left").select("k", F.coalesce("label", "node").alias("doc"), "lower").distinct()
+    links = _links(rows, member, needs, k, percent)
     labels = components(equal.unionByName(links)).select(F.col("node").alias("doc"), "label")
     return sizes.join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("label", "doc").alias("component_id"))

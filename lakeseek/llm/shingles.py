@@ -67,8 +67,8 @@ class Parts:
             self.cuts[c] = diff, (np.arange(1, p, dtype=object) * 2**64 // p).astype(np.uint64)
         return self.cuts[c]
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """tokens: sorted, distinct, not empty. Returns uint64 signatures."""
+    def signatures(self, tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """tokens: sorted, distinct, not empty. For the set's own class and the one before: uint64 signatures, and how many of them a similar set of that class must share."""
         own, out = self.size_class(len(tokens)), []
         sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(tokens * _M2 + _M1), dtype=np.uint64)))
         for c in (own, own - 1):
@@ -80,8 +80,9 @@ class Parts:
             part = np.arange(len(held), dtype=np.uint64)
             keys = mixed(mixed(sums[edges[1:]] - sums[edges[:-1]] + held.astype(np.uint64)) + mixed(part * _M1 + np.uint64(c)))
             filled = held > 0
-            out.append(keys[filled] if filled.sum() > diff else keys)
-        return np.concatenate(out)
+            # At most diff parts differ, and those that are empty here aren't signed.
+            out.append((keys[filled], int(filled.sum()) - diff) if filled.sum() > diff else (keys, 1))
+        return out
 
 
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
