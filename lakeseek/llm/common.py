@@ -26,6 +26,11 @@ ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of ROWS rows from now on: for sessions that run these operators on whole documents."""
+    spark.conf.set(_BATCH_CONF, str(ROWS))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -219,14 +219,17 @@ def _encoder(path: str, model: bytes) -> Encoder:
     return worker_state(f"pieces:{path}", "encoder", lambda: Encoder(model))
 
 
-def _runner(model: bytes, path: str, end: bool, digests: bool):
+def _runner(model: bytes, path: str, end: bool, digests: bool, text: str = ""):
+    """Rows (key, text), or (row) of which the text is a field."""
+
     def run(batches):
         encoder = _encoder(path, model)
         tail = [encoder.end] if end else []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                texts = [t.as_py() or "" for t in batch.column(1).slice(at, 1024)]
-                keys = batch.column(0).slice(at, 1024)
+            whole = batch.column(1) if batch.num_columns > 1 else batch.column(0).field(text)
+            for at in range(0, batch.num_rows, 256):
+                texts = [t.as_py() or "" for t in whole.slice(at, 256)]
+                keys = batch.column(0).slice(at, 256)
                 rows = encoder.batch(texts)
                 if digests:
                     n, a, b = [], [], []
@@ -240,10 +243,10 @@ def _runner(model: bytes, path: str, end: bool, digests: bool):
                 else:
                     ids, begins, ends, decoded = [], [], [], []
                     for t, (i, _, d, b, e) in zip(texts, rows, strict=True):
-                        whole = len(t.encode())
+                        n = len(t.encode())
                         ids.append(np.concatenate((np.frombuffer(i, np.int32), np.array(tail, np.int32))))
-                        begins.append(np.concatenate((b, [whole] * len(tail))).astype(np.int32))
-                        ends.append(np.concatenate((e, [whole] * len(tail))).astype(np.int32))
+                        begins.append(np.concatenate((b, [n] * len(tail))).astype(np.int32))
+                        ends.append(np.concatenate((e, [n] * len(tail))).astype(np.int32))
                         decoded.append(d)
                     yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, pa.list_(pa.int32())) for x in (ids, begins, ends)), pa.array(decoded, pa.string())], names=["_row", "ids", "begins", "ends", "decoded"])
 
@@ -259,9 +262,9 @@ def encode_pieces(docs: DataFrame, model_path: str, end: bool = True, text: str
     with open(model_path, "rb") as f:
         model = f.read()
     names = [c for c in docs.columns if c not in ("ids", "begins", "ends", "decoded")]
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), *([] if docs.schema[text].dataType == T.StringType() and text in names else [F.col(f"`{text}`").cast("string").alias("_text")]))
     schema = row.select("_row").schema.add("ids", _INTS).add("begins", _INTS).add("ends", _INTS).add("decoded", "string")
-    return row.mapInArrow(_runner(model, model_path, end, False), schema).select("_row.*", "ids", "begins", "ends", "decoded")
+    return row.mapInArrow(_runner(model, model_path, end, False, text), schema).select("_row.*", "ids", "begins", "ends", "decoded")
 
 
 def piece_digests(docs: DataFrame, model_path: str, end: bool = True) -> DataFrame:

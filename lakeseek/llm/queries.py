@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeseek.llm.common import small_batches
 from lakeseek.llm.context_tree import score_texts
 from lakeseek.llm.flac import flac_digests
 from lakeseek.llm.jaccard_join import jaccard_classes
@@ -28,6 +29,7 @@ def piece_model() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -268,7 +268,7 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(*key, t.alias("text")).mapInArrow(_keyed(n_buckets), "bucket long, kind int, least long, k1 binary, k2 binary, doc binary, mark binary, place binary")
     later = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scoped(_later), "doc long, mark long, place long")
     flags = later.groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))
-    whole = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), t.alias("_text"))
+    whole = docs.select(*key, F.struct(F.lit(True).alias("_keep_"), *(F.col(f"`{c}`") for c in names if c != text)).alias("_row"), t.alias("_text"))
     joined = whole.join(flags, ["doc", "mark"], "left").select("_row", "_text", "places")
     schema = joined.select("_row").schema.add("_text", "string").add("n_removed", "integer").add("removed", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")))
     out = joined.mapInArrow(scoped(_stripped), schema)
