@@ -70,6 +70,19 @@ def from_planes(b: bytes, n: int = 8) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+#: Copies that one row stands for, at most, before they are told apart.
+COPIES = 100_000
+
+
+def numbered(df: DataFrame, name: str = "copy") -> DataFrame:
+    """df with rows alike in all columns numbered from 0. They are counted before the shuffle, so that none of them is a hot key."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    held = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    part = held.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
+    each = F.explode(F.expr(f"sequence(_part * {COPIES}, least(_n, (_part + 1) * {COPIES}) - 1)"))
+    return part.withColumn(name, each).drop("_n", "_part")
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32(key as text) mod n; -1 for a null key, so that it belongs to no fold."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(n), F.lit(-1).cast("long"))

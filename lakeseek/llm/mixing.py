@@ -8,22 +8,15 @@ does; then one document's copy more or less brings each source nearest to its ta
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import saved, scoped
+from lakeseek.llm.common import numbered, saved
 
 #: Slices of a source over which its running word count is split, so that a hot source is no single task.
 SLICES = 512
 
 
-def _counted(batches):
-    for batch in batches:
-        sizes = [len(t.as_py().split()) if t.is_valid else 0 for t in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sizes, pa.int64())], names=["doc_id", "source", "h", "size"])
-
-
 def cycle_weight(rank: Column) -> Column:
     """1, 2, 3, repeating."""
     return ((rank - 1) % 3 + 1).cast("double")
@@ -51,17 +44,25 @@ def source_targets(sizes: DataFrame, most: float = 3.0, weight=cycle_weight, ram
     return s.select("source", "source_size", F.least("top", F.col("level") * F.col("weight")).alias("target"), ramp(F.col("rank")).alias("ramp"))
 
 
+def _row_keys(docs: DataFrame, seed: int) -> list[Column]:
+    """128 bits of a whole row (k0, k1), and 64 of its id and text (h), by which a source's documents are ordered."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    keys = [F.xxhash64(F.lit(seed + i), *cols).alias(f"k{i}") for i in range(2)]
+    return [*keys, F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string"), keys[0]).alias("h")]
+
+
 def mix_plan(docs: DataFrame, seed: int = 5, most: float = 3.0, weight=cycle_weight, ramp=cycle_ramp) -> DataFrame:
-    """One row per document: doc_id, h, source, size, source_size, target, copies int, taken long, positions array<double>.
+    """One row per document: doc_id, k0, k1, source, size, source_size, target, copies int, taken long, positions array<double>.
 
     size counts the runs of bytes other than 32 and 9 to 13 (0 for a null or empty text). copies is how often the mix takes the
-    document, taken = copies * size, positions the times of the copies. A null source is a source, the last one. h tells rows with the
-    same doc_id apart; rows that are alike in all are counted each. Other columns are not read. An empty table gives no rows.
+    document, taken = copies * size, positions the times of the copies. A null source is a source, the last one. k0 and k1 tell rows
+    that differ in any column apart; rows that are alike in all are counted each. Other columns are not read. An empty table gives no rows.
     """
     t = F.col("text").cast("string")
-    rows = docs.select("doc_id", t.alias("text"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id", t).alias("h"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = saved(rows.mapInArrow(scoped(_counted), f"doc_id {kinds['doc_id']}, source string, h long, size long")).withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(SLICES)).cast("int"))
+    # Word starts: a byte that isn't white space at the start or behind white space.
+    size = F.coalesce(F.regexp_count(t, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), *_row_keys(docs, seed), size.alias("size"))
+    rows = saved(numbered(rows)).withColumn("h", F.xxhash64("h", "copy")).withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(SLICES)).cast("int"))
     sums = saved(rows.groupBy("source", "slice").agg(F.sum("size").alias("m")))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(sums.groupBy("source").agg(F.sum("m").alias("source_size")), most, weight, ramp)
@@ -91,14 +92,14 @@ def mix_plan(docs: DataFrame, seed: int = 5, most: float = 3.0, weight=cycle_wei
         return F.when(a == 0, x).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * x) - (1 - a)) / (2 * F.when(a != 0, a)))
 
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), time)).otherwise(F.array().cast("array<double>"))
-    return rows.select("doc_id", "h", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
+    return rows.select("doc_id", "k0", "k1", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"))
 
 
 def curriculum(docs: DataFrame, seed: int = 5, **more) -> DataFrame:
     """The documents as the mix takes them, with their own columns, a row per copy, range-sorted by training position."""
-    plan = mix_plan(docs, seed, **more).groupBy("h").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    # Rows alike in id and text meet in one row, which carries all their positions.
-    rows = docs.select(F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")).alias("_h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    rows = rows.groupBy("_h").agg(F.first("_row").alias("_row"))
-    taken = rows.join(plan, rows["_h"] == plan["h"]).select("_row", F.explode("positions").alias("_at"), "_h")
-    return taken.repartitionByRange("_at", "_h").sortWithinPartitions("_at", "_h").select("_row.*")
+    plan = mix_plan(docs, seed, **more).where("copies > 0").select("k0", "k1", F.explode("positions").alias("_at"))
+    # Rows alike in all columns are one row here, with all their positions.
+    k0, k1, _ = _row_keys(docs, seed)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), k0.alias("_k0"), k1.alias("_k1")).dropDuplicates(["_k0", "_k1"])
+    taken = rows.join(plan, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1"))).select("_row", "_at", "_k0", "_k1")
+    return taken.repartitionByRange("_at", "_k0", "_k1").sortWithinPartitions("_at", "_k0", "_k1").select("_row.*")

@@ -305,7 +305,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     Equal vectors are one node of the graph, and count each other as links. Rows that repeat a vec_id are taken as the vectors of one id. An empty table gives no rows.
     """
     usable = _usable(vectors, vec_id, embedding, label)
-    copies = saved(usable.withColumn("key", F.xxhash64("label", "vec")).select("id", "label", "vec", "key"))
+    copies = saved(usable.select("id", "label", "vec").distinct())  # a repeated row is no other vector
     classes = saved(copies.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")))
     member = copies.select("id", "label", "vec").join(classes, ["label", "vec"]).select("id", "rep", "m")
     links = saved(graph_links(classes.select(F.col("rep").alias("id"), "label", "vec"), threshold)) if classes.take(1) else None

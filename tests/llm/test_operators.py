@@ -430,3 +430,33 @@ def test_digest_queries_agree_with_operators(spark, docs):
         e = encoded[r.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(e.ids), hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest())
         assert e.decoded == texts[r.doc_id] and e.ends[-1] == len(texts[r.doc_id].encode())
+
+
+def test_hypergeometric_of_any_size():
+    rng, other = np.random.default_rng(3), np.random.default_rng(4)
+    for good, bad, draws in ((5, 9, 6), (400, 700, 300), (10**6, 3 * 10**6, 20_000)):
+        own = np.array([shards.hypergeometric(good, bad, draws, rng) for _ in range(4000)])
+        want = other.hypergeometric(good, bad, draws, 40_000)
+        assert abs(own.mean() - want.mean()) < 5 * want.std() / math.sqrt(4000) and abs(own.std() / want.std() - 1) < 0.06
+    sizes, counts = [10**10 + i for i in range(7)], [9 * 10**9, 3 * 10**10, 4 * 10**9]
+    counts.append(sum(sizes) - sum(counts))
+    m = np.array(shards.communication_matrix(counts, sizes, 1))
+    assert m.sum(1).tolist() == counts and m.sum(0).tolist() == sizes and (m >= 0).all()
+
+
+def test_shards_are_uniform(spark):
+    """Each document's shard over many seeds, and hot rows that are alike in all."""
+    df = spark.createDataFrame([(i, f"t {i}") for i in range(12)] + [(None, "")] * 300, "doc_id long, text string")
+    seen = Counter()
+    for seed in range(8):
+        got = shards.uniform_shards(df, 4, seed).collect()
+        assert Counter(r.shard for r in got) == {s: 78 for s in range(4)}
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(78)) for s in range(4))
+        seen.update(r.shard for r in got if r.doc_id is not None)
+    assert all(10 <= seen[s] <= 40 for s in range(4))  # 24 each expected
+
+
+def test_a_repeated_vector_row_is_no_other_vector(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (6, [0.0, 1.0], 0), (7, [0.0, 1.0], 0)]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(got) == [(5, 0, 5), (5, 0, 5), (6, 1, 6), (7, 1, 6)]
