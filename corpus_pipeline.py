@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeseek.llm.common import small_batches
 from lakeseek.llm.jaccard_join import jaccard_classes
 from lakeseek.llm.language import learn_filters, predict_language
 from lakeseek.llm.mixing import curriculum
@@ -21,6 +22,7 @@ LEAST_SHARE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters (null and empty ones too) and those that no learned language covers. Learns from all of the documents."""
+    small_batches(spark)
     scored = predict_language(docs, learn_filters(docs))
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
@@ -30,29 +32,33 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without an id stay; of rows that share an id all stay or all go.
     """
+    small_batches(spark)
     gone = jaccard_classes(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages from texts; a document of which nothing is left goes."""
+    """Removes repeated passages from texts; a document of which nothing is left goes. Null and empty texts stay; rows alike in id and text keep the same."""
+    small_batches(spark)
     kept = dedup_spans(docs).withColumn("n_chars", F.length("text").cast("long"))
     return kept.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them, a row per copy, in training order."""
+    """The documents as the mix takes them, a row per copy, in training order. Null and empty texts have no words to take and are left out once their source is served."""
+    small_batches(spark)
     return curriculum(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids and each piece's span of source bytes; the decoded text is checked against the source."""
+    """The documents with their piece ids and each piece's span of source bytes; round_trip says whether they decode to the text. A null text has the end id only. Rows stay apart."""
+    small_batches(spark)
     encoded = encode_pieces(docs, piece_model())
     return encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("passages", passages), ("mixing", mixing), ("tokens", tokens)]
-#: The first stage's filters and the last stage's pieces can't be said in SQL; tests hold each stage against a brute-force version.
+#: The first stage's filters and the last stage's pieces can't be said in SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
