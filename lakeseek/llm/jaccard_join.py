@@ -5,8 +5,8 @@
 2. Similar sets form groups: each set goes to the group of the set that it shares most keys with (of the first sets of its keys), GROUP
    sets at most and that one. A group is counted exactly within itself, and stores the union of its members' tokens as a
    column of the token-group matrix: a bitmap of hashed tokens.
-3. What groups link makes classes. Where a key is shared by several classes, each set outside the key's largest class is a query to the
-   key's groups of other classes. Its tokens whose bits the group's column lacks bound its overlap with every member.
+3. What groups link makes classes. Where the sets that share keys with one first set are of several classes, each one outside the largest class is a
+   query to the groups of other classes. Its tokens whose bits the group's column lacks bound its overlap with every member.
 4. Groups whose bound is below the threshold stay shut. To the others the set's own bitmap is sent, which bounds its overlap with each member; only
    groups with a member that is left are opened: they get the token list, and all members are counted exactly. So every pair of sets that share
    a key and are of different classes is tested or bounded.
@@ -33,7 +33,7 @@ BATCH, BATCH_TOKENS = 8192, 2_500_000
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 2 << 20, 64, 1 << 24
 #: Bits of a column for each token of its largest member.
 WIDTH = 4
-_SIZE, _EQUAL, _LINK, _KEY, _MEMBER = 0, 1, 2, 3, 4
+_SIZE, _EQUAL, _LINK, _KEY, _MEMBER, _NEED = range(6)
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -55,8 +55,22 @@ def _dealt(bucket: np.ndarray, *columns: np.ndarray):
         yield int(bucket[s]), [c[s:e] for c in columns]
 
 
-def _signed(k: int, percent: int, n_buckets: int):
-    """(doc, text) -> packed rows of what step 1 shuffles. Of sets in a batch that share a key the first goes to the key's bucket, the others to any."""
+def _signed(k: int, percent: int, n_buckets: int, keys: bool):
+    """(doc, text) -> packed rows of what step 1 shuffles: sizes and fingerprints, or else keys.
+
+    Of sets in a batch that share a key (or are equal) the first goes to the key's bucket, the others to any, so no key is hot.
+    """
+
+    def equals(prints: dict, ids: np.ndarray, at: int) -> list[tuple]:
+        rows = []
+        copies = [(ids[o[0]], ids[i]) for o in prints.values() for i in o[1:] if ids[i] != ids[o[0]]]
+        if copies:
+            a, b = np.array(copies, np.int64).T
+            rows.append((at, _LINK, len(a), to_planes(b), to_planes(a), b""))
+        two = np.array(list(prints), np.int64)
+        for b, (x, y, d) in _dealt(two[:, 0] % n_buckets, two[:, 0], two[:, 1], ids[[o[0] for o in prints.values()]]):
+            rows.append((b, _EQUAL, len(d), to_planes(x), to_planes(y), to_planes(d)))
+        return rows
 
     def out(docs: list, sets: list):
         rows, at = [], abs(hash((len(docs), docs[0]))) % n_buckets
@@ -65,10 +79,13 @@ def _signed(k: int, percent: int, n_buckets: int):
         if len(ids) and np.abs(ids).max() >= 2**62:
             raise ValueError("ids of 62 bits at most")
         size = np.array([len(s) for s in sets], np.int64)
-        parts = worker_parts(percent)
-        signs = [parts.signatures(x) if len(x) and d is not None else [] for x, d in zip(sets, docs, strict=True)]
-        need = np.array([[x[j][1] if j < len(x) else 1 for j in range(2)] for x in signs], np.int64)
-        rows.append((at, _SIZE, len(docs), to_planes(ids), to_planes(size), known.tobytes() + to_planes(need[:, 0], 4) + to_planes(need[:, 1], 4)))
+        if keys:
+            parts = worker_parts(percent)
+            signs = [parts.signatures(x) if len(x) and d is not None else [] for x, d in zip(sets, docs, strict=True)]
+            need = np.array([[x[j][1] if j < len(x) else 1 for j in range(2)] for x in signs], np.int64)
+            rows.append((at, _NEED, len(docs), to_planes(ids), to_planes(need[:, 0], 4), to_planes(need[:, 1], 4)))
+        else:
+            rows.append((at, _SIZE, len(docs), to_planes(ids), to_planes(size), known.tobytes()))
         linked = np.flatnonzero(known & (size > 0))
         linked = linked[np.argsort(ids[linked], kind="stable")].tolist()
         prints: dict = {}
@@ -76,14 +93,9 @@ def _signed(k: int, percent: int, n_buckets: int):
             prints.setdefault(fingerprint(sets[i]), []).append(i)
         if not prints:
             return _record(rows)
-        copies = [(ids[o[0]], ids[i]) for o in prints.values() for i in o[1:] if ids[i] != ids[o[0]]]
-        if copies:
-            a, b = np.array(copies, np.int64).T
-            rows.append((at, _LINK, len(a), to_planes(b), to_planes(a), b""))
+        if not keys:
+            return _record(rows + equals(prints, ids, at))
         signing = [o[0] for o in prints.values()]
-        two = np.array(list(prints), np.int64)
-        for b, (x, y, d) in _dealt(two[:, 0] % n_buckets, two[:, 0], two[:, 1], ids[signing]):
-            rows.append((b, _EQUAL, len(d), to_planes(x), to_planes(y), to_planes(d)))
         order = np.argsort(ids[signing], kind="stable")
         signing = [signing[i] for i in order]
         # A document's number and, lowest, which class a key is of: its own or the one before.
@@ -135,7 +147,8 @@ def _key64(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
 def _met(batches):
     """Packed rows sorted by bucket -> (kind, k, a, b).
 
-    _SIZE: k packs whether the id is null and how many keys must be shared, a is the id, b the size; _EQUAL: (copy, first); _MEMBER: sets of a key that several share, b the class.
+    _SIZE: k is whether there is an id, a the id, b the size; _EQUAL: (copy, first); _MEMBER: sets of a key that several share, b which class the
+    key is of; _NEED: k which class, b how many of its keys must be shared.
     """
 
     def out(bucket, keys, prints):
@@ -171,8 +184,9 @@ def _met(batches):
                 made += out(at, keys, prints)
                 at, keys, prints = bucket, [], []
             if kind == _SIZE:
-                need = from_planes(c[n : 5 * n], 4) << 1 | from_planes(c[5 * n :], 4) << 32
-                made.append((_SIZE, np.frombuffer(c[:n], bool).astype(np.int64) | need, from_planes(a), from_planes(b)))
+                made.append((_SIZE, np.frombuffer(c, bool).astype(np.int64), from_planes(a), from_planes(b)))
+            elif kind == _NEED:
+                made += [(_NEED, np.full(n, j, np.int64), from_planes(a), from_planes(x, 4)) for j, x in enumerate((b, c))]
             elif kind == _LINK:
                 made.append((_EQUAL, np.zeros(n, np.int64), from_planes(a), from_planes(b)))
             elif kind == _EQUAL:
@@ -444,17 +458,13 @@ def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percen
     links = grouped.where("bits is null").select("a", "b")
     classes = components(links)
     home = saved(home.drop("subs").join(classes, home["doc"] == classes["node"], "left").select("doc", "gid", "sub", F.coalesce("label", "doc").alias("label")))
-    # Keys of several classes: who is outside the largest one asks the groups of other classes.
-    held = members.select("k", "doc").join(home, "doc")
-    large = held.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count(F.lit(1)).alias("classes"))
-    held = saved(held.join(large.where("classes > 1").drop("classes"), "k"))
-    asked = held.groupBy("k", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumn("only", F.when(F.col("lo") == F.col("hi"), F.col("lo")))
-    # Keys with the same groups are one: sets that share a crowd's many keys ask its groups once.
-    own = [F.bit_xor(F.xxhash64(F.lit(i), "gid", "sub", "only")).alias(f"x{i}") for i in range(2)]
-    alike = asked.groupBy("k").agg(*own, F.count(F.lit(1)).alias("x2"))
-    asks = held.where("label <> main").select("k", "doc", "label").join(alike, "k").select("x0", "x1", "x2", "doc", "label").distinct()
-    asked = asked.join(alike, "k").select("x0", "x1", "x2", "gid", "sub", "only").distinct()
-    pairs = asks.join(asked, ["x0", "x1", "x2"]).where("only is null or only <> label").select("doc", "gid", "sub").distinct()
+    # Sets that share a key share its first set. Who is outside the largest class of those with one first set asks the groups of the other classes.
+    held = saved(members.select("lead", "doc").distinct().join(home, "doc"))
+    large = held.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count(F.lit(1)).alias("classes"))
+    held = held.join(large.where("classes > 1").drop("classes"), "lead")
+    asks = held.where("label <> main").select("lead", F.col("doc").alias("asking"), F.col("label").alias("own"))
+    asked = held.groupBy("lead", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    pairs = asks.join(asked, "lead").where("lo <> own or hi <> own").select(F.col("asking").alias("doc"), "gid", "sub").distinct()
     column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
     n = F.size("tokens").cast("long").alias("n")
     bitmaps = sets.join(home, ["doc", "gid", "sub"]).select("gid", "sub", "doc", "label", n, "bits").distinct()
@@ -466,7 +476,7 @@ def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percen
     inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"]).select("gid", "sub", "doc", "label", "tokens")
     queries = open_.join(labelled.select("doc", "label", "tokens"), "doc").select("gid", "sub", "doc", "label", "tokens")
     found = saved(links.unionByName(_by_turns(inside, queries).mapInArrow(scoped(_probed(percent)), "a long, b long")))
-    discard(members, placed, sets, grouped, held, left, open_)
+    discard(members, placed, sets, grouped, left, open_)
     return found
 
 
@@ -484,22 +494,26 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = int(max(LEAST_BUCKETS, min(MOST_BUCKETS, size // BUCKET_BYTES)))
-    met = rows.mapInArrow(scoped(_signed(k, percent, n_buckets)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    met = saved(met.mapInArrow(scoped(_met), "kind int, k long, a long, b long"))
-    release(spark)
-    own = met.where(f"kind = {_SIZE}").withColumn("doc", F.when(F.col("k").bitwiseAND(1) == 1, F.col("a")))
-    sizes = own.select("doc", F.col("b").alias("n_shingles"))
-    need = F.explode(F.array(*(F.struct(F.lit(j).cast("long").alias("lower"), x.alias("need")) for j, x in enumerate((F.shiftright("k", 1).bitwiseAND(2**31 - 1), F.shiftright("k", 32))))))
-    needs = own.where("doc is not null and b > 0").select("doc", need.alias("x")).groupBy("doc", F.col("x.lower").alias("lower")).agg(F.min("x.need").alias("need"))
+
+    def met(rows: DataFrame, keys: bool) -> DataFrame:
+        packed = rows.mapInArrow(scoped(_signed(k, percent, n_buckets, keys)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        return saved(packed.mapInArrow(scoped(_met), "kind int, k long, a long, b long"))
+
+    prints = met(rows, False)
+    sizes = prints.where(f"kind = {_SIZE}").select(F.when(F.col("k") == 1, F.col("a")).alias("doc"), F.col("b").alias("n_shingles"))
     # Equal sets: everything is asked of the smallest doc_id with that set.
-    equal = met.where(f"kind = {_EQUAL}").select("a", "b").distinct()
+    equal = prints.where(f"kind = {_EQUAL}").select("a", "b").distinct()
     # An id with several rows may have several sets; it is asked for itself.
     several = sizes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # A copy's first in its batch may itself be a copy of the first of all.
     to_first = equal.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     to_first = to_first.join(to_first.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left").select("node", F.least("label", "_far").alias("label"))
-    copies = saved(to_first.join(several, F.col("node") == F.col("doc"), "left_anti").select("node", "label"))
-    member = met.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("node"), F.col("b").alias("lower")).join(copies, "node", "left").select("k", F.coalesce("label", "node").alias("doc"), "lower").distinct()
+    copies = saved(to_first.join(several, F.col("node") == F.col("doc"), "left_anti").select(F.col("node").alias("doc")))
+    rows = rows.where("doc is not null").join(copies, "doc", "left_anti")
+    signed = met(rows, True)
+    release(spark)
+    needs = signed.where(f"kind = {_NEED}").groupBy(F.col("a").alias("doc"), F.col("k").alias("lower")).agg(F.min("b").alias("need"))
+    member = signed.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("doc"), F.col("b").alias("lower")).distinct()
     links = _links(rows, member, needs, k, percent)
     labels = components(equal.unionByName(links)).select(F.col("node").alias("doc"), "label")
     return sizes.join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("label", "doc").alias("component_id"))
