@@ -458,8 +458,10 @@ def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percen
     links = grouped.where("bits is null").select("a", "b")
     classes = components(links)
     home = saved(home.drop("subs").join(classes, home["doc"] == classes["node"], "left").select("doc", "gid", "sub", F.coalesce("label", "doc").alias("label")))
-    # Sets that share a key share its first set. Who is outside the largest class of those with one first set asks the groups of the other classes.
-    held = saved(members.select("lead", "doc").distinct().join(home, "doc"))
+    # Sets that share a key share its first set, and that set's group, so that a crowd asks through one group and not through all its first sets. Who is
+    # outside the largest class of those that share it asks the groups of the other classes.
+    first = home.select(F.col("doc").alias("lead"), F.col("gid").alias("first"))
+    held = saved(members.select("lead", "doc").distinct().join(first, "lead").select(F.col("first").alias("lead"), "doc").distinct().join(home, "doc"))
     large = held.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count(F.lit(1)).alias("classes"))
     held = held.join(large.where("classes > 1").drop("classes"), "lead")
     asks = held.where("label <> main").select("lead", F.col("doc").alias("asking"), F.col("label").alias("own"))
