@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from lakeseek.llm.common import components, discard, from_planes, release, saved, scoped, to_planes
 from lakeseek.llm.shingles import Parts, WordHash, fingerprint, shingle_set, word_hashes
 
-GROUP = 48
+GROUP = 192
+#: Cells of a group's matrix that are held one by one; a larger one is held by its filled cells only.
+MOST_CELLS = 64_000_000
 #: Queries that probe one copy of a group.
 TURN = 256
 #: Sets (and tokens) in which equal signatures are joined before the shuffle.
@@ -261,8 +263,15 @@ class Matrix:
         self.size = np.array([len(m[2]) for m in members], np.int64)
         tokens = np.concatenate([m[2] for m in members])
         self.union, where = np.unique(tokens, return_inverse=True)
-        self.holds = np.zeros((len(self.union), len(members)), np.uint8)
-        self.holds[where, np.repeat(np.arange(len(members)), self.size)] = 1
+        who = np.repeat(np.arange(len(members)), self.size)
+        self.holds = None
+        if len(self.union) * len(members) <= MOST_CELLS:
+            self.holds = np.zeros((len(self.union), len(members)), np.uint8)
+            self.holds[where, who] = 1
+        else:
+            self.held = who[np.argsort(where, kind="stable")]
+            self.starts = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(self.union)))))
+        self.tokens = [m[2] for m in members]
         self.least = int(self.size.min())
 
     def fits(self, tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -271,7 +280,12 @@ class Matrix:
         at = at[self.union[np.minimum(at, len(self.union) - 1)] == tokens]
         if not may_link(len(tokens) - len(at), len(tokens), self.least, percent):
             return np.zeros(len(self.doc), bool)
-        shared = self.holds[at].sum(0, dtype=np.int64)
+        if self.holds is not None:
+            shared = self.holds[at].sum(0, dtype=np.int64)
+        else:
+            n = self.starts[at + 1] - self.starts[at]
+            cells = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(self.held[cells], minlength=len(self.doc))
         return 100 * shared >= percent * (len(tokens) + self.size - shared)
 
     def probe(self, doc: int, label: int, tokens: np.ndarray, percent: int) -> list[int]:
@@ -286,8 +300,7 @@ class Matrix:
         """Links that join the group's members as all their links do."""
         near = np.eye(len(self.doc), dtype=bool)
         for i in range(len(self.doc)):
-            own = np.sort(self.union[self.holds[:, i] > 0])
-            near[i] |= self.fits(own, percent)
+            near[i] |= self.fits(self.tokens[i], percent)
         out, left = [], np.ones(len(self.doc), bool)
         for start in range(len(self.doc)):
             todo = [start] if left[start] else []

@@ -60,9 +60,9 @@ def classes_by_force(rows, k, percent):
     return {(i, len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_classes(docs, k, percent, monkeypatch):
-    for name, value in (("GROUP", 6), ("TURN", 5), ("BATCH", 20)):
+@pytest.mark.parametrize(("k", "percent", "cells"), [(3, 90, 0), (5, 80, 10**6)])
+def test_jaccard_classes(docs, k, percent, cells, monkeypatch):
+    for name, value in (("GROUP", 6), ("TURN", 5), ("BATCH", 20), ("MOST_CELLS", cells)):
         monkeypatch.setattr(jaccard_join, name, value)
     want = classes_by_force([(r.doc_id, r.text) for r in docs.collect()], k, percent)
     assert {tuple(r) for r in jaccard_join.jaccard_classes(docs, k, percent).collect()} == want
