@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,39 +74,58 @@ def best_assignment(scores: list[list[float]]) -> list[int]:
     return out
 
 
-def assign_columns(scores: DataFrame, widths: DataFrame) -> DataFrame:
-    """(table_id, tuple_id, pos, col_id): the best assignment for each table and tuple, any width. widths: table_id, n_cols.
+def _with_width(scores: DataFrame, query: DataFrame) -> DataFrame:
+    return scores.join(query.groupBy("tuple_id").agg((F.max("pos") + 1).alias("w")), "tuple_id")
 
-    A group is one table's score matrix, as small as the table is wide.
-    """
+
+def _wide(held: DataFrame) -> DataFrame:
     import pandas as pd
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = [[0.0] * int(pdf["n_cols"].iloc[0]) for _ in range(int(pdf["n_pos"].iloc[0]))]
+        matrix = [[0.0] * int(pdf["n_cols"].iloc[0]) for _ in range(int(pdf["w"].iloc[0]))]
         for p, c, s in zip(pdf["pos"], pdf["col_id"], pdf["score"], strict=True):
             matrix[int(p)][int(c)] = s
         got = best_assignment(matrix)
         return pd.DataFrame({"table_id": key[0], "tuple_id": key[1], "pos": range(len(got)), "col_id": got})
 
-    kind = dict(scores.dtypes)
-    wide = scores.withColumn("n_pos", F.max("pos").over(Window.partitionBy("tuple_id")) + 1) if "n_pos" not in scores.columns else scores
-    return wide.join(widths, "table_id").groupBy("table_id", "tuple_id").applyInPandas(solve, f"table_id {kind['table_id']}, tuple_id {kind['tuple_id']}, pos long, col_id long")
+    kind = dict(held.dtypes)
+    return held.groupBy("table_id", "tuple_id").applyInPandas(solve, f"table_id {kind['table_id']}, tuple_id {kind['tuple_id']}, pos long, col_id long")
+
+
+#: Tuples and tables up to this width are assigned by enumeration.
+NARROW = 3
+
+
+def _narrow(held: DataFrame) -> DataFrame:
+    cell = F.struct((F.col("pos") * NARROW + F.col("col_id")).cast("long").alias("k"), F.col("score"))
+    held = held.groupBy("table_id", "tuple_id", "n_cols", "w").agg(F.map_from_entries(F.collect_list(cell)).alias("s"))
+    options = [o for w in range(1, NARROW + 1) for o in itertools.permutations(range(NARROW), w)]
+    total = lambda o: sum((F.coalesce(F.col("s")[F.lit(p * NARROW + c).cast("long")], F.lit(0.0)) for p, c in enumerate(o)), F.lit(0.0))
+    entry = lambda o: F.when(F.col("n_cols") > max(o), F.struct((-F.round(total(o), 9)).alias("by"), F.array(*(F.lit(c).cast("long") for c in o)).alias("cols")))
+    chosen = F.lit(None)
+    for w in range(1, NARROW + 1):
+        chosen = F.when(F.col("w") == w, F.array_min(F.array(*(entry(o) for o in options if len(o) == w)))["cols"]).otherwise(chosen)
+    none = F.transform(F.sequence(F.lit(1), F.col("w")), lambda x: F.lit(-1).cast("long"))
+    return held.select("table_id", "tuple_id", F.posexplode(F.coalesce(chosen, none)).alias("pos", "col_id"))
+
+
+def assign(scores: DataFrame, query: DataFrame, widths: DataFrame) -> DataFrame:
+    """(table_id, tuple_id, pos, col_id): the best assignment of each tuple's entities to distinct columns of each table, -1 where a tuple is wider than the table.
+
+    widths: table_id, n_cols. Tuples and tables of NARROW places at most are enumerated in SQL; the others' score matrices, as small as a table is wide, are solved in Python.
+    """
+    held = _with_width(scores, query).join(widths, "table_id")
+    fits = (F.col("w") <= NARROW) & (F.col("n_cols") <= NARROW)
+    return _narrow(held.where(fits)).select("table_id", "tuple_id", F.col("pos").cast("long").alias("pos"), "col_id").unionByName(_wide(held.where(~fits)))
+
+
+def assign_columns(scores: DataFrame, widths: DataFrame, query: DataFrame) -> DataFrame:
+    """The same by score matrices alone, for any width."""
+    return _wide(_with_width(scores, query).join(widths, "table_id"))
 
 
 def assign_narrow(scores: DataFrame, query: DataFrame, n_cols: int) -> DataFrame:
-    """The same for tuples and tables of at most three places, by enumeration in SQL: no Python."""
-    if n_cols > 3:
+    """The same for tuples and tables of at most three places, all n_cols wide, by enumeration in SQL: no Python. A wider tuple gets -1."""
+    if n_cols > NARROW:
         raise ValueError("enumeration is for three columns at most")
-    width = query.groupBy("tuple_id").agg((F.max("pos") + 1).alias("w"))
-    held = scores.groupBy("table_id", "tuple_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") * 10 + F.col("col_id")).cast("long").alias("k"), F.col("score")))).alias("s")).join(F.broadcast(width), "tuple_id")  # width: a row for each query tuple
-    options = [()]
-    for _ in range(3):
-        options = options + [(*o, c) for o in options for c in range(n_cols) if c not in o and (*o, c) not in options]
-    cells = lambda o: sum((F.coalesce(F.col("s")[F.lit(p * 10 + c).cast("long")], F.lit(0.0)) for p, c in enumerate(o)), F.lit(0.0))
-    entry = lambda o: F.struct((-F.round(cells(o), 9)).alias("by"), F.array(*(F.lit(c).cast("long") for c in o)).alias("cols"))
-    chosen = None
-    for w in range(1, n_cols + 1):
-        fit = F.array_min(F.array(*(entry(o) for o in sorted(set(options)) if len(o) == w)))["cols"]
-        chosen = F.when(F.col("w") == w, fit) if chosen is None else chosen.when(F.col("w") == w, fit)
-    none = F.transform(F.sequence(F.lit(1), F.col("w")), lambda x: F.lit(-1).cast("long"))
-    return held.select("table_id", "tuple_id", F.posexplode(chosen.otherwise(none)).alias("pos", "col_id"))
+    return _narrow(_with_width(scores, query).withColumn("n_cols", F.lit(n_cols)))

@@ -78,17 +78,19 @@ def vector_similarity(vectors: DataFrame, kind: str = "norm", adjusted: bool = F
     return add
 
 
-def row_scores(query: DataFrame, linked: DataFrame, pairs: DataFrame, single_column: bool = False, coverage: bool = False, n_cols: int = 3) -> DataFrame:
+def row_scores(query: DataFrame, linked: DataFrame, pairs: DataFrame, single_column: bool = False, coverage: bool = False, widths: DataFrame | None = None) -> DataFrame:
     """(table_id, row_id, tuple_id, pos, s): a row's similarity to each query entity.
 
     Any column: the best of the row. Single column: that of the column the entity is assigned to, 0 if its cell isn't linked. Each row with a linked cell has
-    a value for each tuple and place. coverage drops a (tuple, row) unless all of its entities have vectors.
+    a value for each tuple and place. widths (table_id, n_cols) are the tables' own; where none are given, a table ends at its last linked column. coverage drops a (tuple, row) unless all of its entities have vectors.
     """
     q = query.select("tuple_id", "pos", F.col("uri").alias("q"))
     sims = linked.join(pairs, "uri").join(q, "q").select("table_id", "row_id", "col_id", "tuple_id", "pos", "sim")
     if single_column:
         scores = align.column_scores(query, linked, pairs)
-        to = align.assign_narrow(scores, query, n_cols).withColumnRenamed("col_id", "to")
+        if widths is None:
+            widths = linked.groupBy("table_id").agg((F.max("col_id") + 1).alias("n_cols"))
+        to = align.assign(scores, query, widths).withColumnRenamed("col_id", "to")
         s = F.max(F.when(F.col("col_id") == F.col("to"), F.coalesce("sim", F.lit(0.0))))
         sims = sims.join(to, ["table_id", "tuple_id", "pos"])
     else:
@@ -127,12 +129,12 @@ def table_scores(tuples: DataFrame, query: DataFrame) -> DataFrame:
     return tuples.groupBy("table_id").agg(F.sum("score").alias("s")).join(F.broadcast(n)).select("table_id", (F.col("s") / F.col("n")).alias("score"))  # n is one row
 
 
-def analogous_search(query: DataFrame, linked: DataFrame, similarity, idf: DataFrame, *, single_column: bool = False, use_max: bool = True, measure: str = "euclidean", coverage: bool = False, candidates: DataFrame | None = None) -> DataFrame:
-    """Tables by the similarity of their rows to the query's tuples. candidates (table_id) restrict the corpus before anything is scored."""
+def analogous_search(query: DataFrame, linked: DataFrame, similarity, idf: DataFrame, *, single_column: bool = False, use_max: bool = True, measure: str = "euclidean", coverage: bool = False, candidates: DataFrame | None = None, widths: DataFrame | None = None) -> DataFrame:
+    """Tables by the similarity of their rows to the query's tuples. candidates (table_id) restrict the corpus before anything is scored; widths (table_id, n_cols) are for single_column."""
     if candidates is not None:
         linked = linked.join(candidates, "table_id", "left_semi")
     pairs = align.pair_similarities(query, linked, similarity)
-    rows = row_scores(query, linked, pairs, single_column, coverage)
+    rows = row_scores(query, linked, pairs, single_column, coverage, widths)
     return table_scores(tuple_scores(tuple_vectors(rows, use_max), tuple_weights(query, idf), measure), query)
 
 

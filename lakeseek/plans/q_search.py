@@ -92,18 +92,21 @@ def _(lake):
     return sims.groupBy("table_id", "tuple_id").agg(F.round(F.max("sim"), 6).alias("best"), F.count("sim").alias("n"))
 
 
+def _widths(lake):
+    """The lake's tables have three columns each, linked or not."""
+    return lake.linked.select("table_id").distinct().withColumn("n_cols", F.lit(3))
+
+
 @op("srch_05_column_matrix", "matrix", "select table_id, tuple_id, pos, col_id, round(score, 6) score from matrix", _plan(3))
 def _(lake):
     pairs = align.pair_similarities(lake.query(3), lake.linked, _types(lake))
     return _rounded(align.column_scores(lake.query(3), lake.linked, pairs))
 
 
-@op("srch_06_assignment", "assigned", "select * from assigned where table_id < 1500", _plan(3))
+@op("srch_06_assignment", "assigned", "select * from assigned", _plan(3))
 def _(lake):
-    few = lake.linked.where("table_id < 1500")
-    pairs = align.pair_similarities(lake.query(3), few, _types(lake))
-    scores = align.column_scores(lake.query(3), few, pairs).withColumn("n_pos", F.lit(3))
-    return align.assign_columns(scores, few.select("table_id").distinct().withColumn("n_cols", F.lit(3)))
+    pairs = align.pair_similarities(lake.query(3), lake.linked, _types(lake))
+    return align.assign_columns(align.column_scores(lake.query(3), lake.linked, pairs), _widths(lake), lake.query(3))
 
 
 @op("srch_06b_assignment_in_sql", "assigned", "select * from assigned", _plan(3))
@@ -127,7 +130,7 @@ def _(lake):
 
 @op("srch_09_single_column", "scores", SCORES, _plan(3, rows="single"))
 def _(lake):
-    return _rounded(search.analogous_search(lake.query(3), lake.linked, _types(lake), lake.idf, single_column=True))
+    return _rounded(search.analogous_search(lake.query(3), lake.linked, _types(lake), lake.idf, single_column=True, widths=_widths(lake)))
 
 
 @op("srch_10_tuple_score", "tup", "select table_id, tuple_id, round(score, 6) score from tup", _plan(3))

@@ -79,7 +79,7 @@ def test_assignment_in_spark_agrees(spark, lake):
     pairs = align.pair_similarities(q, linked, search.type_similarity(types))
     scores = align.column_scores(q, linked, pairs)
     narrow = {tuple(r) for r in align.assign_narrow(scores, q, 2).select("table_id", "tuple_id", "pos", "col_id").collect()}
-    wide = {tuple(r) for r in align.assign_columns(scores, linked.select("table_id").distinct().withColumn("n_cols", F.lit(2))).collect()}
+    wide = {tuple(r) for r in align.assign_columns(scores, linked.select("table_id").distinct().withColumn("n_cols", F.lit(2)), q).collect()}
     assert narrow == wide and narrow
 
 
@@ -152,3 +152,23 @@ def test_stores_round_trip(spark, tmp_path):
     assert stores.Settings.load(str(tmp_path / "s.json")).band == 5
     with pytest.raises(ValueError):
         stores.VectorStore(spark, "x", "csv9")
+
+
+def _same(pairs):
+    return pairs.withColumn("sim", F.when(F.col("q") == F.col("uri"), 1.0).otherwise(0.0))
+
+
+@pytest.mark.parametrize(("width", "asked"), [(5, ["c3", "c4"]), (12, ["c11", "c2", "c10", "c0"]), (2, ["c1", "c0"]), (3, ["c2"]), (2, ["c0", "c1", "c0x"])])
+def test_single_column_search_of_any_width(spark, width, asked):
+    """Each row holds one entity a column; the query asks for some of them, in any order."""
+    linked = spark.createDataFrame([(t, r, c, f"c{c}" if t == 0 else f"d{c}") for t in range(2) for r in range(3) for c in range(width)], "table_id long, row_id long, col_id int, uri string")
+    query = spark.createDataFrame([(0, i, u) for i, u in enumerate(asked)], "tuple_id int, pos int, uri string")
+    idf = spark.createDataFrame([(u, 1.0) for u in asked], "uri string, idf double")
+    got = {r.table_id: r.score for r in search.analogous_search(query, linked, _same, idf, single_column=True).collect()}
+    scores = align.column_scores(query, linked, align.pair_similarities(query, linked, _same))
+    to = {(r.table_id, r.pos): r.col_id for r in align.assign(scores, query, linked.groupBy("table_id").agg((F.max("col_id") + 1).alias("n_cols"))).collect()}
+    if len(asked) > width:  # no assignment: no cell counts
+        assert set(to.values()) == {-1} and got.get(0, 0.0) == got.get(1, 0.0)
+    else:
+        assert got[0] == pytest.approx(1.0) and got[1] < 0.6
+        assert [to[0, i] for i in range(len(asked))] == [int(u[1:]) for u in asked]
