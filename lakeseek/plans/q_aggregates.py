@@ -45,19 +45,19 @@ def _(lake):
     return index.table_stats(lake.cells, lake.linked)
 
 
-@op("agg_08_column_aggregate", "linked types", "select table_id, col_id, string_agg(distinct t, ',' order by t) as vals from linked join types using (uri) where table_id < 500 group by all")
+@op("agg_08_column_aggregate", "linked types", "select table_id, col_id, string_agg(distinct t, ',' order by t) as vals from linked join types using (uri) group by all")
 def _(lake):
-    few = lake.linked.where("table_id < 500")
+    few = lake.linked
     return index.column_sets(few, lake.types, "types").select("table_id", "col_id", F.array_join("values", ",").alias("vals"))
 
 
-SIM = {"sims": ("linked query3 types", f"select table_id, row_id, col_id, tuple_id, pos, case when q.uri = l.uri then 1.0::double else least(0.95::double, coalesce(i::double / (a.n + b.n - i), 0)) end sim from linked l cross join query3 q left join (select uri, count(*) n from types group by 1) a on a.uri = q.uri left join (select uri, count(*) n from types group by 1) b on b.uri = l.uri left join (select x.uri xq, y.uri yu, count(*) i from types x join types y using (t) group by all) s on xq = q.uri and yu = l.uri where table_id < 2000")}
+SIM = {"sims": ("linked query3 types", f"select table_id, row_id, col_id, tuple_id, pos, case when q.uri = l.uri then 1.0::double else least(0.95::double, coalesce(i::double / (a.n + b.n - i), 0)) end sim from linked l cross join query3 q left join (select uri, count(*) n from types group by 1) a on a.uri = q.uri left join (select uri, count(*) n from types group by 1) b on b.uri = l.uri left join (select x.uri xq, y.uri yu, count(*) i from types x join types y using (t) group by all) s on xq = q.uri and yu = l.uri")}
 
 
 def _rows(lake):
     from lakeseek.operators import align
 
-    linked = lake.linked.where("table_id < 2000")
+    linked = lake.linked
     pairs = align.pair_similarities(lake.query(3), linked, search.type_similarity(lake.types))
     return linked, pairs, search.row_scores(lake.query(3), linked, pairs)
 

@@ -112,19 +112,19 @@ def _(lake):
     return evaluate.annotation_tasks(lake.run.select("query_id", "table_id"))
 
 
-WORK = {"tasks": ("run", "select distinct query_id, (row_number() over (partition by query_id order by table_id) - 1) // 5 task from run where query_id < 40"), "done": ("tasks", "select query_id, task, 'u' || u \"user\" from tasks, range(4) r(u) where (query_id + task + u) % 3 = 0")}
+WORK = {"tasks": ("run", "select distinct query_id, (row_number() over (partition by query_id order by table_id) - 1) // 5 task from run"), "done": ("tasks", "select query_id, task, 'u' || u \"user\" from tasks, range(4) r(u) where (query_id + task + u) % 3 = 0")}
 
 
 @op("ev_17_work_assignment", "tasks done", "with n as (select query_id, task, count(distinct \"user\") n from done group by all), o as (select query_id, task, coalesce(n, 0) n from tasks left join n using (query_id, task) where coalesce(n, 0) < 3 and (query_id, task) not in (select (query_id, task) from done where \"user\" = 'u1')) select query_id, task from o qualify row_number() over (order by (n > 0)::int desc, query_id, task) <= (select ceil(count(*) / 15.0::double) from tasks)", WORK)
 def _(lake):
-    tasks = evaluate.annotation_tasks(lake.run.where("query_id < 40").select("query_id", "table_id")).select("query_id", "task").distinct()
+    tasks = evaluate.annotation_tasks(lake.run.select("query_id", "table_id")).select("query_id", "task").distinct()
     done = tasks.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(3)))).where("(query_id + task + u) % 3 = 0").select("query_id", "task", F.concat(F.lit("u"), F.col("u").cast("string")).alias("user"))
     return evaluate.assign_work(tasks, done, "u1")
 
 
 @op("ev_18_progress", "tasks done", "select count(*) n_tasks, count(d.query_id) n_done, min(case when d.query_id is null then t.query_id * 1000 + t.task end) next_task from tasks t left join (select distinct query_id, task from done) d using (query_id, task)", WORK)
 def _(lake):
-    tasks = evaluate.annotation_tasks(lake.run.where("query_id < 40").select("query_id", "table_id")).select("query_id", "task").distinct()
+    tasks = evaluate.annotation_tasks(lake.run.select("query_id", "table_id")).select("query_id", "task").distinct()
     done = tasks.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(3)))).where("(query_id + task + u) % 3 = 0").select("query_id", "task", F.lit(1).alias("d")).distinct()
     return tasks.join(done, ["query_id", "task"], "left").agg(F.count(F.lit(1)).alias("n_tasks"), F.count("d").alias("n_done"), F.min(F.when(F.col("d").isNull(), F.col("query_id") * 1000 + F.col("task"))).alias("next_task"))
 

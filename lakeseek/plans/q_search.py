@@ -301,12 +301,12 @@ def _bm25(docs: str, key: str, queries: str, needs: str = "") -> dict:
     }
 
 
-DOCS = _bm25("select doc_id, text txt from documents", "doc_id", "select item_id query_id, text txt from benchmark where item_id < 5")
+DOCS = _bm25("select doc_id, text txt from documents", "doc_id", "select item_id query_id, text txt from benchmark")
 
 
 @op("srch_26_bm25_search", "bm", "select query_id, k doc_id, round(score, 5) score from bm qualify row_number() over (partition by query_id order by round(score, 9) desc, k) <= 20", DOCS)
 def _(lake):
-    queries = lake.table("benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    queries = lake.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
     scored = search.bm25(search.text_index(lake.table("documents"), "doc_id", "text"), queries, "doc_id").withColumn("score", F.round("score", 9))
     return search.top_k_each(scored, 20, tie="doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
@@ -320,19 +320,19 @@ def _(lake):
 
 @op("txt_01_text_scores", "bm", "select query_id, count(*) n, round(max(score), 5) best from bm group by 1", DOCS)
 def _(lake):
-    queries = lake.table("benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    queries = lake.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
     scored = search.bm25(search.text_index(lake.table("documents"), "doc_id", "text"), queries, "doc_id")
     return scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 5).alias("best"))
 
 
-LABELS = _bm25(f"select '{R}part_' || p_partkey uri, p_name txt from part", "uri", "select distinct p_name query_id, p_name txt from part where p_partkey < 200")
+LABELS = _bm25(f"select '{R}part_' || p_partkey uri, p_name txt from part", "uri", "select distinct p_name query_id, p_name txt from part")
 
 
 @op("txt_02_label_linker", "bm", "select query_id mention, k uri from bm qualify row_number() over (partition by query_id order by round(score, 9) desc, k) = 1", LABELS)
 def _(lake):
     part = lake.table("part")
     labels = part.select(F.concat(F.lit(f"{R}part_"), F.col("p_partkey").cast("string")).alias("uri"), F.col("p_name").alias("label"))
-    return search.link_mentions(part.where("p_partkey < 200").select(F.col("p_name").alias("mention")), labels)
+    return search.link_mentions(part.select(F.col("p_name").alias("mention")), labels)
 
 
 @op("udtf_01_table_search", "linked query3", "select table_id, count(*)::double score from linked semi join query3 using (uri) group by 1")

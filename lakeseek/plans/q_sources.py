@@ -12,12 +12,6 @@ from lakeseek.sources import readers, stores
 from lakeseek.streaming import incremental
 
 CELL = "struct<text:string,isNumeric:boolean,links:array<string>>"
-FEW = "select min(table_id) + 40 from lines"
-
-
-def _few(lake):
-    top = lake.lines.agg((F.min("table_id") + 40).alias("top"))
-    return lake.cells.join(F.broadcast(top)).where("table_id <= top").drop("top")  # one row
 
 
 def table_json(cells):
@@ -40,14 +34,14 @@ def _written(lake, df, name):
 @op("src_01_scan_json_files")
 def _(lake):
     path = stores.scratch(lake.spark, "tables")
-    table_json(_few(lake)).select("value", F.col("table_id").alias("part")).repartition(4).write.partitionBy("part").option("compression", "none").text(path)
+    table_json(lake.cells).select("value", (F.col("table_id") % 64).alias("part")).repartition("part").write.partitionBy("part").option("compression", "none").text(path)
     found = lake.spark.read.option("recursiveFileLookup", True).text(path)
     return found.select(F.length("value").alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
 
 
-@op("src_02_parse_tables", "cells", f"select table_id::varchar _id, count(distinct row_id) n_rows, count(*) n_cells, count(link) n_links from cells where table_id <= ({FEW}) and table_id % 10 <> 0 and table_id % 11 <> 0 group by 1")
+@op("src_02_parse_tables", "cells", f"select table_id::varchar _id, count(distinct row_id) n_rows, count(*) n_cells, count(link) n_links from cells where table_id % 10 <> 0 and table_id % 11 <> 0 group by 1")
 def _(lake):
-    cells = readers.table_cells(readers.parse_tables(table_json(_few(lake))))
+    cells = readers.table_cells(readers.parse_tables(table_json(lake.cells)))
     return cells.groupBy(F.col("table_id").alias("_id")).agg(F.count_distinct("row_id").alias("n_rows"), F.count(F.lit(1)).alias("n_cells"), F.sum(F.size("links")).alias("n_links"))
 
 
@@ -292,10 +286,10 @@ def _(lake):
     return lake.spark.read.csv(path, sep="\t", schema="query_id string, caption string, table_id string, relevance double").withColumn("caption", F.coalesce("caption", F.lit("")))
 
 
-@op("srch_18_incremental_insert", "cells", f"select count(distinct table_id) n_tables from cells where link is not null and table_id <= ({FEW})")
+@op("srch_18_incremental_insert", "cells", "select count(distinct table_id) n_tables from cells where link is not null")
 def _(lake):
     path, source = stores.scratch(lake.spark, "lsh"), stores.scratch(lake.spark, "cells")
-    _few(lake).repartition(3).write.parquet(source)
+    lake.cells.repartition(3).write.parquet(source)
     cells = lake.spark.readStream.schema("table_id long, row_id long, col_id long, text string, links array<string>").option("maxFilesPerTrigger", 2).parquet(source)
     sets = lake.types.select("uri", F.col("types").alias("values"))
     q = incremental.maintain(cells, lambda batch: lsh.set_index(index.link_cells(batch, lake.links), sets, n=6, band=3), path, f"{path}-state")
