@@ -447,14 +447,11 @@ def _by_turns(members: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the sets as all links do. rows: (doc, text); members: (k, doc, lower), the sets of each key that several share; needs: (doc, lower, need)."""
-    several = members.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    members = saved(members.join(several, "k"))
+    """Links (a, b) that join the sets as all links do. rows: (doc, text); members: (k, doc, lower), the sets of each key that several rows share; needs: (doc, lower, need)."""
     enough = members.groupBy("doc", "lower").agg(F.count(F.lit(1)).alias("n")).join(needs, ["doc", "lower"]).where("n >= need").select("doc", "lower")
     near = members.join(enough, ["doc", "lower"]).select("k", "doc")
     shared = near.groupBy("k").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    before, members = members, saved(near.join(shared, "k"))
-    discard(before)
+    members = saved(near.join(shared, "k"))
     # A set's group is that of the first set with which it has most keys in common; who is first everywhere leads its own.
     near = members.where("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
     near = near.groupBy("doc").agg(F.max_by("lead", F.struct("n", F.negative("lead"))).alias("gid"))
@@ -528,7 +525,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     signed = met(rows, True)
     release(spark)
     needs = signed.where(f"kind = {_NEED}").groupBy(F.col("a").alias("doc"), F.col("k").alias("lower")).agg(F.min("b").alias("need"))
-    member = signed.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("doc"), F.col("b").alias("lower")).distinct()
+    member = signed.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("doc"), F.col("b").alias("lower"))  # an id's rows may repeat a key: that only asks more
     links = _links(rows, member, needs, k, percent)
     labels = components(equal.unionByName(links)).select(F.col("node").alias("doc"), "label")
     return sizes.join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("label", "doc").alias("component_id"))
