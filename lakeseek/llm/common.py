@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import uuid
@@ -31,6 +32,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(_BATCH_CONF, str(ROWS))
 
 
+#: Folders that saved() has written and settled() has yet to judge.
+_WRITTEN: contextvars.ContextVar[list] = contextvars.ContextVar("written", default=[])  # noqa: B039
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -41,16 +46,36 @@ def saved(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH_CONF, before)
+    _WRITTEN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what saved() wrote for these frames, once nothing reads them any more."""
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if path.rsplit("/", 1)[-1].startswith("lakeseek-"):
-                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+                _delete(df.sparkSession, path)
+
+
+def settled(make) -> DataFrame:
+    """saved(make()), after which all else that make() saved is deleted: for results that are smaller than the steps to them."""
+    outer = _WRITTEN.set([])
+    try:
+        out = saved(make())
+        *steps, last = _WRITTEN.get()
+    finally:
+        _WRITTEN.reset(outer)
+    for path in steps:
+        _delete(out.sparkSession, path)
+    _WRITTEN.get().append(last)
+    release(out.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:

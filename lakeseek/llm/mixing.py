@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import numbered, saved
+from lakeseek.llm.common import numbered, saved, settled
 
 #: Slices of a source over which its running word count is split, so that a hot source is no single task.
 SLICES = 512
@@ -97,7 +97,7 @@ def mix_plan(docs: DataFrame, seed: int = 5, most: float = 3.0, weight=cycle_wei
 
 def curriculum(docs: DataFrame, seed: int = 5, **more) -> DataFrame:
     """The documents as the mix takes them, with their own columns, a row per copy, range-sorted by training position."""
-    plan = mix_plan(docs, seed, **more).where("copies > 0").select("k0", "k1", F.explode("positions").alias("_at"))
+    plan = settled(lambda: mix_plan(docs, seed, **more).where("copies > 0").select("k0", "k1", F.explode("positions").alias("_at")))
     # Rows alike in all columns are one row here, with all their positions.
     k0, k1, _ = _row_keys(docs, seed)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), k0.alias("_k0"), k1.alias("_k1")).dropDuplicates(["_k0", "_k1"])
