@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import small_batches
+from lakeseek.llm.common import discard, settled, small_batches
 from lakeseek.llm.jaccard_join import jaccard_classes
 from lakeseek.llm.language import learn_filters, predict_language
 from lakeseek.llm.mixing import curriculum
@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id stay; of rows that share an id all stay or all go.
     """
     small_batches(spark)
-    gone = jaccard_classes(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = settled(lambda: jaccard_classes(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each stage but the last is written to the shared folder, so that none is computed twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, settled(lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
