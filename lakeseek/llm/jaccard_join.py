@@ -478,8 +478,9 @@ def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percen
     asked = held.groupBy("lead", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     pairs = asks.join(asked, "lead").where("lo <> own or hi <> own").select(F.col("asking").alias("doc"), "gid", "sub").distinct()
     column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
-    n = F.size("tokens").cast("long").alias("n")
-    bitmaps = sets.join(home, ["doc", "gid", "sub"]).select("gid", "sub", "doc", "label", n, "bits").distinct()
+    # Token lists, the bulk of a set, are left behind before the join.
+    small = sets.select("gid", "sub", "doc", F.size("tokens").cast("long").alias("n"), "bits")
+    bitmaps = small.join(home, ["doc", "gid", "sub"]).select("gid", "sub", "doc", "label", "n", "bits").distinct()
     seen = pairs.join(bitmaps.select("doc", "label", "n", F.col("bits").alias("own")), "doc").join(column, ["gid", "sub"])
     left = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(scoped(_bounded(percent)), "doc long, gid long, sub long").distinct())
     asking = left.join(bitmaps.drop("gid", "sub"), "doc").select("gid", "sub", "doc", "label", "n", "bits")
