@@ -446,6 +446,19 @@ def _by_turns(members: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.repartition("gid", "sub", "turn").sortWithinPartitions("gid", "sub", "turn", "query", "doc")
 
 
+#: Bits of the filter by which texts are left out before a shuffle, in maps of 4 KB each: 2 MB together, whatever the input.
+SLOTS, _MAP = 2**24, 32_768
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc stands in wanted, and a few others with the same slot."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS))
+    maps = wanted.select(slot.alias("s")).groupBy(F.expr(f"s div {_MAP}").alias("_map")).agg(F.bitmap_construct_agg(F.expr(f"s % {_MAP}")).alias("_bits"))
+    held = rows.withColumn("_slot", slot).withColumn("_map", F.expr(f"_slot div {_MAP}")).join(F.broadcast(maps), "_map")
+    byte = f"cast(conv(hex(substring(_bits, cast(_slot % {_MAP} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return held.where(f"shiftright({byte}, cast(_slot % 8 as int)) % 2 = 1").drop("_map", "_slot", "_bits")
+
+
 def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that join the sets as all links do. rows: (doc, text); members: (k, doc, lower), the sets of each key that several rows share; needs: (doc, lower, need)."""
     enough = members.groupBy("doc", "lower").agg(F.count(F.lit(1)).alias("n")).join(needs, ["doc", "lower"]).where("n >= need").select("doc", "lower")
@@ -461,7 +474,7 @@ def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percen
     # The group's first set stands in each of its parts.
     heads = home.select("gid", "subs").distinct().select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.col("gid").alias("doc"))
     placed = saved(home.select("gid", "sub", "doc").unionByName(heads).distinct())
-    sets = saved(placed.join(rows, "doc").select("gid", "sub", "doc", "text").mapInArrow(scoped(_sets(k)), "gid long, sub long, doc long, tokens array<long>, bits binary"))
+    sets = saved(placed.join(_among(rows, placed), "doc").select("gid", "sub", "doc", "text").mapInArrow(scoped(_sets(k)), "gid long, sub long, doc long, tokens array<long>, bits binary"))
     grouped = sets.repartition("gid", "sub").sortWithinPartitions("gid", "sub", "doc")
     grouped = saved(grouped.mapInArrow(scoped(_grouped(percent)), "gid long, sub long, a long, b long, least long, bits binary"))
     release(rows.sparkSession)
@@ -522,8 +535,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     to_first = equal.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     to_first = to_first.join(to_first.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left").select("node", F.least("label", "_far").alias("label"))
     copies = saved(to_first.join(several, F.col("node") == F.col("doc"), "left_anti").select(F.col("node").alias("doc")))
-    rows = rows.where("doc is not null").join(copies, "doc", "left_anti")
-    signed = met(rows, True)
+    rows = rows.where("doc is not null")
+    signed = met(rows.join(copies, "doc", "left_anti"), True)
     release(spark)
     needs = signed.where(f"kind = {_NEED}").groupBy(F.col("a").alias("doc"), F.col("k").alias("lower")).agg(F.min("b").alias("need"))
     member = signed.where(f"kind = {_MEMBER}").select("k", F.col("a").alias("doc"), F.col("b").alias("lower"))  # an id's rows may repeat a key: that only asks more
