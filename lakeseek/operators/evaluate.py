@@ -55,22 +55,44 @@ def auc(run: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     return g.where((p > 0) & (p < n)).select("query_id", (1 - (F.col("s") - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
 
 
-def page_similarity(attributes: DataFrame, weighted: bool = False, least: float = 0.01) -> DataFrame:
-    """(a, b, score) for pages a <> b with (IDF-weighted) Jaccard above `least`; pages without any such partner have themselves, 1. attributes: page, attribute.
+#: Pages that one row of a class is paired with, about, before the class is dealt to further slices.
+SLICE = 4_096
 
-    A pair needs a shared attribute, so pairs come from an equi-join; an attribute on n pages yields n * n pairs only of pages that do share it.
+
+def page_similarity(attributes: DataFrame, weighted: bool = False, least: float = 0.01, digits: int | None = None) -> DataFrame:
+    """(a, b, score) for pages a <> b with (IDF-weighted) Jaccard above `least`, rounded to `digits`; pages without any such partner have themselves, 1. attributes: page, attribute.
+
+    Pages with the same attributes are a class, known by the SHA-256 of their sorted set. Classes are compared, by an equi-join on attributes, and a class stands
+    for its pages: pairs of pages are first listed as they are returned, and no shuffle carries them. For that a page's rows are as many as its class has
+    similar classes, and a class that many rows ask for is dealt by hash into slices.
     """
-    attrs = attributes.select("page", "attribute").distinct()
-    pages = attrs.agg(F.count_distinct("page").alias("pages"))
-    occ = attrs.groupBy("attribute").agg(F.count(F.lit(1)).alias("occ")).join(F.broadcast(pages))  # pages is one row
+    sets = attributes.groupBy("page").agg(F.sort_array(F.collect_set("attribute")).alias("set")).select("page", "set", F.sha2(F.to_json("set"), 256).alias("class"))
+    pages = sets.agg(F.count("page").alias("pages"))
+    sets = sets.where(F.size("set") > 0)
+    classes = sets.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("set").alias("set"))
+    members = sets.select("page", "class")
+    attrs = classes.select("class", "n", F.explode("set").alias("attribute"))
+    occ = attrs.groupBy("attribute").agg(F.sum("n").alias("occ")).join(F.broadcast(pages))  # pages is one row
     w = F.log2(F.col("pages") / F.col("occ")) if weighted else F.lit(1.0)
     attrs = attrs.join(occ.select("attribute", w.alias("w")), "attribute")
-    mass = attrs.groupBy("page").agg(F.sum("w").alias("mass"))
-    both = attrs.alias("x").join(attrs.select("attribute", F.col("page").alias("other")).alias("y"), "attribute").where("x.page <> y.other").groupBy("page", "other").agg(F.sum("w").alias("shared"))
-    both = both.join(mass, "page").join(mass.select(F.col("page").alias("other"), F.col("mass").alias("mass2")), "other")
-    scored = both.select(F.col("page").alias("a"), F.col("other").alias("b"), F.coalesce(F.try_divide(F.col("shared"), F.col("mass") + F.col("mass2") - F.col("shared")), F.lit(0.0)).alias("score")).where(F.col("score") > least)
-    alone = attrs.select(F.col("page").alias("a")).distinct().join(scored.select("a").distinct(), "a", "left_anti")
-    return scored.unionByName(alone.select("a", F.col("a").alias("b"), F.lit(1.0).alias("score")))
+    mass = attrs.groupBy("class", "n").agg(F.sum("w").alias("mass"))
+    both = attrs.select("class", "attribute", "w").join(attrs.select("attribute", F.col("class").alias("other")), "attribute").groupBy("class", "other").agg(F.sum("w").alias("shared"))
+    both = both.join(mass, "class").join(mass.select(F.col("class").alias("other"), F.col("n").alias("n2"), F.col("mass").alias("mass2")), "other")
+    score = F.coalesce(F.try_divide(F.col("shared"), F.col("mass") + F.col("mass2") - F.col("shared")), F.lit(0.0))
+    met = both.withColumn("score", score).where(F.col("score") > least)
+    # A class of one page has no pair with itself.
+    met = met.where((F.col("class") != F.col("other")) | (F.col("n") > 1))
+    n_slices = F.floor((F.sum("n").over(Window.partitionBy("other")) - 1) / SLICE) + 1
+    met = met.select("class", "other", F.col("score") if digits is None else F.round("score", digits).alias("score"), n_slices.alias("slices"))
+    asks = members.join(met, "class").select(F.col("page").alias("a"), "other", "score", F.pmod(F.xxhash64("page"), F.col("slices")).alias("slice"))
+    slices = met.groupBy("other").agg(F.first("slices").alias("slices"))
+    asked = members.withColumnRenamed("class", "other").join(slices, "other").select(F.col("page").alias("b"), "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    # Small as they are, both sides keep their partitions: few tasks would list all pairs.
+    n = int(attributes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asks, asked = (df.repartition(n, "other", "slice") for df in (asks, asked))
+    scored = asks.join(asked, ["other", "slice"]).where("a <> b").select("a", "b", "score")
+    alone = members.join(met.select("class").distinct(), "class", "left_anti")
+    return scored.unionByName(alone.select(F.col("page").alias("a"), F.col("page").alias("b"), F.lit(1.0).alias("score")))
 
 
 def best_rows(linked: DataFrame) -> DataFrame:

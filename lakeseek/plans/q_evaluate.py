@@ -67,7 +67,7 @@ W = {"w": ("nav", "select href, log2((select count(distinct page_id) from nav)::
 @op("ev_09_page_relevance", "rel nav", "with r as (select * from rel where score > 0.01) select a, b, round(score, 6) score from r union all select distinct page_id, page_id, 1 from nav where page_id not in (select a from r)", W)
 def _(lake):
     attributes = lake.navigation.select(F.col("page_id").alias("page"), F.col("href").alias("attribute"))
-    return evaluate.page_similarity(attributes, weighted=True).withColumn("score", F.round("score", 6))
+    return evaluate.page_similarity(attributes, weighted=True, digits=6)
 
 
 BEST = {"best": ("linked", "select * from (select table_id, row_id, count(distinct uri) n from linked group by all) qualify rank() over (partition by table_id order by n desc) = 1"), "pick": ("best", "select c query_id, table_id from (select o_custkey c, b.table_id, max(n) w, count(*) m from best b join orders on o_orderkey = b.table_id group by all) qualify row_number() over (partition by c order by w desc, m desc, table_id) = 1")}
