@@ -51,10 +51,11 @@ def _stretches(text: bytes) -> list[bytes]:
 def _text_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of the texts and their ends: itself and the DEPTH bytes before as one number, the latest byte lowest; and where each text starts."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    raw = np.frombuffer(b"".join([x for t in texts for x in (_EDGE * DEPTH, t, _EDGE)]), np.uint8).astype(np.int64)
-    two = raw[1:] | raw[:-1] << 8
-    four = two[2:] | two[:-2] << 16
-    code = four[3:] | four[:-3] << 24  # seven bytes; the middle one is in both
+    code = np.frombuffer(b"".join([x for t in texts for x in (_EDGE * DEPTH, t, _EDGE)]), np.uint8).astype(np.int64)
+    for n in (1, 2, 3):  # two, four and seven bytes; of seven the middle one is in both
+        longer = code[:-n] << 8 * n
+        longer |= code[n:]
+        code = longer
     start = np.cumsum(lengths) - lengths
     keep = np.ones(len(code), bool)
     for i in range(DEPTH):  # what begins before a text, less the first one's edges
@@ -93,13 +94,15 @@ def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(codes):
         return codes, n
     order = np.argsort(codes, kind="stable")
-    codes = codes[order]
+    codes, n = codes[order], n[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[first], np.add.reduceat(n[order], first)
+    return codes[first], np.add.reduceat(n, first)
 
 
 def _counts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.sort(_text_codes(texts)[0])
+    codes = _text_codes(texts)[0]
+    codes.sort()
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[first], np.diff(np.append(first, len(codes)))
 
@@ -120,8 +123,17 @@ def _bucket(codes: np.ndarray, n: int) -> np.ndarray:
 def _counted(n_buckets: int):
     """Rows (block, held_out, text) sorted by block -> (bucket, block, codes, counts): a block's distinct n-grams, counted in what is learned from."""
 
+    def merged(parts):
+        """One part of several, which are left empty so that none of them outlives its use."""
+        if len(parts) == 1:
+            return parts.pop()
+        codes = np.concatenate([p[0] for p in parts])
+        n = np.concatenate([p[1] for p in parts])
+        parts.clear()
+        return _summed(codes, n)
+
     def out(block, parts):
-        codes, n = _summed(*(np.concatenate([p[j] for p in parts]) for j in range(2)))
+        codes, n = merged(parts)
         bucket = _bucket(codes, n_buckets)
         order = np.argsort(bucket, kind="stable")
         codes, n = codes[order], n[order]
@@ -137,9 +149,10 @@ def _counted(n_buckets: int):
                 if waiting[held_out]:
                     codes, n = _counts_of(waiting[held_out])
                     parts.append((codes, n * (1 - held_out)))
+                    del codes, n
                     waiting[held_out].clear()
-            if sum(len(p[0]) for p in parts) > 2 * CHUNK:
-                parts[:] = [_summed(*(np.concatenate([p[j] for p in parts]) for j in range(2)))]
+            # Sorted parts are merged at once: chunks share most n-grams, and all chunks' together are several times a block's.
+            parts[:] = [merged(parts)] if parts else []
 
         for batch in batches:
             for block, held_out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
