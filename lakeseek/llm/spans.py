@@ -44,11 +44,11 @@ class Powers:
 
     def upto(self, n: int) -> list:
         if n > self.n:
-            self.n, self.of = max(1024, 2 * n), []
+            self.n, self.of = max(1024, n + n // 8), []
             for base in _BASE:
                 up, down = np.full(self.n, base, np.uint64), np.full(self.n, pow(base, -1, 2**64), np.uint64)
                 up[0] = down[0] = 1
-                self.of.append((np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)))
+                self.of.append((np.cumprod(up, dtype=np.uint64, out=up), np.cumprod(down, dtype=np.uint64, out=down)))
         return self.of
 
 
@@ -71,10 +71,13 @@ class Words(dict):
         if len(self) > MOST_WORDS:
             self.clear()
             self.columns = array("Q"), array("Q"), array("b")
-        split = [_marked(t).split() for t in texts]
-        at = np.fromiter([self[w] for s in split for w in s], np.int64, sum(map(len, split)))
+        # Of one text at a time, as a word takes far more room than its row.
+        held = [np.fromiter(map(self.__getitem__, _marked(t).split()), np.int32) for t in texts]
+        lengths = [len(x) for x in held]
+        at = np.concatenate(held) if held else np.empty(0, np.int32)
+        del held
         one, two, ends = (np.frombuffer(c, k)[at] if len(at) else np.empty(0, k) for c, k in zip(self.columns, (np.uint64, np.uint64, bool), strict=True))
-        return Pieces(np.repeat(np.arange(len(texts)), [len(s) for s in split]), one, two, ends, at != self.get(_BREAK, -1), len(texts))
+        return Pieces(np.repeat(np.arange(len(texts), dtype=np.int32), lengths), one, two, ends, at != self.get(_BREAK, -1), len(texts))
 
 
 def _marked(text: str) -> str:
@@ -97,7 +100,7 @@ class Pieces:
         n = len(of)
         begins = np.ones(n, bool)
         begins[1:] = stop[:-1] | (of[1:] != of[:-1])
-        sentence = np.cumsum(begins) - 1
+        sentence = np.cumsum(begins, dtype=np.int32) - 1
         long = np.bincount(sentence, minlength=1)[sentence] > PIECE
         h = self.hashes[0]
         least = long & ~begins
@@ -106,7 +109,8 @@ class Pieces:
             least[o:] &= ~same | (h[o:] < h[:-o])
             least[:-o] &= ~same | (h[:-o] <= h[o:])
         cut = begins | least
-        since = np.arange(n) - np.maximum.accumulate(np.where(cut, np.arange(n), 0))
+        since = np.arange(n, dtype=np.int32)
+        since -= np.maximum.accumulate(np.where(cut, since, 0))
         cut |= long & (since % LONGEST == 0)
         self.starts = np.flatnonzero(cut)
         self.edges = np.append(self.starts, n)
@@ -123,7 +127,12 @@ class Pieces:
         a, b, keys = self.edges[start], self.edges[stop], []
         for h, (up, down) in zip(self.hashes, powers.upto(len(self.hashes[0]) + 1), strict=True):
             sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-            keys.append((sums[b] - sums[a]) * down[a] + (stop - start).astype(np.uint64))
+            key = sums[b]
+            key -= sums[a]
+            del sums
+            key *= down[a]
+            key += (stop - start).astype(np.uint64)
+            keys.append(key)
         return keys[0].view(np.int64), (keys[1] >> np.uint64(24)).astype(np.int64), start, stop - start
 
 
