@@ -1,11 +1,12 @@
 """What plans shuffle, and that leaner plans give the same."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakeseek.operators import evaluate
+from lakeseek.operators import align, evaluate
 
 
 def shuffled(spark, df):
@@ -61,3 +62,33 @@ def test_alike_pages_are_not_shuffled_as_pairs(spark):
     rows, moved = shuffled(spark, evaluate.page_similarity(pages))
     assert len(rows) == 400 * 399
     assert moved < 20_000  # before: over 159,600, a row for each pair
+
+
+def test_matrices_are_solved_together(spark):
+    """Shapes mixed in a batch, ties, a missing cell and a null score; few calls of Python for many tables."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for t in range(300):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        s = [[float(rng.randint(0, 3)) for _ in range(m)] for _ in range(n)]
+        rows += [(t, 0, p, c, None if x == 0 and rng.random() < 0.5 else x, n, m) for p, r in enumerate(s) for c, x in enumerate(r) if x or rng.random() < 0.7 or (p, c) == (0, 0)]
+        want[t] = [-1] * n if n > m else list(min(itertools.permutations(range(m), n), key=lambda o: (-sum(s[i][c] for i, c in enumerate(o)), o)))
+    held = spark.createDataFrame(rows, "table_id long, tuple_id int, pos long, col_id int, score double, w long, n_cols int")
+    made = align._wide(held)
+    got = {}
+    for r in made.orderBy("table_id", "pos").collect():
+        got.setdefault(r.table_id, []).append(r.col_id)
+    assert got == want
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()  # before: a call for each table
+
+
+def test_cells_are_not_shuffled_for_each_query_entity(spark):
+    """Twenty entities asked for, in a tuple of seventeen and one of four that shares one with it: more than stand in one row."""
+    linked = spark.range(400).select((F.col("id") % 50).alias("table_id"), (F.col("id") / 50).cast("long").alias("row_id"), F.lit(0).cast("long").alias("col_id"), F.concat(F.lit("u"), F.col("id")).alias("uri"))
+    asked = [(0, p, f"q{p}") for p in range(17)] + [(1, p, f"q{16 + p}") for p in range(4)]
+    query = spark.createDataFrame(asked, "tuple_id long, pos long, uri string")
+    pairs = linked.select("uri").crossJoin(query.select(F.col("uri").alias("q")).distinct()).withColumn("sim", (F.substring("q", 2, 9).cast("double") + F.substring("uri", 2, 9).cast("double")) / 1000).localCheckpoint()
+    got, moved = shuffled(spark, align.column_scores(query, linked, pairs))
+    want = {(t, i, p): sum((int(q[1:]) + x) / 1000 for x in range(400) if x % 50 == t) for i, p, q in asked for t in range(50)}
+    assert {(r[0], r[1], r[2]): round(r[4], 6) for r in got} == {k: round(v, 6) for k, v in want.items()} and len(got) == len(want)
+    assert moved < 5_000  # before: over 16,400, a row for each table, column and entity, and as many pairs
