@@ -18,7 +18,7 @@ def pair_similarities(query: DataFrame, linked: DataFrame, similarity) -> DataFr
     distinct corpus entity, not for each cell.
     """
     q = query.select(F.col("uri").alias("q")).distinct()
-    return similarity(linked.select("uri").distinct().join(q))
+    return similarity(linked.select("uri").distinct().join(F.broadcast(q)))
 
 
 #: Query entities whose similarities stand in one row, side by side.
@@ -105,6 +105,20 @@ def best_assignment(scores: list[list[float]]) -> list[int]:
     return best_assignments(np.array([scores], float))[0].tolist() if scores else []
 
 
+#: Tuples and tables up to this width are assigned by enumeration.
+NARROW = 3
+
+
+def assignments(scores: np.ndarray) -> np.ndarray:
+    """The same, but that of NARROW rows and columns at most all assignments are summed, and sums equal to nine places tie."""
+    n, rows, width = scores.shape
+    if rows > min(width, NARROW) or width > NARROW or not n:
+        return best_assignments(scores)
+    options = list(itertools.permutations(range(width), rows))
+    total = np.stack([sum(scores[:, p, c] for p, c in enumerate(o)) for o in options], 1)
+    return np.array(options, np.int64)[np.round(total, 9).argmax(1)]
+
+
 def _with_width(scores: DataFrame, query: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(query.groupBy("tuple_id").agg((F.max("pos") + 1).alias("w"))), "tuple_id")  # a row for each of the query's tuples
 
@@ -134,10 +148,6 @@ def _wide(held: DataFrame) -> DataFrame:
     return rows.mapInArrow(_solved, f"table_id {kind['table_id']}, tuple_id {kind['tuple_id']}, pos long, col_id long")
 
 
-#: Tuples and tables up to this width are assigned by enumeration.
-NARROW = 3
-
-
 def _narrow(held: DataFrame) -> DataFrame:
     cell = F.struct((F.col("pos") * NARROW + F.col("col_id")).cast("long").alias("k"), F.col("score"))
     held = held.groupBy("table_id", "tuple_id", "n_cols", "w").agg(F.map_from_entries(F.collect_list(cell)).alias("s"))

@@ -5,6 +5,9 @@ query: tuple_id, pos, uri (one query). Every search returns (table_id, score); t
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +48,14 @@ def pairwise_rows(query: DataFrame, linked: DataFrame) -> DataFrame:
     return both.groupBy(F.col("x.uri").alias("a"), F.col("y.uri").alias("b")).agg(F.count_distinct("table_id").alias("tables"), F.count(F.lit(1)).alias("rows"))
 
 
-def type_similarity(types: DataFrame, adjusted: bool = True, weights: DataFrame | None = None, column: str = "types"):
-    """A similarity for analogous_search: (weighted) Jaccard of two entities' sets. types: uri, <column>; weights: type, idf."""
+def type_similarity(types: DataFrame, adjusted: bool = True, weights: DataFrame | None = None, column: str = "types", query: DataFrame | None = None):
+    """A similarity for analogous_search: (weighted) Jaccard of two entities' sets. types: uri, <column>; weights: type, idf. Where the query is given, its entities' sets are broadcast."""
 
     def add(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(types.select(F.col("uri"), F.col(column).alias("t")), "uri", "left").join(types.select(F.col("uri").alias("q"), F.col(column).alias("u")), "q", "left")
+        asked = types.select(F.col("uri").alias("q"), F.col(column).alias("u"))
+        if query is not None:
+            asked = F.broadcast(asked.join(F.broadcast(query.select(F.col("uri").alias("q")).distinct()), "q", "left_semi"))
+        both = pairs.join(types.select(F.col("uri"), F.col(column).alias("t")), "uri", "left").join(asked, "q", "left")
         empty = F.array().cast("array<string>")
         t, u = F.coalesce("t", empty), F.coalesce("u", empty)
         if weights is None:
@@ -129,11 +135,118 @@ def table_scores(tuples: DataFrame, query: DataFrame) -> DataFrame:
     return tuples.groupBy("table_id").agg(F.sum("score").alias("s")).join(F.broadcast(n)).select("table_id", (F.col("s") / F.col("n")).alias("score"))  # n is one row
 
 
+#: Distinct rows of similarities that are sent to all executors, at most; beyond it each cell carries its own.
+MOST_KINDS = 65_536
+
+
+def _scored_tables(tuples: list[tuple[list[int], list[int], list[float]]], lut: np.ndarray | None, lanes: int, measure: str):
+    """Rows (table_id, col_id, kind, n_cols) sorted by table -> (table_id, score): columns' sums and bests, the assignment, and the tuples' scores.
+
+    tuples: the lane asked for at each place (`lanes`, of zeros, at a place left out), the places held and their weights. kind: a row of lut, or the similarities themselves. n_cols: null
+    where a table ends at its last linked column. Of a table that goes on in the next batch only its columns' sums and bests are kept.
+    """
+
+    def finished(tables, widths, of, col, sums, bests):
+        score = np.zeros(len(widths))
+        place = np.empty(len(widths), np.int64)
+        for n in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == n)
+            place[at] = np.arange(len(at))
+            own = (widths[of] == n) & (col < n)
+            total, best = np.zeros((2, len(at), n, lanes + 1))
+            total[place[of[own]], col[own]], best[place[of[own]], col[own]] = sums[own], np.maximum(bests[own], 0)
+            for lane, held, w in tuples:
+                v = np.zeros((len(at), len(held)))
+                if len(lane) <= n:
+                    to = align.assignments(total[:, :, lane].transpose(0, 2, 1))[:, held]
+                    v = best[np.arange(len(at))[:, None], to, np.array(lane)[held]]
+                if measure == "euclidean":
+                    score[at] += 1 / (np.sqrt((np.array(w) * (v - 1) ** 2).sum(1)) + 1)
+                else:
+                    norm = np.sqrt((v * v).sum(1)) * np.sqrt(len(held))
+                    score[at] += np.divide(v.sum(1), norm, out=np.zeros(len(at)), where=norm > 0)
+        return pa.RecordBatch.from_arrays([tables, pa.array(score / len(tuples))], names=["table_id", "score"])
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(0), run_end_type=pa.int64())
+            tables, ends = runs.values, runs.run_ends.to_numpy()
+            of, col = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), batch.column(1).to_numpy().astype(np.int64)
+            kind = batch.column(2)
+            row = lut[kind.to_numpy()] if lut is not None else np.ascontiguousarray(kind.flatten().to_numpy()).reshape(batch.num_rows, lanes)
+            sums = bests = np.concatenate((row, np.zeros((len(row), 1))), 1)
+            given = pc.fill_null(batch.column(3), 0).to_numpy().astype(np.int64)[np.concatenate(([0], ends[:-1]))]
+            if last is not None:
+                if not last[0].equals(tables.slice(0, 1)):
+                    yield finished(*last)
+                else:
+                    of, col = np.concatenate((last[2], of)), np.concatenate((last[3], col))
+                    sums, bests = np.concatenate((last[4], sums)), np.concatenate((last[5], bests))
+            # One entry for each table's column.
+            order = np.lexsort((col, of))
+            of, col = of[order], col[order]
+            starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (col[1:] != col[:-1]))))
+            of, col, sums, bests = of[starts], col[starts], np.add.reduceat(sums[order], starts), np.maximum.reduceat(bests[order], starts)
+            ends = np.zeros(len(tables), np.int64)
+            np.maximum.at(ends, of, col + 1)
+            widths = np.where(given > 0, given, ends)
+            here, n = of < len(tables) - 1, len(tables) - 1
+            if n:
+                yield finished(tables.slice(0, n), widths[:n], of[here], col[here], sums[here], bests[here])
+            last = (tables.slice(n, 1), widths[n:], of[~here] - n, col[~here], sums[~here], bests[~here])
+        if last is not None:
+            yield finished(*last)
+
+    return run
+
+
+def column_search(query: DataFrame, cells: DataFrame, pairs: DataFrame, idf: DataFrame, measure: str = "euclidean", widths: DataFrame | int | None = None, save=None) -> DataFrame:
+    """(table_id, score): analogous search in single columns, by the best similarity of the column that an entity is assigned to.
+
+    cells: table_id, col_id, uri; pairs: q, uri, sim, of each query entity with each uri that counts. Which row a cell is in makes no difference to a column's sum and best, so a cell is
+    shuffled twice: by uri to get the number of its row of similarities, and by table with that number only. A table's cells are read in one task, its columns' sums and bests kept.
+    The query, its weights and at most MOST_KINDS distinct rows of similarities go to the driver. save(df), if given, cuts the lineage.
+    """
+    asked = sorted((r.tuple_id, r.pos, r.uri) for r in query.select("tuple_id", "pos", "uri").distinct().collect())
+    if not asked:
+        return cells.select("table_id", F.lit(0.0).alias("score")).limit(0)
+    weights = {(r.tuple_id, r.pos): r.w for r in tuple_weights(query, idf).collect()}
+    names = sorted({u for _, _, u in asked})
+    at: dict = {}
+    for t, p, u in asked:
+        at.setdefault(t, {})[p] = names.index(u)
+    tuples = [([own.get(p, len(names)) for p in range(max(own) + 1)], sorted(own), [weights[t, p] for p in sorted(own)]) for t, own in at.items()]
+    each = [F.coalesce(F.max(F.when(F.col("q") == u, F.col("sim"))), F.lit(0.0)) for u in names]
+    wide = pairs.groupBy("uri").agg(F.array(*each).alias("sims"))
+    wide = save(wide) if save else wide
+    kinds = sorted(tuple(r.sims) for r in wide.select("sims").distinct().limit(MOST_KINDS + 1).collect())
+    spark = query.sparkSession
+    lut = None
+    if len(kinds) <= MOST_KINDS:
+        lut = np.array(kinds, float).reshape(len(kinds), len(names))
+        known = spark.createDataFrame([(list(k), i) for i, k in enumerate(kinds)], "sims array<double>, kind int")
+        wide = wide.join(F.broadcast(known), "sims").select("uri", "kind")  # MOST_KINDS rows at most
+    else:
+        wide = wide.withColumnRenamed("sims", "kind")
+    held = cells.select("table_id", F.col("col_id").cast("int").alias("col_id"), "uri").join(wide, "uri").select("table_id", "col_id", "kind")
+    if isinstance(widths, DataFrame):
+        held = held.join(widths.select("table_id", F.col("n_cols").cast("int").alias("n_cols")), "table_id")
+        held = held.repartition("table_id").sortWithinPartitions("table_id")
+    else:
+        held = held.repartition("table_id").sortWithinPartitions("table_id").withColumn("n_cols", F.lit(widths).cast("int"))
+    return held.mapInArrow(_scored_tables(tuples, lut, len(names), measure), f"table_id {dict(cells.dtypes)['table_id']}, score double")
+
+
 def analogous_search(query: DataFrame, linked: DataFrame, similarity, idf: DataFrame, *, single_column: bool = False, use_max: bool = True, measure: str = "euclidean", coverage: bool = False, candidates: DataFrame | None = None, widths: DataFrame | None = None) -> DataFrame:
     """Tables by the similarity of their rows to the query's tuples. candidates (table_id) restrict the corpus before anything is scored; widths (table_id, n_cols) are for single_column."""
     if candidates is not None:
         linked = linked.join(candidates, "table_id", "left_semi")
     pairs = align.pair_similarities(query, linked, similarity)
+    if single_column and use_max and not coverage:
+        return column_search(query, linked, pairs, idf, measure, widths)
     rows = row_scores(query, linked, pairs, single_column, coverage, widths)
     return table_scores(tuple_scores(tuple_vectors(rows, use_max), tuple_weights(query, idf), measure), query)
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeseek.operators import align, evaluate
+from lakeseek.operators import align, evaluate, search
 
 
 def shuffled(spark, df):
@@ -92,3 +92,38 @@ def test_cells_are_not_shuffled_for_each_query_entity(spark):
     want = {(t, i, p): sum((int(q[1:]) + x) / 1000 for x in range(400) if x % 50 == t) for i, p, q in asked for t in range(50)}
     assert {(r[0], r[1], r[2]): round(r[4], 6) for r in got} == {k: round(v, 6) for k, v in want.items()} and len(got) == len(want)
     assert moved < 5_000  # before: over 16,400, a row for each table, column and entity, and as many pairs
+
+
+@pytest.mark.parametrize(("kinds", "measure", "fixed"), [(65_536, "euclidean", None), (3, "cosine", None), (65_536, "euclidean", 6)])
+def test_single_column_search_moves_a_cell_twice(spark, monkeypatch, kinds, measure, fixed):
+    """Against the scores of rows: tables of several widths, one of many cells; similarities that are null or below 0; more of them than are sent to all executors; tables cut by batches."""
+    monkeypatch.setattr(search, "MOST_KINDS", kinds)
+    rng = random.Random(4)
+    shape = {t: (rng.randint(1, 5), rng.randint(1, 3)) for t in range(60)} | {60: (3, 150)}
+    cells = [(t, r, c, f"u{rng.randint(0, 40)}") for t, (w, n) in shape.items() for r in range(n) for c in range(w) if rng.random() < 0.9]
+    linked = spark.createDataFrame(cells, "table_id long, row_id long, col_id long, uri string").localCheckpoint()
+    query = spark.createDataFrame([(0, 0, "u1"), (0, 1, "u2"), (0, 2, "u3"), (1, 0, "u4"), (2, 0, "u1"), (2, 2, "u5")], "tuple_id long, pos long, uri string")
+    idf = spark.createDataFrame([("u1", 1.0), ("u2", 3.0), ("u4", 2.0)], "uri string, idf double")
+    sims = [(f"u{q}", f"u{u}", 1.0 if q == u else None if (q + u) % 7 == 0 else ((q * 13 + u * 5) % 11 - 3) / 10) for q in range(1, 6) for u in range(41)]
+    pairs = spark.createDataFrame(sims, "q string, uri string, sim double").localCheckpoint()
+    widths = linked.select("table_id").distinct().withColumn("n_cols", F.lit(fixed)) if fixed else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, moved = shuffled(spark, search.column_search(query, linked, pairs, idf, measure, widths=fixed))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = search.row_scores(query, linked, pairs, True, False, widths)
+    plain = search.table_scores(search.tuple_scores(search.tuple_vectors(rows), search.tuple_weights(query, idf), measure), query)
+    want, before = shuffled(spark, plain)
+    assert {t: round(s, 9) for t, s in got} == {t: round(s, 9) for t, s in want} and len(got) == len(want)
+    assert moved < 2 * len(cells) + 400 < before  # before: a row for each cell and query entity
+
+
+def test_single_column_query_at_size(spark):
+    """lineitem is numbered by no window, and its cells are neither paired with the query's entities nor looked up twice."""
+    import __spark_entry__
+
+    sf = "/root/testdata/sf0.01"
+    cells = spark.read.parquet(f"{sf}/lineitem.parquet").count() * 3
+    _, moved = shuffled(spark, __spark_entry__.queries()["srch_09_single_column"](spark, sf))
+    assert moved < 2.5 * cells  # before: over 20 for each cell
