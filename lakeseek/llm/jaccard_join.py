@@ -7,9 +7,9 @@
    column of the token-group matrix: a bitmap of hashed tokens.
 3. What groups link makes classes. Where the sets that share keys with one first set are of several classes, each one outside the largest class is a
    query to the groups of other classes. Its tokens whose bits the group's column lacks bound its overlap with every member.
-4. Groups whose bound is below the threshold stay shut. To the others the set's own bitmap is sent, which bounds its overlap with each member; only
+4. Groups whose bound is below the threshold stay shut. In the others the set's own bitmap bounds its overlap with each member that shares the first set; only
    groups with a member that is left are opened: they get the token list, and all members are counted exactly. So every pair of sets that share
-   a key and are of different classes is tested or bounded.
+   a key and are of different classes is tested or bounded. Both bounds are taken in blocks of groups, each read once by a turn of sets that ask, so that no row is made for a set and a group.
 
 Nothing is capped. Links within a class need no test once it is one, as only classes are asked for.
 """
@@ -29,6 +29,8 @@ GROUP = 192
 MOST_CELLS = 64_000_000
 #: Queries that probe one copy of a group.
 TURN = 256
+#: Sets of groups that are bounded together, and sets that ask one copy of them.
+BLOCK, ASKERS = 2048, 512
 #: Sets (and tokens) in which equal signatures are joined before the shuffle.
 BATCH, BATCH_TOKENS = 8192, 2_500_000
 #: Bytes of text for each bucket of keys, about 150,000 keys.
@@ -224,13 +226,6 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(np.unpackbits(bits).reshape(-1, many).max(1))
 
 
-def lacks(own: bytes, column: bytes) -> int:
-    """How many of a set's tokens a group's column lacks, at least."""
-    a, b = np.frombuffer(own, np.uint8), np.frombuffer(column, np.uint8)
-    width = 8 * min(len(a), len(b))
-    return int(np.bitwise_count(_folded(a, width) & ~_folded(b, width)).sum())
-
-
 def may_link(lacking: int, n: int, least: int, percent: int) -> bool:
     """Whether a set of n tokens, of which a group lacks so many, can link with a member; the smallest one has least tokens."""
     most = n - lacking
@@ -351,16 +346,31 @@ def _grouped(percent: int):
     return run
 
 
-def _bounded(percent: int):
-    """Rows (doc, gid, sub, n, own, least, bits) -> those (doc, gid, sub) that the bound leaves open."""
-
-    def run(batches):
-        for batch in batches:
-            n, own, least, bits = (batch.column(j).to_pylist() for j in (3, 4, 5, 6))
-            open_ = [may_link(lacks(o, b), m, x, percent) for m, o, x, b in zip(n, own, least, bits, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["doc", "gid", "sub"]).filter(pa.array(open_, pa.bool_()))
+class Columns:
+    """The columns of groups in the token-group matrix, stacked by width."""
 
-    return run
+    def __init__(self, groups: list[tuple[tuple, int, bytes]]):
+        """groups: key, smallest set size and column of each."""
+        self.by_width: dict = {}
+        for key, least, bits in groups:
+            keys, sizes, columns = self.by_width.setdefault(len(bits), ([], [], []))
+            keys.append(key)
+            sizes.append(least)
+            columns.append(np.frombuffer(bits, np.uint8))
+        self.by_width = {w: (a, np.array(b, np.int64), {w: np.stack(c)}) for w, (a, b, c) in self.by_width.items()}
+
+    def open_to(self, n: int, bits: bytes, percent: int) -> list[tuple]:
+        """The groups that a set of n tokens may link with: most of its tokens that a column allows (see may_link)."""
+        own, out = {len(bits): np.frombuffer(bits, np.uint8)}, []
+        for w, (keys, sizes, stacks) in self.by_width.items():
+            least = min(w, len(bits))
+            if least not in stacks:
+                stacks[least] = np.stack([_folded(x, 8 * least) for x in stacks[w]])
+            if least not in own:
+                own[least] = _folded(own[len(bits)], 8 * least)
+            most = n - np.bitwise_count(own[least] & ~stacks[least]).sum(1, dtype=np.int64)
+            out += [keys[i] for i in np.flatnonzero((100 * most >= percent * n) & ((100 + percent) * most >= percent * (n + sizes)))]
+        return out
 
 
 class Bitmaps:
@@ -392,22 +402,32 @@ class Bitmaps:
         return False
 
 
+_COLUMN, _HELD, _ASKS = range(3)
+
+
 def _opened(percent: int):
-    """Rows (gid, sub, turn, query, doc, label, n, bits), a group's members before its queries -> (doc, gid, sub) still open."""
+    """Rows (lead, block, turn, kind, gid, sub, doc, label, n, bits), groups' columns and then their sets before what asks them -> (doc, gid, sub) that both bounds leave open."""
 
     def run(batches):
-        at, members, maps = None, [], None
+        at, groups, members, columns, maps = None, [], {}, None, {}
         for batch in batches:
-            out = []
-            for gid, sub, turn, query, doc, label, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (gid, sub, turn):
-                    at, members, maps = (gid, sub, turn), [], None
-                if not query:
-                    members.append((label, n, bits))
-                elif members:
-                    maps = maps or Bitmaps(members)
-                    if maps.opens(label, n, bits, percent):
-                        out.append((doc, gid, sub))
+            out = set()
+            for lead, block, turn, kind, gid, sub, doc, label, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (lead, block, turn):
+                    at, groups, members, columns, maps = (lead, block, turn), [], {}, None, {}
+                if kind == _COLUMN:
+                    groups.append(((gid, sub), n, bits))
+                elif kind == _HELD:
+                    members.setdefault((gid, sub), []).append((label, n, bits))
+                else:
+                    columns = columns or Columns(groups)
+                    for key in columns.open_to(n, bits, percent):
+                        if (doc, *key) not in out and key in members:
+                            if key not in maps:
+                                maps[key] = Bitmaps(members[key])
+                            if maps[key].opens(label, n, bits, percent):
+                                out.add((doc, *key))
+            out = sorted(out)
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["doc", "gid", "sub"])
 
     return run
@@ -437,6 +457,25 @@ def _probed(percent: int):
     return run
 
 
+def _by_blocks(held: DataFrame, column: DataFrame) -> DataFrame:
+    """Rows for _opened. held: lead, doc, gid, sub, label, main, n, bits; column: gid, sub, least, bits.
+
+    What shares a first set is dealt into blocks of groups, about BLOCK sets each, and turns of about ASKERS sets that ask: a set that asks is one row a block, and not one a group, and a
+    block's set is one row a turn.
+    """
+    asks = F.col("label") != F.col("main")
+    many = held.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.ceil(F.count(F.when(asks, 1)) / ASKERS).cast("long").alias("turns"))
+    held = held.join(many, "lead")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block, none = F.pmod(F.xxhash64("gid", "sub"), F.col("blocks")).alias("block"), F.lit(None).cast("long")
+    groups = held.select("lead", "gid", "sub", "blocks", "turns").distinct().join(column, ["gid", "sub"])
+    rows = groups.select("lead", block, each("turns").alias("turn"), F.lit(_COLUMN).alias("kind"), "gid", "sub", none.alias("doc"), none.alias("label"), F.col("least").alias("n"), "bits")
+    rows = rows.unionByName(held.select("lead", block, each("turns").alias("turn"), F.lit(_HELD).alias("kind"), "gid", "sub", "doc", "label", "n", "bits"))
+    turn = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("turns")).alias("turn")
+    rows = rows.unionByName(held.where(asks).select("lead", each("blocks").alias("block"), turn, F.lit(_ASKS).alias("kind"), "gid", "sub", "doc", "label", "n", "bits"))
+    return rows.repartition("lead", "block", "turn").sortWithinPartitions("lead", "block", "turn", "kind", "gid", "sub", "doc")
+
+
 def _by_turns(members: DataFrame, queries: DataFrame) -> DataFrame:
     """Rows (gid, sub, turn, query, doc, label, others) of groups and what asks them. A group's queries come in turns of about TURN, each with its own copy of the group."""
     turns = queries.groupBy("gid", "sub").agg(F.ceil(F.count(F.lit(1)) / TURN).cast("long").alias("turns"))
@@ -487,22 +526,16 @@ def _links(rows: DataFrame, members: DataFrame, needs: DataFrame, k: int, percen
     held = saved(members.select("lead", "doc").distinct().join(first, "lead").select(F.col("first").alias("lead"), "doc").distinct().join(home, "doc"))
     large = held.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count(F.lit(1)).alias("classes"))
     held = held.join(large.where("classes > 1").drop("classes"), "lead")
-    asks = held.where("label <> main").select("lead", F.col("doc").alias("asking"), F.col("label").alias("own"))
-    asked = held.groupBy("lead", "gid", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    pairs = asks.join(asked, "lead").where("lo <> own or hi <> own").select(F.col("asking").alias("doc"), "gid", "sub").distinct()
     column = grouped.where("bits is not null").select("gid", "sub", "least", "bits")
     # Token lists, the bulk of a set, are left behind before the join.
     small = sets.select("gid", "sub", "doc", F.size("tokens").cast("long").alias("n"), "bits")
-    bitmaps = small.join(home, ["doc", "gid", "sub"]).select("gid", "sub", "doc", "label", "n", "bits").distinct()
-    seen = pairs.join(bitmaps.select("doc", "label", "n", F.col("bits").alias("own")), "doc").join(column, ["gid", "sub"])
-    left = saved(seen.select("doc", "gid", "sub", "n", "own", "least", "bits").mapInArrow(scoped(_bounded(percent)), "doc long, gid long, sub long").distinct())
-    asking = left.join(bitmaps.drop("gid", "sub"), "doc").select("gid", "sub", "doc", "label", "n", "bits")
-    open_ = saved(_by_turns(bitmaps, asking).mapInArrow(scoped(_opened(percent)), "doc long, gid long, sub long").distinct())
+    bitmaps = small.join(held, ["doc", "gid", "sub"]).distinct()
+    open_ = saved(_by_blocks(bitmaps, column).mapInArrow(scoped(_opened(percent)), "doc long, gid long, sub long").distinct())
     labelled = sets.select("gid", "sub", "doc", "tokens").join(home, ["doc", "gid", "sub"])
     inside = labelled.join(open_.select("gid", "sub").distinct(), ["gid", "sub"]).select("gid", "sub", "doc", "label", "tokens")
     queries = open_.join(labelled.select("doc", "label", "tokens"), "doc").select("gid", "sub", "doc", "label", "tokens")
     found = saved(links.unionByName(_by_turns(inside, queries).mapInArrow(scoped(_probed(percent)), "a long, b long")))
-    discard(members, placed, sets, grouped, left, open_)
+    discard(members, placed, sets, grouped, open_)
     return found
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lakeseek.llm import jaccard_join
 from lakeseek.operators import align, evaluate, search
 
 
@@ -127,3 +128,46 @@ def test_single_column_query_at_size(spark):
     cells = spark.read.parquet(f"{sf}/lineitem.parquet").count() * 3
     _, moved = shuffled(spark, __spark_entry__.queries()["srch_09_single_column"](spark, sf))
     assert moved < 2.5 * cells  # before: over 20 for each cell
+
+
+@pytest.mark.parametrize(("block", "askers"), [(2048, 512), (37, 23)])
+def test_crowds_are_not_rows_for_each_set_and_group(spark, monkeypatch, block, askers):
+    """400 texts each just below the threshold to all others, and one near copy of every twentieth."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block, raising=False)
+    monkeypatch.setattr(jaccard_join, "ASKERS", askers, raising=False)
+    base = [f"w{i}" for i in range(100)]
+    texts = {i: " ".join(base + [f"own{i}x{j}" for j in range(6)]) for i in range(400)}
+    texts |= {1000 + i: texts[i] + " more" for i in range(0, 400, 20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    got = jaccard_join.jaccard_classes(docs, 3, 90).collect()  # most of its shuffles run as it is built
+    moved = written() - before
+    assert {(r[0], r[2]) for r in got} == {(i, i % 1000) for i in texts}
+    assert moved < 250_000  # before: 431,090, a row for each set and group among them
+
+
+def test_columns_bound_as_one_by_one():
+    rng = random.Random(6)
+    import numpy as np
+
+    draw = lambda n: np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+    groups = []
+    for i in range(40):
+        sets = [draw(rng.choice((5, 40, 300))) for _ in range(3)]
+        width = max(jaccard_join._width(len(s)) for s in sets)
+        groups.append((sets, ((i, 0), min(map(len, sets)), jaccard_join._bits(np.concatenate(sets), width).tobytes())))
+    columns = jaccard_join.Columns([g for _, g in groups])
+    for sets, (key, _, _) in groups:
+        for s in sets:
+            own = np.concatenate((s[: max(1, len(s) * 19 // 20)], draw(len(s) // 30)))
+            assert key in columns.open_to(len(own), jaccard_join._bits(own, jaccard_join._width(len(own))).tobytes(), 80)
+    far = draw(300)
+    assert len(columns.open_to(300, jaccard_join._bits(far, jaccard_join._width(300)).tobytes(), 80)) < 10
