@@ -34,19 +34,43 @@ def _letters(word: str) -> str:
     return f"{_EDGE}{word}{_EDGE}"
 
 
+def _runs(word: str) -> list[str]:
+    """The longest run of letters, of ORDER at most, that ends at each letter after the first edge."""
+    x = _letters(word)
+    return [x[:i] for i in range(2, min(ORDER, len(x)) + 1)] + [x[i : i + ORDER] for i in range(1, len(x) - ORDER + 1)]
+
+
+class _Kept(dict):
+    """What make gives for each key, kept until more than `most` are."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        v = self.make(key)
+        if len(self) > self.most:
+            self.clear()
+        self[key] = v
+        return v
+
+
 def _word_counts(batches):
     """(text, toxic) -> (gram, toxic count, ordinary count) of a partition."""
 
     def out(counts):
-        grams: tuple[Counter, Counter] = Counter(), Counter()
-        for c, words in enumerate(counts):
+        grams: tuple[dict, dict] = {}, {}
+        for held, words in zip(grams, counts, strict=True):
+            # The longest run at each letter, then the shorter ones that end there.
+            longest: dict[str, int] = {}
             for w, n in words.items():
-                x = _letters(w)
-                for i in range(1, len(x)):
-                    for o in range(min(ORDER, i + 1)):
-                        grams[c][x[i - o : i + 1]] += n
+                for g in _runs(w):
+                    longest[g] = longest.get(g, 0) + n
+            for g, n in longest.items():
+                for o in range(len(g)):
+                    held[g[o:]] = held.get(g[o:], 0) + n
         every = list(grams[0].keys() | grams[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([g[e] for e in every], pa.int64()) for g in grams)], names=["gram", "toxic", "ordinary"])
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([g.get(e, 0) for e in every], pa.int64()) for g in grams)], names=["gram", "toxic", "ordinary"])
 
     counts = Counter(), Counter()
     for batch in batches:
@@ -62,7 +86,8 @@ class Model:
     """grams: letter run -> (toxic count, ordinary count)."""
 
     def __init__(self, grams: dict[str, tuple[int, int]]):
-        self.own, self.shared, self.known, total = ({}, {}), {}, {}, ({}, {})
+        self.own, self.shared, total = ({}, {}), {}, ({}, {})
+        self.known, self.lower = _Kept(self.letter, 2 * MOST_WORDS), _Kept(self.backoff, MOST_WORDS)
         after: dict[str, int] = Counter()
         for g, pair in grams.items():
             for c in range(2):
@@ -91,17 +116,12 @@ class Model:
 
     def backoff(self, gram: str) -> float:
         """The shared probability of the last letter after the others."""
-        p = self.floor
-        for o in range(1, len(gram) + 1):
-            g = gram[-o:]
-            x = g[:-1]
-            if x in self.after:
-                p = max(self.shared.get(g, 0) - DISCOUNT, 0) / self.after[x] + self.back[x] * p
-        return p
+        p, x = self.lower[gram[1:]] if len(gram) > 1 else self.floor, gram[:-1]
+        return max(self.shared.get(gram, 0) - DISCOUNT, 0) / self.after[x] + self.back[x] * p if x in self.after else p
 
     def letter(self, gram: str) -> float:
         """Toxic less ordinary log-likelihood of a run's last letter after the others."""
-        lower = self.backoff(gram[1:]) if len(gram) > 1 else self.floor
+        lower = self.lower[gram[1:]] if len(gram) > 1 else self.floor
         p = []
         for c in range(2):
             n = self.total[c].get(gram[:-1], 0)
@@ -110,14 +130,8 @@ class Model:
 
     def value(self, word: str) -> float:
         """Toxic less ordinary log-likelihood of a word, as natural logarithm."""
-        x, out, known = _letters(word), 0.0, self.known
-        for i in range(1, len(x)):
-            g = x[i - ORDER + 1 if i >= ORDER else 0 : i + 1]
-            v = known.get(g)
-            if v is None:
-                if len(known) > 2 * MOST_WORDS:
-                    known.clear()
-                v = known[g] = self.letter(g)
+        out = 0.0
+        for v in map(self.known.__getitem__, _runs(word)):
             out += v
         return out
 
@@ -126,26 +140,17 @@ def _features(shared, tag: str):
     """(row, text) -> (row, mean, peak)."""
 
     def run(batches):
-        values = worker_state(tag, "values", dict)
-        model = None
+        values = worker_state(tag, "values", lambda: _Kept(Model(shared.value).value, MOST_WORDS))
+        of = values.__getitem__
         for batch in batches:
             means, peaks = [], []
             for t in batch.column(1):
                 words = (t.as_py() or "").lower().split()
-                try:
-                    v = [values[w] for w in words]
-                except KeyError:
-                    model = model or worker_state(tag, "model", lambda: Model(shared.value))
-                    if len(values) > MOST_WORDS:
-                        values.clear()
-                    for w in words:
-                        if w not in values:
-                            values[w] = model.value(w)
-                    v = [values[w] for w in words]
+                v = np.fromiter(map(of, words), float, len(words))
                 sums = np.concatenate(([0.0], np.cumsum(v)))
                 w = min(WINDOW, len(v))
-                means.append(float(sums[-1] / len(v)) if v else 0.0)
-                peaks.append(float((sums[w:] - sums[: len(sums) - w]).max() / WINDOW) if v else 0.0)
+                means.append(float(sums[-1] / len(v)) if len(v) else 0.0)
+                peaks.append(float((sums[w:] - sums[: len(sums) - w]).max() / WINDOW) if len(v) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64()), pa.array(peaks, pa.float64())], names=["_row", "mean", "peak"])
 
     return scoped(run, tag)

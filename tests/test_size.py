@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeseek.llm import jaccard_join
+from lakeseek.llm import jaccard_join, toxicity
 from lakeseek.operators import align, evaluate, search
 
 
@@ -171,3 +171,26 @@ def test_columns_bound_as_one_by_one():
             assert key in columns.open_to(len(own), jaccard_join._bits(own, jaccard_join._width(len(own))).tobytes(), 80)
     far = draw(300)
     assert len(columns.open_to(300, jaccard_join._bits(far, jaccard_join._width(300)).tobytes(), 80)) < 10
+
+
+def test_toxicity_counts_and_backs_off_once_a_run(monkeypatch):
+    """Counts as letter by letter; a shorter run that many longer ones end with is looked up once."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    rows = pa.RecordBatch.from_arrays([pa.array([" ".join(words[i : i + 10]) for i in range(0, 3000, 10)]), pa.array([i % 2 for i in range(300)])], names=["text", "toxic"])
+    want = {}
+    for i, w in enumerate(words):
+        x = toxicity._letters(w)
+        for j in range(1, len(x)):
+            for o in range(min(toxicity.ORDER, j + 1)):
+                pair = want.setdefault(x[j - o : j + 1], [0, 0])
+                pair[1 - i // 10 % 2] += 1
+    got = {g: [a, b] for batch in toxicity._word_counts([rows]) for g, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    assert got == want
+    calls, real = [], toxicity.Model.backoff
+    monkeypatch.setattr(toxicity.Model, "backoff", lambda self, g: calls.append(g) or real(self, g))
+    model = toxicity.Model({g: tuple(p) for g, p in got.items()})
+    values = [model.value(w) for w in words]
+    assert len(calls) == len(set(calls)) and values == [model.value(w) for w in words]  # before: once for each longer run
